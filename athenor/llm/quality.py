@@ -114,7 +114,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -40, 40)))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> QualityModel:
+def fit(texts: list[str], y: np.ndarray, updates: int = 36_000, rate: float = 0.5, seed: int = 7) -> QualityModel:
     """Mini-batch stochastic gradient descent; gradients reach only the vectors of a batch's features."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
@@ -133,6 +133,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.5, see
         keep, place = np.unique(buckets, return_inverse=True)
         weight = np.bincount(place, weight)
         rows.append((keep, (weight / weight.sum()).astype(np.float32)))
+    epochs = max(1, min(100, updates // max(1, len(rows))))  # a small sample is seen more often
     for epoch in range(epochs if len(set(np.asarray(y).tolist())) > 1 else 0):
         step = np.float32(rate * (1 - epoch / epochs))
         for i in rng.permutation(len(rows)):
