@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +40,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     texts = whole_text(docs, "doc_id").where(F.length("text") <= max_chars)
     # picked has at most ``rows`` rows of two numbers, so its broadcast is bounded
     return texts.join(F.broadcast(picked), "doc_id").select("text", "y").orderBy(F.xxhash64("text"), "y").limit(rows)
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any]) -> Any:
+    """``fit(texts, y)`` of a bounded ``labelled_sample``, run in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, np.int64)))], pa.binary())], names=["model"])
+
+    return pickle.loads(bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0]))

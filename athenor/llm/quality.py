@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, labelled_sample, whole_text
+from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 15_000
 BUCKETS, DIM, MEMO = 1 << 17, 8, 400_000
@@ -132,7 +132,7 @@ def fit(texts: list[str], y: np.ndarray, updates: int = 36_000, rate: float = 0.
         buckets, weight = np.concatenate([buckets, pairs]), np.concatenate([weight, np.ones(len(pairs), np.float32)])
         keep, place = np.unique(buckets, return_inverse=True)
         weight = np.bincount(place, weight)
-        rows.append((keep, (weight / weight.sum()).astype(np.float32)))
+        rows.append((keep.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
     epochs = max(1, min(100, updates // max(1, len(rows))))  # a small sample is seen more often
     for epoch in range(epochs if len(set(np.asarray(y).tolist())) > 1 else 0):
         step = np.float32(rate * (1 - epoch / epochs))
@@ -155,8 +155,7 @@ def fit(texts: list[str], y: np.ndarray, updates: int = 36_000, rate: float = 0.
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> QualityModel:
     """Fit on at most ``rows`` labelled texts of at most ``max_chars`` characters."""
-    sample = labelled_sample(docs, labels, "quality", modulus, held, rows, max_chars).toPandas()
-    return fit(sample["text"].tolist(), sample["y"].to_numpy(dtype=np.int64))
+    return fit_in_task(labelled_sample(docs, labels, "quality", modulus, held, rows, max_chars), fit)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

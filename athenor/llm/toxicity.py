@@ -9,6 +9,7 @@ Null texts count as empty; an empty text has one empty sentence. Repeated rows g
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, labelled_sample, whole_text
+from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 8_000, 60_000, 4_096
 SCORED = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
@@ -64,27 +65,25 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
     """Full-batch Adam on the noisy-or likelihood of the document labels."""
     if not len(texts):
         return ToxicityModel({}, -8.0)
-    bags = [[features(set(s.split())) for s in sentences(t) if s.strip()] or [set()] for t in texts]
     seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        words = {w for s in bag for w in s}
-        seen.update(words)
+    for text, label in zip(texts, y, strict=True):
+        found = features({w for s in sentences(text) for w in s.split()})
+        seen.update(found)
         if label:
-            toxic.update(words)
+            toxic.update(found)
     n, base = len(texts), float(np.mean(y))
     spread = {w: (toxic[w] - c * base) / (c * base * (1 - base) + 1) ** 0.5 for w, c in seen.items() if c >= 4}
     chosen = sorted(spread, key=lambda w: (-abs(spread[w]), w))[:vocabulary]
     index = {w: i for i, w in enumerate(chosen)}
 
-    doc_of, sent_of, word_of, s = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for sent in bag:
+    doc_of, sent_of, word_of = array("l"), array("l"), array("l")
+    for d, text in enumerate(texts):
+        for sentence in sentences(text):
+            ids = sorted(index[w] for w in features(set(sentence.split())) if w in index)
+            word_of.extend(ids)
+            sent_of.extend([len(doc_of)] * len(ids))
             doc_of.append(d)
-            ids = [index[w] for w in sorted(sent) if w in index]
-            word_of += ids
-            sent_of += [s] * len(ids)
-            s += 1
-    doc_of, sent_of, word_of = np.array(doc_of), np.array(sent_of, int), np.array(word_of, int)
+    s, doc_of, sent_of, word_of = len(doc_of), np.array(doc_of), np.array(sent_of, int), np.array(word_of, int)
     w, b = np.zeros(len(chosen)), -6.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
@@ -120,8 +119,7 @@ def score_text(bias: float, weights: WordWeights, text: str) -> tuple[float, int
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Fit on at most ``rows`` labelled texts of at most ``max_chars`` characters."""
-    sample = labelled_sample(docs, labels, "toxic", modulus, held, rows, max_chars).toPandas()
-    return fit(sample["text"].tolist(), sample["y"].to_numpy())
+    return fit_in_task(labelled_sample(docs, labels, "toxic", modulus, held, rows, max_chars), fit)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
