@@ -26,60 +26,68 @@ from pyspark.sql import functions as F
 from athenor.functions.storage import materialize
 from athenor.llm.common import whole_text
 
-LONGEST, CLOSING, MEMO = 2048, 1, 400_000
+LONGEST, CLOSING, MEMO = 2048, 1, 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
 
 #: Characters that the libraries and Python disagree on as white space; texts with one are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 
 
-class WordEncoder(dict):
-    """ids of a white-space-delimited word as little-endian 32-bit bytes; words met before are kept up to a bound.
+class WordEncoder:
+    """ids of white-space-delimited words as little-endian 32-bit bytes.
 
-    The vocabulary lower-cases, drops white space and never merges across it, so words can be encoded apart.
-    Unknown words are encoded together, and cut apart where tokens end a pre-token.
+    The vocabulary lower-cases, drops white space and never merges across it, so words can be encoded apart. Words and
+    pre-tokens met before are kept up to a bound; beyond it new ones are encoded again in each block of texts. Unknown
+    pre-tokens are encoded together, and cut apart where tokens end a pre-token.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.whole.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        count = [len(self.pieces(unicodedata.normalize("NFC", w).lower())) for w in words]
-        if sum(count) != len(cut):
-            self.update((w, self.ids(w)) for w in words)
+    def _learn_tokens(self, new: list[str], known: dict[str, bytes]) -> None:
+        ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cut) != len(new):
+            known.update((t, self.ids(t)) for t in new)
             return
-        last = np.concatenate([[0], cut])[np.cumsum(count)] * 4
         data, at = ids.tobytes(), 0
-        for word, end in zip(words, last.tolist(), strict=True):
-            self[word] = data[at:end]
+        for token, end in zip(new, cut, strict=True):
+            known[token] = data[at:end]
             at = end
 
+    def _learn_words(self, new: list[str], known: dict[str, bytes]) -> None:
+        split = [self.split((w if w.isascii() else unicodedata.normalize("NFC", w)).lower()) for w in new]
+        tokens, more = self.tokens, {}
+        unknown = list({t for parts in split for t in parts if t not in tokens})
+        target = tokens if len(tokens) < MEMO else more
+        for at in range(0, len(unknown), 5_000):
+            self._learn_tokens(unknown[at : at + 5_000], target)
+        get = tokens.__getitem__ if target is tokens else lambda t: tokens.get(t) or more[t]
+        known.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
+
     def documents(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text."""
+        words, more = self.words, {}
         plain = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for words in plain if words for w in words if w not in self})
-        if len(self) + len(new) > MEMO and len(self):
-            self.clear()
-            new = list({w for words in plain if words for w in words})
-        for at in range(0, len(new), 5_000):
-            self.learn(new[at : at + 5_000])
-        get = self.__getitem__
-        return [self.ids(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, plain, strict=True)]
+        new = list({w for parts in plain if parts for w in parts if w not in words})
+        target = words if len(words) < MEMO else more
+        self._learn_words(new, target)
+        get = words.__getitem__ if target is words else lambda w: words.get(w) or more.get(w, b"")
+        return [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
 
 
 @lru_cache(1)
