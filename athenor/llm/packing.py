@@ -70,7 +70,7 @@ class WordEncoder:
             at = end
 
     def _learn_words(self, new: list[str], known: dict[str, bytes]) -> None:
-        split = [self.split((w if w.isascii() else unicodedata.normalize("NFC", w)).lower()) for w in new]
+        split = [self.split(w.lower() if w.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", w)))) for w in new]
         tokens, more = self.tokens, {}
         unknown = list({t for parts in split for t in parts if t not in tokens})
         target = tokens if len(tokens) < MEMO else more
