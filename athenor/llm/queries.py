@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from athenor.functions.storage import table
 from athenor.llm.exact_dedup import exact_dedup
+from athenor.llm.near_dedup import near_dedup
 from athenor.llm.packing import pack
 from athenor.llm.quality import quality
 from athenor.llm.toxicity import toxicity
@@ -22,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +38,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_packing": op4_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
 }
