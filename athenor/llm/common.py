@@ -53,3 +53,15 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, np.int64)))], pa.binary())], names=["model"])
 
     return pickle.loads(bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0]))
+
+
+def blocks(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters each."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

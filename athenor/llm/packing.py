@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.storage import materialize
-from athenor.llm.common import whole_text
+from athenor.llm.common import blocks, whole_text
 
 LONGEST, CLOSING, MEMO = 2048, 1, 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
@@ -101,18 +101,6 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def blocks(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def pieces(docs: DataFrame, path: str) -> DataFrame:
     """One row for each piece; ``place`` counts the pieces of one bucket inside the partition ``part``."""
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from athenor.functions.storage import table
+from athenor.llm import bpe
 from athenor.llm.exact_dedup import exact_dedup
 from athenor.llm.near_dedup import near_dedup
 from athenor.llm.packing import pack
@@ -35,12 +36,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
