@@ -69,25 +69,30 @@ class WordEncoder:
             known[token] = data[at:end]
             at = end
 
-    def _learn_words(self, new: list[str], known: dict[str, bytes]) -> None:
+    def _learn_words(self, new: list[str]) -> None:
         split = [self.split(w.lower() if w.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", w)))) for w in new]
-        tokens, more = self.tokens, {}
+        tokens = self.tokens
         unknown = list({t for parts in split for t in parts if t not in tokens})
-        target = tokens if len(tokens) < MEMO else more
         for at in range(0, len(unknown), 5_000):
-            self._learn_tokens(unknown[at : at + 5_000], target)
-        get = tokens.__getitem__ if target is tokens else lambda t: tokens.get(t) or more[t]
-        known.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
+            self._learn_tokens(unknown[at : at + 5_000], tokens)
+        get = tokens.__getitem__
+        self.words.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
+        if len(tokens) > MEMO:
+            for t in unknown:
+                del tokens[t]
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text."""
-        words, more = self.words, {}
+        words = self.words
         plain = [None if _ODD.search(t) else t.split() for t in texts]
         new = list({w for parts in plain if parts for w in parts if w not in words})
-        target = words if len(words) < MEMO else more
-        self._learn_words(new, target)
-        get = words.__getitem__ if target is words else lambda w: words.get(w) or more.get(w, b"")
-        return [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
+        self._learn_words(new)
+        get = words.__getitem__
+        out = [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
+        if len(words) > MEMO:
+            for w in new:
+                del words[w]
+        return out
 
 
 @lru_cache(1)
