@@ -139,17 +139,16 @@ class Vocabulary:
             rank[near] = self.pairs.find(ids[near], ids[near + 1])
         return ids[:n]
 
-    def _learn(self, new: list[str], prefix: str, memo: dict[str, bytes]) -> dict[str, bytes]:
-        """``memo`` with ``new`` stretches, or while it is full, only those."""
+    def _learn(self, new: list[str], prefix: str, memo: dict[str, bytes]) -> None:
         split = [self.split(prefix + w) for w in new]
-        unknown = list({t for parts in split for t in parts if t not in self.known})
-        fresh = dict(zip(unknown, (i.astype("<u4").tobytes() for i in self.merge([t.encode("utf-8", "replace") for t in unknown])), strict=True))
-        if len(self.known) < MEMO:
-            self.known.update(fresh)
-        get = lambda t: fresh[t] if t in fresh else self.known[t]
-        target = memo if len(memo) < MEMO else {}
-        target.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
-        return target
+        known = self.known
+        unknown = list({t for parts in split for t in parts if t not in known})
+        known.update(zip(unknown, (i.astype("<u4").tobytes() for i in self.merge([t.encode("utf-8", "replace") for t in unknown])), strict=True))
+        get = known.__getitem__
+        memo.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
+        if len(known) > MEMO:
+            for t in unknown:
+                del known[t]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text as little-endian 32-bit bytes.
@@ -167,9 +166,13 @@ class Vocabulary:
                 tails.append(rest)
         joined = []
         for memo, prefix, stretches in ((self.alone, "", heads), (self.after, " ", tails)):
-            more = self._learn(list({w for parts in stretches for w in parts if w not in memo}), prefix, memo)
-            get = memo.__getitem__ if more is memo else lambda w, memo=memo, more=more: more[w] if w in more else memo[w]
+            new = list({w for parts in stretches for w in parts if w not in memo})
+            self._learn(new, prefix, memo)
+            get = memo.__getitem__
             joined.append([b"".join(map(get, parts)) for parts in stretches])
+            if len(memo) > MEMO:
+                for w in new:
+                    del memo[w]
         return [a + b for a, b in zip(*joined, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
