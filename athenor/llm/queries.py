@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from athenor.functions.storage import table
 from athenor.llm import avi, bpe, html_crf, licenses
 from athenor.llm.exact_dedup import exact_dedup
+from athenor.llm.language_model import language_model
 from athenor.llm.near_dedup import near_dedup
 from athenor.llm.packing import pack
 from athenor.llm.quality import quality
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(avi.store_texts(table(spark, sf_dir, "documents")))
 
@@ -55,6 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_language_model": op2_language_model,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
