@@ -1 +1,296 @@
-"""Queries."""
+"""Queries over the citation graph. Papers and works share one id space: paper 2k, work 2k + 1."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from athenor.functions.storage import table
+from athenor.iterative import betweenness as between
+from athenor.iterative import components, traversal
+from athenor.operators import graph
+from athenor.plans.adapter import authorship, concepts, papers, references, sql, works
+from athenor.plans.registry import query
+
+SEEDS = "v_seed as (select paper_id from v_paper where is_seed), v_seedref as (select distinct dst from v_ref where src in (select paper_id from v_seed))"
+
+
+def _seeds(spark, d):
+    return papers(spark, d).where("is_seed").select(F.col("paper_id").alias("node"))
+
+
+@query(
+    "bib_coupling",
+    sql(
+        """select src as node, round(count(*) filter (dst in (select dst from v_seedref)) * 1.0 / (count(*) + (select count(*) from v_seedref)
+            - count(*) filter (dst in (select dst from v_seedref))), 6) as coupling from (select distinct src, dst from v_ref) t group by src""",
+        SEEDS,
+    ),
+)
+def bib_coupling(spark, d):
+    return graph.coupling(references(spark, d), _seeds(spark, d)).withColumn("coupling", F.round("coupling", 6))
+
+
+@query(
+    "co_citation",
+    sql(
+        """select dst as node, round(count(*) filter (src in (select src from v_citer)) * 1.0 / (count(*) + (select count(*) from v_citer)
+            - count(*) filter (src in (select src from v_citer))), 6) as cocitation from (select distinct src, dst from v_ref) t group by dst""",
+        "v_citer as (select distinct src from v_ref where dst % 200 = 0)",
+    ),
+)
+def co_citation(spark, d):
+    seeds = works(spark, d).where("work_id % 200 = 0").select(F.col("work_id").alias("node"))
+    return graph.cocitation(references(spark, d), seeds).withColumn("cocitation", F.round("cocitation", 6))
+
+
+@query(
+    "portal_support",
+    sql(
+        """select work_id as node, case when size > 45 then 1.0 else least(coalesce(w, 0) / 3, 1.0) end as portal from v_work
+            left join (select dst, cast(count(*) as double) as w from v_ref join v_paper on src = paper_id where citation_count >= 50000 group by dst) s on dst = work_id"""
+    ),
+)
+def portal_support(spark, d):
+    p, w = papers(spark, d), works(spark, d)
+    nodes = w.select((F.col("work_id") * 2 + 1).alias("node"), (F.col("size") > 45).alias("is_review"))
+    both = nodes.unionAll(p.select((F.col("paper_id") * 2).alias("node"), (F.col("citation_count") >= 50_000).alias("is_review")))
+    edges = references(spark, d).select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
+    return graph.portal_support(edges, both).where("node % 2 = 1").select(((F.col("node") - 1) / 2).cast("bigint").alias("node"), "portal")
+
+
+CLUSTERS = """v_member as (select paper_id * 2 as node, name as cluster from v_concept where pos = 1 union all select work_id * 2 + 1, kind from v_work),
+v_edge as (select src * 2 as src, dst * 2 + 1 as dst from v_ref)"""
+
+
+def _membership(spark, d):
+    own = concepts(spark, d).where("pos = 1").select((F.col("paper_id") * 2).alias("node"), F.col("name").alias("cluster"))
+    return own.unionAll(works(spark, d).select((F.col("work_id") * 2 + 1).alias("node"), F.col("kind").alias("cluster")))
+
+
+def _edges(spark, d):
+    return references(spark, d).select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"), "ref_pos")
+
+
+@query(
+    "cluster_links",
+    sql(
+        """select x.a, y.b, coalesce(links, 0) as links from (select distinct cluster as a from v_member) x join (select distinct cluster as b from v_member) y on a < b
+            left join (select least(m.cluster, n.cluster) as a, greatest(m.cluster, n.cluster) as b, count(*) as links from v_edge e join v_member m on m.node = e.src
+                join v_member n on n.node = e.dst where m.cluster <> n.cluster group by all) c on c.a = x.a and c.b = y.b""",
+        CLUSTERS,
+    ),
+)
+def cluster_links(spark, d):
+    return graph.cluster_links(_edges(spark, d), _membership(spark, d))
+
+
+NEAR = CLUSTERS + """, v_near as (select t.node, cluster, count(*) as n from (select distinct src as node, dst as near from v_edge union select dst, src from v_edge) t
+    join v_member m on m.node = t.near group by all)"""
+
+
+@query(
+    "bridge_diversity",
+    sql("select node, count(*) as clusters, round(1 - max(n) / sum(n), 6) as diversity from v_near group by node having count(*) >= 2", NEAR),
+)
+def bridge_diversity(spark, d):
+    return graph.bridge_diversity(_edges(spark, d), _membership(spark, d)).withColumn("diversity", F.round("diversity", 6))
+
+
+@query(
+    "bridge_papers",
+    sql(
+        """select node, cluster_a, cluster_b, round(s, 6) as bridge_score from (select node, max(cluster) filter (r = 1) as cluster_a, max(cluster) filter (r = 2) as cluster_b,
+            max(n) filter (r = 2) / max(n) filter (r = 1) * (max(n) filter (r = 1) + max(n) filter (r = 2)) / sum(n) as s
+            from (select *, row_number() over (partition by node order by n desc, cluster) as r from v_near) t group by node) b
+        where s >= 0.3 order by s desc, node limit 10""",
+        NEAR,
+    ),
+)
+def bridge_papers(spark, d):
+    return graph.bridge_papers(_edges(spark, d), _membership(spark, d)).withColumn("bridge_score", F.round("bridge_score", 6))
+
+
+@query(
+    "intro_hint",
+    sql(
+        """select src, dst, ref_pos, intro, intro_plain, case when ref_pos <= intro then 'INTRO_HINT_CITES' else 'CITES' end as edge_type,
+            case when ref_pos <= intro then 2.0::double else 1.0::double end as weight from (select src, dst, ref_pos,
+                cast(least(case when n_refs >= 10 then greatest(floor(n_refs * 0.25), 10) else floor(n_refs * 0.25) end, 40, 20) as integer) as intro,
+                cast(case when n_refs >= 10 then greatest(least(floor(n_refs * 0.25), 20), 10) else n_refs end as integer) as intro_plain from v_ref) t"""
+    ),
+)
+def intro_hint(spark, d):
+    return graph.intro_hints(references(spark, d))
+
+
+@query(
+    "position_hint",
+    sql("select src, dst, ref_pos, case when (ref_pos - 1) * 1.0 / n_refs < 0.2 then 'early' when (ref_pos - 1) * 1.0 / n_refs > 0.7 then 'late' else 'middle' end as position from v_ref"),
+)
+def position_hint(spark, d):
+    return graph.position_hints(references(spark, d))
+
+
+REFS = """v_typed as (select src, dst, ref_pos, year - 1990 - size % 12 as gap, citation_count, citation_count % 37 = 0 as same_author, size > 45 as is_method, least(size % 5, 3) as shared,
+    case when (ref_pos - 1) * 1.0 / n_refs < 0.2 then 'early' when (ref_pos - 1) * 1.0 / n_refs > 0.7 then 'late' else 'middle' end as position
+    from v_ref join v_paper on src = paper_id join v_work on dst = work_id)"""
+
+
+def _typed(spark, d):
+    edges = graph.position_hints(references(spark, d))
+    joined = edges.join(papers(spark, d), F.col("src") == F.col("paper_id")).join(works(spark, d), F.col("dst") == F.col("work_id"))
+    return joined.select(
+        "src", "dst", "ref_pos", "position", "citation_count", (F.col("year") - 1990 - F.col("size") % 12).alias("gap"), (F.col("citation_count") % 37 == 0).alias("same_author"),
+        (F.col("size") > 45).alias("is_method"), F.least(F.col("size") % 5, F.lit(3)).alias("shared"),
+    )
+
+
+@query(
+    "ref_types",
+    sql(
+        """select src, dst, ref_pos, case when same_author then 'self_cite' when (gap >= 10 or citation_count >= 100) and position = 'early' then 'foundational'
+            when is_method or position = 'late' then 'methodological' else 'regular' end as ref_type,
+            case when same_author then 'self_cite' when shared >= 3 and gap <= 3 then 'extension' when is_method or gap >= 5 then 'comparison'
+            when shared between 1 and 2 then 'application' else 'regular' end as cite_type,
+            round(0.3 * ln(1 + citation_count) + 0.2 * shared + case when gap <= 2 then 0.3 when gap <= 5 then 0.2 else 0 end
+            + case position when 'early' then 0.2 when 'middle' then 0.1 else 0 end, 6) as importance from v_typed""",
+        REFS,
+    ),
+)
+def ref_types(spark, d):
+    t = _typed(spark, d)
+    ref = graph.reference_type(F.col("same_author"), F.col("gap"), F.col("citation_count"), F.col("position"), F.col("is_method"))
+    cite = graph.citation_type(F.col("same_author"), F.col("shared"), F.col("gap"), F.col("is_method"))
+    worth = graph.reference_importance(F.col("citation_count"), F.col("shared"), F.col("gap"), F.col("position"))
+    return t.select("src", "dst", "ref_pos", ref.alias("ref_type"), cite.alias("cite_type"), F.round(worth, 6).alias("importance"))
+
+
+@query(
+    "hub_classify",
+    sql(
+        """select paper_id, hub, case hub when 'mega' then 0 when 'suppressed' then 10 when 'hub' then 25 else 50 end as refs, case hub when 'mega' then 0 when 'suppressed' then 5 when 'hub' then 15 else 30 end as cites,
+            case hub when 'mega' then 0 when 'suppressed' then 0 when 'hub' then 10 else 20 end as authors, case hub when 'mega' then 0.1::double when 'suppressed' then 0.3 when 'hub' then 0.7 else 1.0 end as penalty
+        from (select paper_id, case when citation_count >= 50000 then 'mega' when citation_count >= 5000 and paper_id % 10 < 3 then 'suppressed' when citation_count >= 5000 then 'hub' else 'none' end as hub from v_paper) t"""
+    ),
+)
+def hub_classify(spark, d):
+    nodes = papers(spark, d).withColumn("relevance", (F.col("paper_id") % 10) / 10)
+    h = graph.hubs(nodes)
+    return h.select("paper_id", "hub", "limits.refs", "limits.cites", "limits.authors", "penalty")
+
+
+@query("degrees", sql("select coalesce(a.src, b.dst) as node, coalesce(o, 0) as out_degree, coalesce(i, 0) as in_degree from (select src, count(*) as o from v_edge group by src) a full join (select dst, count(*) as i from v_edge group by dst) b on a.src = b.dst", CLUSTERS))
+def degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@query(
+    "sync_edges",
+    sql(
+        """select src, dst, min(ref_pos) as seq from v_ref where src in (select paper_id from v_paper where citation_count >= 30000) and dst in (select work_id from v_work where size <= 25)
+            and (src, dst) not in (select src, dst from v_ref where ref_pos > 5) group by src, dst"""
+    ),
+)
+def sync_edges(spark, d):
+    refs = _edges(spark, d).withColumnRenamed("ref_pos", "seq")
+    nodes = papers(spark, d).where("citation_count >= 30000").select((F.col("paper_id") * 2).alias("node")).unionAll(works(spark, d).where("size <= 25").select((F.col("work_id") * 2 + 1).alias("node")))
+    got = graph.materialised_edges(refs, nodes, refs.where("seq > 5"))
+    return got.select((F.col("src") / 2).cast("bigint").alias("src"), ((F.col("dst") - 1) / 2).cast("bigint").alias("dst"), "seq")
+
+
+def _both_ways(spark, d):
+    """Works cited by orders of one customer's first items: a sparser graph for traversals."""
+    return _edges(spark, d).where("ref_pos <= 2 and src % 6 = 0")
+
+
+HOPS = """v_sparse as (select src * 2 as src, dst * 2 + 1 as dst from v_ref where ref_pos <= 2 and (src * 2) % 6 = 0), v_both as (select src as node, dst as near from v_sparse union select dst, src from v_sparse)"""
+
+
+@query(
+    "bfs_depth",
+    f"""with recursive {sql('', HOPS)[5:]}, v_hop(node, distance) as (select distinct paper_id * 2, 0 from v_paper where is_seed union
+            select near, distance + 1 from v_hop join v_both using (node) where distance < 4)
+        select node, min(distance) as distance from v_hop group by node""",
+)
+def bfs_depth(spark, d):
+    seeds = papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("node"))
+    return traversal.hop_distances(_both_ways(spark, d), seeds, 4)
+
+
+COMPONENTS = """v_pairlink as (select a.paper_id * 2 as x, b.coauthor_id * 2 + 1 as y from v_paper a join v_authorship b using (paper_id) where a.paper_id % 40 = b.coauthor_id % 40)"""
+
+
+@query(
+    "components",
+    f"""with recursive {sql('', COMPONENTS)[5:]}, v_sym as (select x as u, y as v from v_pairlink union select y, x from v_pairlink),
+        v_reach(node, label) as (select u, u from v_sym union select v, label from v_reach join v_sym on node = u where label < v)
+        select node, min(label) as component from v_reach group by node""",
+)
+def connected_components(spark, d):
+    pairs = papers(spark, d).join(authorship(spark, d), "paper_id").where("paper_id % 40 = coauthor_id % 40")
+    return components.components(pairs.select((F.col("paper_id") * 2).alias("a"), (F.col("coauthor_id") * 2 + 1).alias("b")))
+
+
+@query("bucket_generations")
+def bucket_generations(spark, d):
+    edges = _edges(spark, d)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("ref_pos"))
+    nodes = papers(spark, d).select((F.col("paper_id") * 2).alias("paper"), (F.col("citation_count") / 70000).alias("relevance"))
+    nodes = nodes.unionAll(works(spark, d).select((F.col("work_id") * 2 + 1).alias("paper"), (F.col("size") / 50).alias("relevance")))
+    seeds = papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("paper"))
+    return traversal.bucket_generations(edges.unionAll(back), nodes, seeds)
+
+
+@query("depth_expansion")
+def depth_expansion(spark, d):
+    nodes = papers(spark, d).select((F.col("paper_id") * 2).alias("paper"), (F.col("citation_count") / 70000).alias("relevance"), "citation_count")
+    nodes = nodes.unionAll(works(spark, d).select((F.col("work_id") * 2 + 1).alias("paper"), (F.col("size") / 50).alias("relevance"), F.lit(0).cast("bigint").alias("citation_count")))
+    seeds = papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("paper"))
+    return traversal.depth_expansion(_edges(spark, d), nodes, seeds)
+
+
+@query("communities")
+def communities(spark, d):
+    return traversal.label_communities(_edges(spark, d))
+
+
+@query("betweenness")
+def betweenness(spark, d):
+    refs = references(spark, d).join(papers(spark, d), F.col("src") == F.col("paper_id"))
+    edges = refs.groupBy("venue", (F.col("author_id") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")).agg(F.count("*").alias("weight"))
+    return between.betweenness(edges, "venue", 200)
+
+
+@query(
+    "rolling_drift",
+    sql(
+        """select event_id, user_id, round(share, 6) as share, stop from (select event_id, user_id, avg(case when value < 20 then 1.0 else 0.0 end) over w as share,
+            count(*) over w >= 30 and avg(case when value < 20 then 1.0 else 0.0 end) over w < 0.10 as stop from events
+            window w as (partition by user_id order by ts, event_id rows between 29 preceding and current row)) t"""
+    ),
+)
+def rolling_drift(spark, d):
+    events = table(spark, d, "events").withColumn("on_topic", F.coalesce(F.col("value") < 20, F.lit(False)))
+    return traversal.rolling_share(events, ["user_id"], ["ts", "event_id"], "on_topic").select("event_id", "user_id", F.round("share", 6).alias("share"), "stop")
+
+
+@query(
+    "graph_relevance",
+    sql(
+        """select paper_id, round(least((0.45 * exp(-0.9 * case when is_seed then 0 else 3 end) + 0.20 * least(1.0, ln(1 + least(paper_id % 8, 6)) / ln(6)) + 0.15 * coalesce(coupling, 0) + 0.10 * (paper_id % 3) / 3.0)
+            * case when citation_count >= 50000 then 0.1 when citation_count >= 5000 then 0.7 else 1.0 end, 1.0), 6) as relevance from v_paper left join (
+            select src, count(*) filter (dst in (select dst from v_seedref)) * 1.0 / (count(*) + (select count(*) from v_seedref) - count(*) filter (dst in (select dst from v_seedref))) as coupling
+            from (select distinct src, dst from v_ref) t group by src) c on src = paper_id""",
+        SEEDS,
+    ),
+)
+def graph_relevance(spark, d):
+    p = papers(spark, d)
+    pair = graph.coupling(references(spark, d), _seeds(spark, d)).withColumnRenamed("node", "paper_id")
+    nodes = p.join(pair, "paper_id", "left").withColumns(
+        {
+            "distance": F.when(F.col("is_seed"), 0), "paths": F.col("paper_id") % 8, "cocitation": F.lit(0.0), "portal": (F.col("paper_id") % 3) / 3, "keyword": F.lit(0.0),
+            "hub": F.when(F.col("citation_count") >= 50_000, "mega").when(F.col("citation_count") >= 5_000, "hub").otherwise("none"),
+        }
+    )
+    return graph.relevance(nodes).select("paper_id", F.round("relevance", 6).alias("relevance"))
