@@ -4,11 +4,13 @@ A document's set is its distinct word 5-shingles (the whole sequence as one with
 minima (b = 16); their Hamming distance counts the minima that differ. The signature is split into 16 chunks of 4 minima.
 If two signatures differ in at most 31 places, then by pigeonhole some chunk has at most one error; so each signature is filed under
 every chunk with each one of its minima left out, and all pairs within distance 31 meet under some key. Two sets of Jaccard
-similarity 0.75 are further apart with probability below 2e-5, less above it.
+similarity 0.75 are further apart with probability below 2e-5, less above it. Pairs that meet must also be within distance
+162 over 512 minima (448 more, of 4 bits), which such sets exceed with probability below 2e-5.
 
-No bucket is expanded into pairs at once. First each signature is compared with one hub, the least id of the buckets that it
-shares most; confirmed links join almost all copies. Then only buckets that still hold more than one component are compared,
-in blocks of bounded size, and only pairs of different components within the distance go on to the exact check.
+No bucket is expanded into pairs. First each signature is compared with one hub, a member of its buckets that shares keys with many:
+confirmed links join almost all copies. Then only buckets that still hold more than one component are compared,
+in blocks of bounded size, and of each pair of different components only the bucket of its first common key hands it on, if the
+sizes and the exact distances to a common hub (Jaccard distance is a metric) leave a link possible.
 
 Shingles are 64-bit hashes; sets with one 128-bit sum of hashes and one size count as equal. Null or blank texts have no
 set and link with nothing. Repeated rows and equal sets fall into one class; null ids never name a component.
@@ -32,13 +34,15 @@ from athenor.llm.exact_dedup import BROADCAST_IDS, without_rows
 WORDS, MINIMA, CHUNK = 5, 64, 4
 CHUNKS = MINIMA // CHUNK
 DISTANCE = 2 * CHUNKS - 1
+FINE, FINE_DISTANCE = 512, 162
+SIMILAR = 75
 HUB_KEYS, BLOCK, MEMO = 8, 1_024, 300_000
 SIGNED = "row long, doc_id long, n_shingles long, high long, low long, signature binary"
 
 _rng = np.random.default_rng(20_240_501)
 _POSITION = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _rng.integers(0, 2**64, MINIMA, dtype=np.uint64)
-_FACTOR = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = _rng.integers(0, 2**32, FINE, dtype=np.uint32)
+_FACTOR = _rng.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -71,14 +75,24 @@ def shingles(text: str, words: WordHash) -> np.ndarray:
     return np.unique(_mix(code))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, MINIMA) b-bit minima of non-empty sets."""
-    out = np.zeros((len(sets), MINIMA), np.uint16)
-    flat = np.concatenate(sets)
+def signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """MINIMA 16-bit and FINE - MINIMA 4-bit minima of each non-empty set."""
+    flat = np.concatenate(sets).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    for k in range(MINIMA):
-        out[:, k] = np.minimum.reduceat((flat ^ _SALT[k]) * _FACTOR[k], starts) >> np.uint64(8) & np.uint64(0xFFFF)
-    return out
+    least, work = np.empty((len(sets), FINE), np.uint32), np.empty_like(flat)
+    for k in range(FINE):
+        np.bitwise_xor(flat, _SALT[k], out=work)
+        np.multiply(work, _FACTOR[k], out=work)
+        least[:, k] = np.minimum.reduceat(work, starts)
+    coarse, fine = least[:, :MINIMA].astype("<u2"), (least[:, MINIMA:] & np.uint32(15)).astype(np.uint8)
+    fine = fine[:, 0::2] << 4 | fine[:, 1::2]
+    return [a.tobytes() + b.tobytes() for a, b in zip(coarse, fine, strict=True)]
+
+
+def minima(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts of each signature."""
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+    return np.ascontiguousarray(raw[:, : 2 * MINIMA]).view("<u2"), raw[:, 2 * MINIMA :]
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -103,7 +117,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     high[full] = np.add.reduceat(_mix(flat, 11), starts).view(np.int64)
                     low[full] = np.add.reduceat(_mix(flat, 23), starts).view(np.int64)
                     for i, s in zip(full, signatures(some), strict=True):
-                        data[i] = s.tobytes()
+                        data[i] = s
                 part = batch.slice(start, done - start)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low), pa.array(data, pa.binary())],
@@ -120,7 +134,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, id) for every chunk with each one of its minima left out; further columns repeat."""
     for batch in batches:
-        s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.int64)
+        s = minima(batch.column("signature").to_pylist())[0].reshape(-1, CHUNKS, CHUNK).astype(np.int64)
         keys = []
         for out in range(CHUNK):
             code = np.arange(CHUNKS)[None, :] * CHUNK + out
@@ -134,36 +148,59 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(batch.column(c).take(at) for c in rest)], names=["key", *rest])
 
 
-def _hub_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the one hub that it shares most keys with, if HUB_KEYS or more."""
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, id, n) for the keys that n > 1 classes have."""
     keyed = classes.select("id", "signature").mapInArrow(_keys, "key long, id long")
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = keyed.join(hubs, "key").where("id <> hub").groupBy("id", "hub").count().where(F.col("count") >= HUB_KEYS)
-    best = shared.groupBy("id").agg(F.min(F.struct(-F.col("count"), F.col("hub").alias("hub"))).alias("best"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(counts, "key")
+
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with the one hub that it shares most keys with, if HUB_KEYS or more.
+
+    A key's hub is its member that meets most classes over all its keys, which of edited copies is the least edited one.
+    """
+    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"))).alias("best"))
+    hubs = hubs.select("key", (-F.col("best.id")).alias("hub"))
+    tries = shared.join(hubs, "key").where("id <> hub").groupBy("id", "hub").count().where(F.col("count") >= HUB_KEYS)
+    best = tries.groupBy("id").agg(F.min(F.struct(-F.col("count"), F.col("hub").alias("hub"))).alias("best"))
     return best.select(F.col("id").alias("a"), F.col("best.hub").alias("b"))
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and block pair; pairs of different components within DISTANCE, each compared vector-wise."""
-    names = ["key", "first", "second", "block", "id", "component"]
+    """Rows come sorted by bucket and block pair; pairs of different components that may be links, each compared vector-wise."""
+    names = ["key", "first", "second", "block", "id", "component", "n_shingles", "hub", "apart"]
 
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
             return None
-        key, first, second, block, node, comp = (t.column(c).to_numpy() for c in names)
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, MINIMA)
+        key, first, second, block, node, comp, size, hub, apart = (t.column(c).to_numpy() for c in names)
+        coarse, fine = minima(t.column("signature").to_pylist())
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
         end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
         found, at, d = [], np.arange(len(key)), 1
         while len(at := at[at + d < end[at]]):
-            for part in np.array_split(at, len(at) // 200_000 + 1):
-                other = part + d
-                ok = (comp[part] != comp[other]) & ((first[part] == second[part]) | (block[part] != block[other]))
-                part, other = part[ok], other[ok]
-                near = (sig[part] != sig[other]).sum(1) <= DISTANCE
-                found.append(np.stack([node[part[near]], node[other[near]]], 1))
+            for a in np.array_split(at, len(at) // 100_000 + 1):
+                b = a + d
+                ok = (comp[a] != comp[b]) & ((first[a] == second[a]) | (block[a] != block[b]))
+                ok &= 100 * np.minimum(size[a], size[b]) >= SIMILAR * np.maximum(size[a], size[b])
+                ok &= (hub[a] != node[b]) & (hub[b] != node[a])  # these were compared exactly
+                ok &= (hub[a] != hub[b]) | (hub[a] < 0) | (np.abs(apart[a] - apart[b]) <= 1 - SIMILAR / 100 + 1e-9)
+                a, b = a[ok], b[ok]
+                differ = coarse[a] != coarse[b]
+                ok = differ.sum(1) <= DISTANCE
+                a, b, differ = a[ok], b[ok], differ[ok]
+                halves = fine[a] ^ fine[b]
+                ok = differ.sum(1) + np.count_nonzero(halves & 15, axis=1) + np.count_nonzero(halves >> 4, axis=1) <= FINE_DISTANCE
+                a, b, differ = a[ok], b[ok], differ[ok].reshape(-1, CHUNKS, CHUNK)
+                errors = differ.sum(2)
+                chunk = (errors <= 1).argmax(1)  # the pair's first common key
+                out = differ[np.arange(len(a)), chunk].argmax(1)
+                ok = key[a] >> 16 * (CHUNK - 1) == chunk * CHUNK + out
+                found.append(np.stack([node[a[ok]], node[b[ok]]], 1))
             d += 1
-        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+        both = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
@@ -181,28 +218,28 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _cross_pairs(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that share a key and are within DISTANCE."""
-    told = classes.select("id", "signature").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _cross_pairs(classes: DataFrame, shared: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components that share a key and may be links, each once."""
+    known = tried.select(F.col("a").alias("id"), F.col("b").alias("hub"), "apart")
+    told = classes.select("id", "n_shingles", "signature").join(parts, "id", "left").join(known, "id", "left")
+    told = told.select("id", "n_shingles", "signature", F.coalesce("component", "id").alias("component"), F.coalesce("hub", F.lit(-1)).alias("hub"), F.coalesce("apart", F.lit(0.0)).alias("apart"))
     told = materialize(told, "told")
-    keyed = told.select("id", "component", "signature").mapInArrow(_keys, "key long, id long, component long")
+    keyed = shared.join(told.select("id", "component"), "id")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = shared.select("key", "id").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "component")
-    rows = rows.join(told.select("id", "signature"), "id")
-    found = (
-        rows.select("key", "first", "second", "block", "id", "component", "signature")
+    rows = rows.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id").join(told, "id")
+    return (
+        rows.select("key", "first", "second", "block", "id", "component", "n_shingles", "hub", "apart", "signature")
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second")
         .mapInArrow(_close_pairs, "a long, b long")
     )
-    return found.distinct()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts: those with 100 * intersection >= 75 * union."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both texts: their Jaccard distance, and whether 100 * intersection >= 75 * union."""
     words, last, last_set = WordHash(), None, None
     for batch in batches:
         out = []
@@ -210,21 +247,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (b := b.as_py()) != last:
                 last, last_set = b, shingles(text_b.as_py(), words)
             own = shingles(text.as_py(), words)
-            both = len(own) + len(last_set) - len(np.union1d(own, last_set))
-            if 100 * both >= 75 * (len(own) + len(last_set) - both):
-                out.append((a.as_py(), b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            union = len(np.union1d(own, last_set))
+            both = len(own) + len(last_set) - union
+            out.append((a.as_py(), b, 1 - both / union, 100 * both >= SIMILAR * union))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["a", "b", "apart", "linked"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among ``pairs(a, b)`` of row numbers, by the full sets of both texts. Only texts in some pair move."""
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, apart, linked) for ``pairs(a, b)`` of row numbers, by the full sets of both texts. Only texts in some pair move."""
     needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "needed")
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = _rows(docs).drop("doc_id").join(needed, "row", "left_semi")
     first = pairs.join(texts.withColumnRenamed("row", "a"), "a")
     both = first.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.mapInArrow(_confirm, "a long, b long")
+    return both.mapInArrow(_compare, "a long, b long, apart double, linked boolean")
 
 
 def find_groups(docs: DataFrame) -> DataFrame:
@@ -236,11 +274,12 @@ def find_groups(docs: DataFrame) -> DataFrame:
     grouped = signed.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("row").alias("id"), F.min("signature").alias("signature"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = materialize(grouped.repartition(width, "id"), "classes")
-    tried = materialize(_hub_pairs(classes), "tried")
-    links = materialize(confirmed(tried, docs), "links")
+    shared = materialize(_shared_keys(classes), "shared")
+    tried = materialize(compared(materialize(_hub_pairs(shared), "pairs"), docs), "tried")
+    links = tried.where("linked").select("a", "b")
     parts = components(links).withColumnRenamed("node", "id")
-    rest = materialize(_cross_pairs(classes, parts).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = materialize(confirmed(rest, docs), "links")
+    rest = materialize(_cross_pairs(classes, shared, parts, tried), "pairs")
+    more = materialize(compared(rest, docs), "tried").where("linked").select("a", "b")
     if not more.isEmpty():
         parts = components(links.union(more)).withColumnRenamed("node", "id")
     named = classes.drop("signature").join(parts, "id", "left").select("n_shingles", "high", "low", F.coalesce("component", "id").alias("group"))
