@@ -180,7 +180,7 @@ def bm25_like(text: Column, query: list[str], k1: float = 1.5, b: float = 0.75,
     length = F.size(words)
     total = F.lit(0.0)
     for q in query:
-        tf = F.size(F.filter(words, lambda w, q=q: w == q)).cast("double")
+        tf = (F.size(words) - F.size(F.array_remove(words, q))).cast("double")
         total = total + tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
     return F.least(F.lit(1.0), total / len(query)) if query else F.lit(0.0)
 
