@@ -52,7 +52,8 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any])
             y += batch.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, np.int64)))], pa.binary())], names=["model"])
 
-    return pickle.loads(bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0]))
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found else fit([], np.zeros(0, np.int64))
 
 
 def blocks(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:

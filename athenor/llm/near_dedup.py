@@ -36,7 +36,7 @@ CHUNKS = MINIMA // CHUNK
 DISTANCE = 2 * CHUNKS - 1
 FINE, FINE_DISTANCE = 512, 162
 SIMILAR = 75
-HUB_KEYS, BLOCK, MEMO = 8, 1_024, 300_000
+HUB_KEYS, BLOCK, MEMO = 8, 1_024, 150_000
 SIGNED = "row long, doc_id long, n_shingles long, high long, low long, signature binary"
 
 _rng = np.random.default_rng(20_240_501)
