@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import blocks, whole_text
+from athenor.llm.common import parts, whole_text
 
 WIDTH, HEIGHT, RATE, UNIT = 64, 48, 24, 192
 BINS, WINDOW, FLOOR, SPREAD = 32, 8, 0.30, 3.0
@@ -401,19 +401,17 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1 << 20):
-                stored = films(texts[a:b])
-                read = [read_avi(data) for _, data in stored]
-                frames = np.stack(decode_frames([f for r in read for f in r["frames"]]))
-                differences, at, rows = histogram_differences(frames), 0, []
-                for doc_id, (n, data), film in zip(ids[a:b], stored, read, strict=True):
-                    count = len(film["frames"])
-                    payload = frames[at : at + count].tobytes()[: struct.unpack("<Q", film["extra"])[0]]
-                    rows.append((doc_id, n, payload, len(data), hashlib.sha256(data).hexdigest(), count, shot_cuts(np.append(0.0, differences[at + 1 : at + count])), data)[: len(names)])
-                    at += count
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+        for batch in (p for b in batches for p in parts(b, "text", 1 << 20)):
+            stored = films(batch.column(1).to_pylist())
+            read = [read_avi(data) for _, data in stored]
+            frames = np.stack(decode_frames([f for r in read for f in r["frames"]]))
+            differences, at, rows = histogram_differences(frames), 0, []
+            for doc_id, (n, data), film in zip(batch.column(0).to_pylist(), stored, read, strict=True):
+                count = len(film["frames"])
+                payload = frames[at : at + count].tobytes()[: struct.unpack("<Q", film["extra"])[0]]
+                rows.append((doc_id, n, payload, len(data), hashlib.sha256(data).hexdigest(), count, shot_cuts(np.append(0.0, differences[at + 1 : at + count])), data)[: len(names)])
+                at += count
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     source = whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     return source.mapInArrow(run, STORED + ", media binary" * keep_media)

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import blocks, whole_text
+from athenor.llm.common import parts, whole_text
 
-MEMO, LONG, NONE = 400_000, 48, np.int32(2**31 - 1)
+MEMO, LONG, NONE = 300_000, 48, np.int32(2**31 - 1)
 
 #: Unicode white space, as the pattern's \s has it; Python's own notion has four more.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -189,13 +189,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts, 2 << 20):
-                ids = words.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"]
-                )
+        for batch in (p for b in batches for p in parts(b)):
+            ids = words.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,11 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any])
     return pickle.loads(bytes(found[0])) if found else fit([], np.zeros(0, np.int64))
 
 
-def blocks(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def parts(batch: pa.RecordBatch, column: str | int = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, so that only one slice at a time becomes Python strings."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    which = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)

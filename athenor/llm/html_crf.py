@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athenor.llm.common import parts
+
 EXTRACTED = "page_id long, url string, text string, n_chars long, n_blocks int, kept_blocks array<int>"
 
 _TOKEN = re.compile(
@@ -311,7 +313,7 @@ def extract(pages: DataFrame, model: BlockCRF | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "html")):
             rows = [crf.extract(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import whole_text
+from athenor.llm.common import parts, whole_text
 
 THRESHOLD = Fraction(4, 5)
 
@@ -61,7 +61,7 @@ def line_frequencies(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             for text in batch.column(0).to_pylist():
                 for line in normalised(text).split(b"\n"):
                     total.update(words.intersection(line.split()))
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, frequency)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 plain = normalised(text)

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.storage import materialize
-from athenor.llm.common import blocks, whole_text
+from athenor.llm.common import parts, whole_text
 
-LONGEST, CLOSING, MEMO = 2048, 1, 500_000
+LONGEST, CLOSING, MEMO = 2048, 1, 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
 
 #: Characters that the libraries and Python disagree on as white space; texts with one are encoded whole.
@@ -111,20 +111,18 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, counts = encoder(path), TaskContext.get().partitionId(), [0] * (LONGEST.bit_length())
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                rows = []
-                for doc_id, data in zip(ids[a:b], words.documents(texts[a:b]), strict=True):
-                    data += CLOSING.to_bytes(4, "little")
-                    n, start = len(data) // 4, 0
-                    for length in binary_lengths(n):
-                        bucket = length.bit_length() - 1
-                        rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, bucket, part, counts[bucket]))
-                        counts[bucket] += 1
-                        start += length
-                kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        for batch in (p for b in batches for p in parts(b)):
+            rows = []
+            for doc_id, data in zip(batch.column(0).to_pylist(), words.documents(batch.column(1).to_pylist()), strict=True):
+                data += CLOSING.to_bytes(4, "little")
+                n, start = len(data) // 4, 0
+                for length in binary_lengths(n):
+                    bucket = length.bit_length() - 1
+                    rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, bucket, part, counts[bucket]))
+                    counts[bucket] += 1
+                    start += length
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, PIECES)
 

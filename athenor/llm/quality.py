@@ -10,17 +10,17 @@ Null texts count as empty; an empty text scores by the bias alone. Repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, whole_text
+from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 15_000
-BUCKETS, DIM, MEMO = 1 << 17, 8, 400_000
+BUCKETS, DIM, MEMO = 1 << 17, 8, 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,26 +62,30 @@ def pair_buckets(hashes: np.ndarray) -> np.ndarray:
 class QualityModel:
     moves: np.ndarray  # BUCKETS numbers: words, character n-grams and word pairs
     bias: float
-    memo: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.memo: dict[bytes, int] = {}  # place of a word met before in the three arrays
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of moves, number of features and hash for each word; a bounded memo holds the words met before."""
+        """Sum of moves, number of features and hash for each word; words met before are kept up to a bound."""
         memo = self.memo
         new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                buckets, owner, whole = word_features(part)
-                sums = np.bincount(owner, self.moves[buckets], minlength=len(part))
-                memo.update(zip(part, zip(sums.tolist(), np.bincount(owner, minlength=len(part)).tolist(), whole.tolist(), strict=True), strict=True))
-        got = list(map(memo.__getitem__, words))
-        if not got:
-            return np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
-        s, n, h = zip(*got, strict=True)
-        return np.array(s), np.array(n), np.array(h, np.uint64)
+        held = len(memo)
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            buckets, owner, whole = word_features(part)
+            memo.update(zip(part, range(len(memo), len(memo) + len(part)), strict=True))
+            self.sums = np.append(self.sums, np.bincount(owner, self.moves[buckets], minlength=len(part)))
+            self.counts = np.append(self.counts, np.bincount(owner, minlength=len(part)))
+            self.hashes = np.append(self.hashes, whole)
+        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        out = self.sums[at], self.counts[at], self.hashes[at]
+        if len(memo) > MEMO:
+            for w in new:
+                del memo[w]
+            self.sums, self.counts, self.hashes = self.sums[:held].copy(), self.counts[:held].copy(), self.hashes[:held].copy()
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1 for each whole text; texts go through in blocks of bounded size, long ones in parts."""
@@ -163,7 +167,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             scores = shared.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -181,7 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             keep = shared.value.scores([t or "" for t in texts]) >= threshold
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, whole_text
+from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 8_000, 60_000, 4_096
 SCORED = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
@@ -45,7 +45,7 @@ class WordWeights(dict):
         weight = self.weights.get(word, 0.0)
         if len(word) > 5:
             weight += self.weights.get(b"^" + word[:5], 0.0)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = weight
         return weight
 
@@ -102,9 +102,9 @@ def fit(texts: list[str], y: np.ndarray, vocabulary: int = VOCABULARY, steps: in
 def score_text(bias: float, weights: WordWeights, text: str) -> tuple[float, int, list[dict]]:
     """Noisy-or score, number of sentences, and the sentences of probability 0.5 or more with UTF-8 byte offsets."""
     get = weights.__getitem__
-    at, total, found, parts = 0, 0.0, [], sentences(text)
+    at, total, found, split = 0, 0.0, [], sentences(text)
     quiet = log1p(exp(bias)) if bias < 30 else bias
-    for part in parts:
+    for part in split:
         z = sum(map(get, set(part.split())))
         if z:
             z += bias
@@ -114,7 +114,7 @@ def score_text(bias: float, weights: WordWeights, text: str) -> tuple[float, int
         else:
             total += quiet
         at += len(part) + 1
-    return -expm1(-total), len(parts), found
+    return -expm1(-total), len(split), found
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> ToxicityModel:
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         weights = WordWeights(model.weights)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             rows = [score_text(model.bias, weights, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -159,7 +159,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         weights = WordWeights(model.weights)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             keep = [score_text(model.bias, weights, t or "")[0] < threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
