@@ -70,6 +70,11 @@ class WordEncoder:
             at = end
 
     def _learn_words(self, new: list[str]) -> None:
+        old = unicodedata.ucd_3_2_0.category  # libraries may disagree about characters that came later; such words go whole
+        late = [w for w in new if not w.isascii() and any(old(c) == "Cn" for c in w)]
+        if late:
+            self.words.update((w, self.ids(w)) for w in late)
+            new = list(set(new).difference(late))
         split = [self.split(w.lower() if w.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", w)))) for w in new]
         tokens = self.tokens
         unknown = list({t for parts in split for t in parts if t not in tokens})
