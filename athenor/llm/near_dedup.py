@@ -289,7 +289,7 @@ def find_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = materialize(find_groups(docs), "groups")
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    least = materialize(rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least")  # so that the join can be split
     joined = rows.join(least, "group", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
