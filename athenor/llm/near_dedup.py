@@ -298,5 +298,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group: the smallest doc_id's, then the first."""
     rows = materialize(find_groups(docs).where("group is not null").select("row", "doc_id", "group"), "groups")
     best = rows.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    dropped = rows.join(best.where("n > 1").select("group", F.col("best.row").alias("stays")), "group").where("row <> stays")
+    best = materialize(best.where("n > 1").select("group", F.col("best.row").alias("stays")), "best")
+    dropped = rows.join(best, "group").where("row <> stays")
     return without_rows(docs, dropped)
