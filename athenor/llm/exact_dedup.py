@@ -3,8 +3,8 @@
 A text is its byte length (first digit) and then its bytes. Level by level the rows are split by the next digits: the
 length with 32 bytes over all rows, of which singletons leave at once without moving their texts; then the rows still
 open are merged inside each map task; then groups that are still large are split by eight times as many bytes, until all
-are small or their texts have ended. Each small group is split to the end, byte strings against byte strings, in
-one task. No digest decides: ``text_sha256`` is only reported.
+are small or their texts have ended. Ended groups are equal and only summed, with sums combined before they move; each
+small group is split to the end, byte strings against byte strings, in one task. No digest decides: ``text_sha256`` is only reported.
 
 Texts are compared after each run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as empty. The row with the
 smallest doc_id stays, of repeated rows with one doc_id the first; null ids stay only if a group has no other. The
@@ -124,6 +124,21 @@ def _split_large(reps: DataFrame) -> DataFrame:
         reps = keyed.withColumn("take", F.when(F.col("more"), F.col("take") * 8).otherwise(F.col("take"))).drop("size", "digits", "more")
 
 
+def _resolved(reps: DataFrame) -> DataFrame:
+    """rep, keep_id, keep_row, group_size: groups whose digits are their whole texts are equal and only summed; small ones are split on."""
+    whole, rest = reps.where("take >= size"), reps.where("take < size")
+    least = F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_row")).alias("best")
+    sums = whole.groupBy("size", "digits").agg(least, F.sum("n").alias("group_size"))
+    ended = whole.select("rep", "size", "digits").join(sums, ["size", "digits"])
+    split = (
+        rest.select("rep", "n", "first_id", "first_row", "norm", "size", "digits")
+        .repartition("size", "digits")
+        .sortWithinPartitions("size", "digits")
+        .mapInArrow(_resolve, "rep long, keep_id long, keep_row long, group_size long")
+    )
+    return split.unionByName(ended.select("rep", F.col("best.first_id").alias("keep_id"), F.col("best.first_row").alias("keep_row"), "group_size"))
+
+
 def find_copies(docs: DataFrame) -> DataFrame:
     """row, doc_id, keep_id, group_size, kept, text_sha256 for each row; ``row`` is monotonically_increasing_id() of ``docs``."""
     texts = whole_text(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
@@ -135,13 +150,7 @@ def find_copies(docs: DataFrame) -> DataFrame:
         groups = F.broadcast(groups)
     marked = texts.join(groups, ["size", "digits"], "left").select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("open"), F.col("norm")).alias("norm"))
     rows = materialize(marked.mapInArrow(_merge_in_task, OPEN), "open")
-    reps = _split_large(rows.where("norm is not null").select("rep", "n", "first_id", "first_row", "norm"))
-    resolved = (
-        reps.select("rep", "n", "first_id", "first_row", "norm", "size", "digits")
-        .repartition("size", "digits")
-        .sortWithinPartitions("size", "digits")
-        .mapInArrow(_resolve, "rep long, keep_id long, keep_row long, group_size long")
-    )
+    resolved = _resolved(_split_large(rows.where("norm is not null").select("rep", "n", "first_id", "first_row", "norm")))
     joined = rows.select("row", "doc_id", "rep", "text_sha256").join(resolved, "rep", "left")
     alone = F.col("rep").isNull()
     return joined.select(
