@@ -1,9 +1,14 @@
-"""License notices by an exact set-similarity join between lines of text and notice templates.
+"""License notices by an exact set-similarity join between text and notice templates.
 
-A line meets a template if it has at least THRESHOLD of the template's distinct words. Words are ordered by the number of
-lines of the whole corpus that have them, rarest first. A template that a line meets must have one of its first
-``n - ceil(THRESHOLD * n) + 1`` words in the line (prefix filter), the line must be long enough (length filter), and the words
-behind that first common word must still suffice on both sides (positional filter); what passes is counted exactly.
+A template is met by a line, or by a stretch of consecutive words over any lines that is no longer than the template, if the
+line or stretch has at least THRESHOLD of the template's distinct words, the template's DECIDING words and none of the RIVALS,
+which name another licence. Words that decide stand one after another where they are several.
+
+Lines: words are ordered by the number of lines of the whole corpus that have them, rarest first. A template that a line meets
+must have one of its first ``n - ceil(THRESHOLD * n) + 1`` words in the line (prefix filter), the line must be long enough
+(length filter), and the words behind that first common word must still suffice on both sides (positional filter); what passes
+is counted exactly. Stretches: only a text that has enough of a template's words and what decides is looked at; a window slides
+over its words, and of overlapping stretches the best counts. A stretch with a line that meets the template is no second match.
 
 The plain labels come from phrases found word by word anywhere in the text, also across lines; the join adds its own.
 Null and empty texts have no words and no labels; null ids and repeated rows stay as they are.
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +51,36 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
+#: (label, words that tell which templates of the label are meant, phrases one of which has to be there).
+DECIDING = [
+    ("mit", "mit license", ("mit",)),
+    ("mit", "associated documentation", ("associated documentation",)),
+    ("mit", "this software", ("this software",)),
+    ("apache-2", "apache", ("apache",)),
+    ("apache-2", "2", ("2",)),
+    ("bsd", "redistribution", ("redistribution",)),
+    ("bsd", "source and binary", ("binary",)),
+    ("bsd", "permitted", ("permitted",)),
+    ("gpl", "gnu general public", ("gnu general public", "gnu public")),
+    ("mpl-2", "mozilla", ("mozilla",)),
+    ("mpl-2", "2", ("2",)),
+    ("cc-by", "attribution", ("attribution",)),
+    ("cc-by-sa", "sharealike", ("sharealike", "share alike")),
+    ("cc-by-nc", "noncommercial", ("noncommercial", "non commercial")),
+    ("cc-by-nc", "by nc", ("by nc",)),
+    ("cc0", "waived", ("waived",)),
+    ("cc0", "copyright", ("copyright",)),
+]
+
+_NC = ("noncommercial", "non commercial")
+_ND = ("noderivatives", "no derivatives", "noderivs", "no derivs")
+#: Phrases of other licences. As with the phrase "cc by nc", cc-by-nc also stands for its stricter forms.
+RIVALS = {
+    "gpl": ("gnu lesser", "gnu library", "gnu affero"),
+    "cc-by": (*_NC, *_ND, "sharealike", "share alike"),
+    "cc-by-sa": (*_NC, *_ND),
+}
+
 #: A-Z become a-z, line ends stay, ASCII but letters and digits becomes a space; other bytes belong to words.
 _CLASSES = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 
@@ -55,6 +91,20 @@ def normalised(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(_CLASSES)
 
 
+def _joined(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
+def _places(joined: bytes, phrase: bytes) -> Iterator[tuple[int, int]]:
+    """Numbers of the first and last word wherever the phrase stands."""
+    size, at, number, seen = phrase.count(b" ") - 1, joined.find(phrase), 0, 0
+    while at >= 0:
+        number += joined.count(b" ", seen, at)
+        seen = at
+        yield number, number + size - 1
+        at = joined.find(phrase, at + 1)
+
+
 def line_frequencies(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> dict[bytes, int]:
     """Number of lines of all documents that have each template word; only these counts, one for a template word, reach the driver."""
     words = frozenset(w for _, t in templates for w in normalised(t).split())
@@ -78,17 +128,30 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: Fraction = THRESHOLD) -> None:
         self.order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.words = frozenset(self.order)
-        self.templates, self.by_word = [], {}
+        self.templates, self.by_word, self.wanted, self.rivals, self.spans = [], {}, [], [], []
         for label, text in templates:
             own = sorted({self.order[w] for w in normalised(text).split()})
             need = ceil(threshold * len(own))
             for place, w in enumerate(own[: len(own) - need + 1]):
                 self.by_word.setdefault(w, []).append((len(self.templates), place))
             self.templates.append((label, own, need))
+            words = normalised(text).split()
+            joined = _joined(words)
+            self.wanted.append([[_joined(a.encode().split()) for a in some] for name, mark, some in DECIDING if name == label and _joined(mark.encode().split()) in joined])
+            self.rivals.append([_joined(r.encode().split()) for r in RIVALS.get(label, ())])
+            self.spans.append((frozenset(words), len(words)))
         self.least = min((need for _, _, need in self.templates), default=1)
 
     def matches(self, line: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the line meets."""
+        """(label, containment) of every template that has enough words in the line."""
+        return [(self.templates[t][0], containment) for t, containment in self.contained(line)]
+
+    def decided(self, t: int, joined: bytes) -> bool:
+        """Whether the joined words have what decides for the template."""
+        return all(any(a in joined for a in some) for some in self.wanted[t])
+
+    def contained(self, line: list[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of every template that has enough words in the line."""
         common = self.words.intersection(line)
         if len(common) < self.least:
             return []
@@ -102,12 +165,59 @@ class TemplateIndex:
                 if len(own) >= need and min(len(own) - at, len(words) - place) >= need:
                     both = len(set(words).intersection(own))
                     if both >= need:
-                        found.append((label, both / len(words)))
+                        found.append((t, both / len(words)))
         return found
 
+    def on_line(self, line: list[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of every template that the line meets."""
+        found = self.contained(line)
+        joined = _joined(line) if found else b""
+        return [(t, c) for t, c in found if self.decided(t, joined) and not any(r in joined for r in self.rivals[t])]
+
+    def stretches(self, words: list[bytes], joined: bytes) -> Iterator[tuple[int, float, int, int]]:
+        """(template, containment, first and last word) of the best of overlapping stretches that meet a template."""
+        common = self.words.intersection(words)
+        if len(common) < self.least:
+            return
+        for t, (own, length) in enumerate(self.spans):
+            need = self.templates[t][2]
+            if len(own & common) < need or not self.decided(t, joined):
+                continue
+            wanted = [sorted((e, a) for phrase in some for a, e in _places(joined, phrase)) for some in self.wanted[t]]
+            rivals = sorted((e, a) for phrase in self.rivals[t] for a, e in _places(joined, phrase))
+            at, latest, rival = [0] * len(wanted), [-1] * len(wanted), 0
+            inside: Counter = Counter()
+            places = [i for i, w in enumerate(words) if w in own]
+            low, begin, best = 0, 0, None
+            for last in places:
+                inside[words[last]] += 1
+                begin = max(begin, last - length + 1)
+                while rival < len(rivals) and rivals[rival][0] <= last:  # a stretch begins behind the start of the last rival
+                    begin = max(begin, rivals[rival][1] + 1)
+                    rival += 1
+                while low < len(places) and places[low] < begin:
+                    if places[low] <= last:
+                        inside[words[places[low]]] -= 1
+                        if not inside[words[places[low]]]:
+                            del inside[words[places[low]]]
+                    low += 1
+                for k, ends in enumerate(wanted):
+                    while at[k] < len(ends) and ends[at[k]][0] <= last:
+                        latest[k] = max(latest[k], ends[at[k]][1])
+                        at[k] += 1
+                if len(inside) < need or min(latest, default=begin) < begin:
+                    continue
+                if best and places[low] > best[2]:
+                    yield (t, *best)
+                    best = None
+                if not best or len(inside) / len(own) > best[0]:
+                    best = len(inside) / len(own), places[low], last
+            if best:
+                yield (t, *best)
+
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """FOUND for every row and whole text; ``matches`` has the lines (from 0) that meet a template."""
+    """FOUND for every row and whole text; ``matches`` has the lines (from 0) that meet a template or begin a stretch that does."""
     frequency = line_frequencies(docs, templates)
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
@@ -118,7 +228,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 plain = normalised(text)
                 words = plain.split()
-                joined = b" " + b" ".join(words) + b" "
+                joined = _joined(words)
                 starts, base, hits = [], set(), []
                 for phrase, label in sought:
                     at = joined.find(phrase)
@@ -127,8 +237,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                         base.add(label)
                         at = joined.find(phrase, at + 1)
                 if not index.words.isdisjoint(words):
-                    for n, line in enumerate(plain.split(b"\n")):
-                        hits += [{"line": n, "label": label, "containment": c} for label, c in index.matches(line.split())]
+                    lines, found, met = [line.split() for line in plain.split(b"\n")], [], set()
+                    for n, line in enumerate(lines):
+                        for t, c in index.on_line(line):
+                            found.append((n, t, c))
+                            met.add((t, n))
+                    ends = None
+                    for t, c, first, last in index.stretches(words, joined):
+                        ends = np.cumsum([len(line) for line in lines]) if ends is None else ends
+                        a, b = np.searchsorted(ends, (first, last), "right").tolist()
+                        if not any((t, n) in met for n in range(a, b + 1)):
+                            found.append((a, t, c))
+                    hits = [{"line": n, "label": index.templates[t][0], "containment": c} for n, t, c in sorted(found)]
                 score = 1.0 if base else max((h["containment"] for h in hits), default=0.0)
                 labels = base | {h["label"] for h in hits}
                 rows.append((doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, hits))

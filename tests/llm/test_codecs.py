@@ -232,6 +232,57 @@ def test_license_rows(spark):
     assert licenses.scan(hard(spark)).count() == len(hard_rows()) and licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_notices_and_near_misses(spark):
+    wrapped = {
+        "mit": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n */",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+        "apache-2": "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+        "mpl-2": "This Source Code Form is subject\nto the terms of the Mozilla\nPublic License, v. 2.0.",
+        "cc-by": "This work is licensed under a\nCreative Commons Attribution 4.0 International License",
+        "cc-by-sa": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License",
+        "cc-by-nc": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License",
+        "cc0": "To the extent possible under law, the author\nhas waived all copyright and related or\nneighboring rights to this work",
+    }
+    misses = [
+        "Released under the terms of the GNU license", "Licensed under the Apache License, Version 1.0", "This work is licensed under the GNU Free Documentation License, version 1.3",
+        "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License. See the GNU General Public License",
+        "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.osedu.org/licenses/ECL-2.0", "Licensed under CC BY SA 4.0",
+        "This program is free software: you can\n" + "zzz " * 30 + "\nredistribute it and/or modify it under the terms of the " + "zzz " * 30 + "GNU General Public License",
+    ]
+    texts = [f"some prose\nbefore it\n{t}\nand behind it" for t in [*wrapped.values(), *misses[:-1]]] + [misses[-1]]
+    got = [r for _, r in sorted((r.doc_id, r) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    assert [r.labels for r in got[:9]] == list(wrapped) and all(r.score == 1 for r in got[:9])
+    assert [r.matches[0].line for r in got[:9]] == [3, *[2] * 8] and all(len(r.matches) == 1 for r in got[:9])
+    # of the last, one line has 15 of the 16 words needed
+    assert [r.labels for r in got[9:]] == [""] * len(misses)
+
+
+def test_stretches_against_all_stretches():
+    import random
+
+    rng = random.Random(1)
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {w: 1 for _, t in licenses.TEMPLATES for w in licenses.normalised(t).split()})
+    for _ in range(300):
+        words = []
+        for _ in range(3):
+            words += [rng.choice([b"zzz", b"sharealike", b"noncommercial", b"license", b"affero"]) for _ in range(rng.randint(0, 4))]
+            for w in licenses.normalised(rng.choice(licenses.TEMPLATES)[1]).split():
+                words += [w] * (rng.random() < 0.9) + [rng.choice([b"zzz", b"noncommercial", b"lesser"])] * (rng.random() < 0.04)
+        found = list(index.stretches(words, licenses._joined(words)))
+        want = {}
+        for t, (own, length) in enumerate(index.spans):
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + length) + 1):
+                    part = words[a:b]
+                    joined = licenses._joined(part)
+                    if len(own.intersection(part)) >= index.templates[t][2] and index.decided(t, joined) and not any(r in joined for r in index.rivals[t]):
+                        want[t] = max(want.get(t, 0), len(own.intersection(part)) / len(own))
+        assert want == {t: max(c for u, c, *_ in found if u == t) for t in {f[0] for f in found}}
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 
 
