@@ -5,10 +5,10 @@ predicts the VOCABULARY most frequent words, the end, and for other words one of
 word has its kind's probability times its add-one share in that kind. The softmax first names one of CLASSES classes (the end with
 all kinds, then words of neighbouring frequency), then the member of the class.
 
-Counts cover all training documents. Every training document also gives one stretch of text, from a place that a hash of it
-chooses, to truncated backpropagation: stretches are dealt to shards, each shard goes through them in windows that carry
-the state on, and after each of ROUNDS rounds Spark averages the shards' weights. Scoring carries the state over all
-windows of a whole document.
+Counts and truncated backpropagation cover all words of all training documents: a document is cut into consecutive pieces of
+PIECE words, the pieces are dealt to shards, each shard goes through all of its pieces in windows that carry the state on
+inside a piece, and after each of ROUNDS rounds, which all see every piece, Spark averages the shards' weights. Scoring carries
+the state over all windows of a whole document.
 
 Null texts count as empty and consist of the end alone; repeated rows give repeated results; null ids stay.
 """
@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ OTHERS = MEMBERS - 1
 VOCABULARY = (CLASSES - 1) * MEMBERS
 END = 0
 HEAD, HEAD_BYTES, BLOCK_CHARS = 300_000, 64, 6 << 20
-WINDOW, STRETCH, STREAMS, ROUNDS, LEAST_UPDATES = 24, 48, 64, 3, 120
+WINDOW, PIECE, STREAMS, MOST_STREAMS, ROUNDS, LEAST_UPDATES, HELD_PIECES = 24, 480, 64, 512, 3, 120, 8_192
 FIXED = float(1 << 40)
 LN10 = float(np.log(10.0))
 
@@ -207,27 +208,43 @@ def gradients(p: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, re
     return g, h, loss / count
 
 
-def train_stretches(p: dict[str, np.ndarray], stretches: list[np.ndarray], rate: float, least: int = LEAST_UPDATES) -> dict[str, np.ndarray]:
-    """Adam over the stretches, STREAMS side by side, windows of one stretch in a row with the state carried on."""
+def train_pieces(p: dict[str, np.ndarray], pieces: Iterator[np.ndarray], rate: float, least: int = LEAST_UPDATES) -> dict[str, np.ndarray]:
+    """Adam over all windows of all pieces, of which HELD_PIECES at a time are held; pieces of like length go side by side.
+
+    Windows of one piece follow each other with the state carried on. Pieces that can all be held and make few updates are
+    gone through up to 12 times; many go more side by side.
+    """
     p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    passes, t = max(1, min(12, least * STREAMS // max(1, 2 * len(stretches)))), 0
-    for turn in range(passes):
-        for a in range(0, len(stretches), STREAMS):
-            part = stretches[a : a + STREAMS]
-            longest = max(map(len, part))
-            ids, real = np.full((longest, len(part)), END, np.int64), np.zeros((longest, len(part)), bool)
-            for i, s in enumerate(part):
-                ids[: len(s), i], real[: len(s), i] = s, True
-            h = np.zeros((len(part), STATE), np.float32)
-            for w in range(0, longest - 1, WINDOW):
-                seen, target, use = ids[w : min(w + WINDOW, longest - 1)], ids[w + 1 : w + WINDOW + 1], real[w + 1 : w + WINDOW + 1]
-                g, h, _ = gradients(p, seen, target, use, h)
-                t += 1
-                for k, x in p.items():
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.01 * (g[k] * g[k] - v[k])
-                    x -= (rate * (1 - 0.5 * turn / passes) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k]) + 1e-7)
+    m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    rng = np.random.default_rng(5)
+    held, whole = list(islice(pieces, HELD_PIECES)), True
+    while held:
+        after = list(islice(pieces, HELD_PIECES))
+        whole = whole and not after
+        held.sort(key=len, reverse=True)
+        streams = min(MOST_STREAMS, max(STREAMS, len(held) // 16))
+        batches = [held[a : a + streams] for a in range(0, len(held), streams)]
+        updates = sum(-(-(len(b[0]) - 1) // WINDOW) for b in batches)
+        passes = max(1, min(12, least // max(1, updates))) if whole else 1
+        for turn in range(passes):
+            for i in rng.permutation(len(batches)):
+                part = batches[i]
+                sizes = np.array([len(s) - 1 for s in part])  # longest first; each id but the leading one is predicted once
+                h = np.zeros((len(part), STATE), np.float32)
+                for w in range(0, int(sizes[0]), WINDOW):
+                    live = int(np.searchsorted(-sizes, -w))  # the first ``live`` go on
+                    end = np.minimum(sizes[:live] - w, WINDOW)
+                    steps = int(end[0])
+                    ids = np.full((steps + 1, live), END, np.int64)
+                    for j in range(live):
+                        ids[: end[j] + 1, j] = part[j][w : w + end[j] + 1]
+                    g, h, _ = gradients(p, ids[:-1], ids[1:], np.arange(steps)[:, None] < end, h[:live])
+                    t += 1
+                    for k, x in p.items():
+                        m[k] += 0.1 * (g[k] - m[k])
+                        v[k] += 0.01 * (g[k] * g[k] - v[k])
+                        x -= (rate * (1 - 0.5 * turn / passes) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k]) + 1e-7)
+        held = after
     return p
 
 
@@ -267,31 +284,31 @@ def _ids_of(head: dict[bytes, int]) -> dict[bytes, int]:
     return {w: i + MEMBERS for i, w in zip(range(VOCABULARY), head)}
 
 
-def _stretches(training: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(place, turn, stretch): up to STRETCH ids behind one leading id of each document, begun where its crc32 says.
+def _pieces(training: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """(place, turn, piece): for every document consecutive runs of up to PIECE ids, each behind the id before it; END closes the last.
 
-    ``turn`` counts the rows of a task, so that copies of one document are dealt to many shards.
+    ``turn`` counts the pieces of a task, so that those of one document and of its copies are dealt to many shards.
     """
     shared = training.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, turn = shared.value.get, 0
         for batch in (p for b in batches for p in parts(b)):
-            places, out = [], []
+            places, sizes, out = [], [], []
             for text in batch.column(0).to_pylist():
                 data = text.encode("utf-8", "replace").lower()
-                words, crc = data.split(), zlib.crc32(data)
-                at = crc % max(1, len(words) + 2 - STRETCH)
-                tail = [get(w) or kind_of(w) for w in words[at : at + STRETCH]]
-                if at + STRETCH > len(words):
-                    tail.append(END)
-                places.append(crc)
-                out.append([(get(words[at - 1]) or kind_of(words[at - 1])) if at else END, *tail])
+                own = np.array([END, *(get(w) or kind_of(w) for w in data.split()), END], np.int16)
+                cuts = range(0, len(own) - 1, PIECE)
+                places += [zlib.crc32(data)] * len(cuts)
+                for at in cuts:
+                    out.append(own[at : at + PIECE + 1])
+                    sizes.append(len(out[-1]))
             turns = np.arange(turn, turn + len(out))
             turn += len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(turns, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["place", "turn", "stretch"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(turns, pa.int64()), lists], names=["place", "turn", "piece"])
 
-    return whole_text(training).mapInArrow(run, "place long, turn long, stretch array<int>")
+    return whole_text(training).mapInArrow(run, "place long, turn long, piece array<short>")
 
 
 def train(training: DataFrame, counts: Counts) -> dict[str, np.ndarray]:
@@ -305,20 +322,19 @@ def train(training: DataFrame, counts: Counts) -> dict[str, np.ndarray]:
     p = start(share / max(1, share.sum()))
     if not counts.documents:
         return p
-    stretches = materialize(_stretches(training, ids), "stretches")
+    pieces = materialize(_pieces(training, ids), "pieces")
     shards = spark.sparkContext.defaultParallelism
     for turn in range(ROUNDS):
         flat = spark.sparkContext.broadcast(flatten(p))
         rate = 0.02 / 2**turn
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, rate=rate) -> Iterator[pa.RecordBatch]:
-            own = [np.array(s, np.int64) for batch in batches for s in batch.column(2).to_pylist()]
-            if own:
-                new = flatten(train_stretches(unflatten(flat.value), own, rate)).astype(np.float64)
+            own = (s.values.to_numpy() for batch in batches for s in batch.column(2))
+            if (first := next(own, None)) is not None:
+                new = flatten(train_pieces(unflatten(flat.value), chain([first], own), rate)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(np.rint(new * FIXED).astype(np.int64))], names=["i", "weight"])
 
-        part = stretches.where(F.pmod(F.xxhash64("place", "turn"), F.lit(ROUNDS)) == turn)
-        dealt = part.repartition(shards, "place", "turn").sortWithinPartitions("place", "turn", "stretch")
+        dealt = pieces.repartition(shards, "place", "turn").sortWithinPartitions(F.xxhash64("turn", "place"), "place", "turn", "piece")
         means = dealt.mapInArrow(run, "i long, weight long").groupBy("i").agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
         rows = means.select("i", (F.col("s").cast("double") / F.col("n")).alias("w")).orderBy("i").collect()  # one for each weight
         if rows:

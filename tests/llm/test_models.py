@@ -116,6 +116,25 @@ def test_state_goes_on_over_windows(monkeypatch):
     assert np.allclose(short, language_model.score_ids(p, docs, 64), rtol=1e-4)
 
 
+def test_every_word_of_every_document_is_trained_in_every_round(spark, monkeypatch):
+    texts = ["", "one", " ".join(f"w{i % 1_500}" for i in range(2_500)), " ".join(f"w{i % 7}" for i in range(language_model.PIECE))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    ids = language_model._ids_of(language_model.count_corpus(docs)[1].head)
+    own = [[ids.get(w) or language_model.kind_of(w) for w in language_model.words_of(t)] + [language_model.END] for t in texts]
+    rows = sorted(language_model._pieces(docs, ids).collect(), key=lambda r: r.turn)
+    assert [i for r in rows for i in r.piece[1:]] == [i for d in own for i in d] and max(len(r.piece) for r in rows) == language_model.PIECE + 1
+    seen, real_gradients = [], language_model.gradients
+
+    def count(p, ids, target, real, h):
+        seen.append(int(real.sum()))
+        return real_gradients(p, ids, target, real, h)
+
+    monkeypatch.setattr(language_model, "gradients", count)
+    p = language_model.start(np.ones(language_model.CLASSES * language_model.MEMBERS))
+    language_model.train_pieces(p, iter(np.array(r.piece) for r in rows), 0.02, least=1)
+    assert sum(seen) == sum(map(len, own))
+
+
 def test_pages_of_other_layouts():
     model = html_crf.train()
     pages = html_crf.labelled_pages(150, seed=77)
