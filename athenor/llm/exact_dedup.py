@@ -7,8 +7,8 @@ are small or their texts have ended. Ended groups are equal and only summed, wit
 small group is split to the end, byte strings against byte strings, in one task. No digest decides: ``text_sha256`` is only reported.
 
 Texts are compared after each run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as empty. The row with the
-smallest doc_id stays, of repeated rows with one doc_id the first; null ids stay only if a group has no other. The
-input must list its rows in the same order whenever it is read, as a table does.
+smallest doc_id stays, of repeated rows with one doc_id the first; null ids stay only if a group has no other. Row
+numbers are made in one scan only; where a later step needs them too, they are written with the rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from athenor.functions.storage import materialize
 from athenor.llm.common import whole_text
 
 FIRST_DIGITS, LARGE_GROUP, BROADCAST_GROUPS, BROADCAST_IDS, BLOCK_BYTES = 32, 4_096, 200_000, 2_000_000, 16 << 20
+ROW = "_athenor_row"
 OPEN = "row long, doc_id long, rep long, text_sha256 string, norm binary, n long, first_id long, first_row long"
 
 
@@ -139,9 +140,15 @@ def _resolved(reps: DataFrame) -> DataFrame:
     return split.unionByName(ended.select("rep", F.col("best.first_id").alias("keep_id"), F.col("best.first_row").alias("keep_row"), "group_size"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a number for each row in ROW, so that all later scans agree however they are split."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def find_copies(docs: DataFrame) -> DataFrame:
-    """row, doc_id, keep_id, group_size, kept, text_sha256 for each row; ``row`` is monotonically_increasing_id() of ``docs``."""
-    texts = whole_text(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
+    """row, doc_id, keep_id, group_size, kept, text_sha256 for each row; ``row`` is the number in ROW, without one any unique number."""
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    texts = whole_text(docs.withColumn("row", number).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
     texts = texts.select("row", "doc_id", F.encode(F.regexp_replace("text", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), "UTF-8").alias("norm"))
     texts = texts.select("*", F.octet_length("norm").alias("size"), F.substring("norm", 1, FIRST_DIGITS).alias("digits"))
     groups = texts.groupBy("size", "digits").count().where("count > 1").select("size", "digits", F.lit(True).alias("open"))
@@ -169,13 +176,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose monotonically_increasing_id() is in ``dropped(row)``, broadcast only up to BROADCAST_IDS."""
-    dropped = materialize(dropped.select("row"), "dropped")
+    """The ``numbered`` rows whose number is not in ``dropped(row)``, broadcast only up to BROADCAST_IDS; the number goes."""
+    dropped = materialize(dropped.select(F.col("row").alias(ROW)), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(dropped, "row", "left_anti").select(*docs.columns)
+    return docs.join(dropped, ROW, "left_anti").select(*(c for c in docs.columns if c != ROW))
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay."""
+    docs = numbered(docs)
     return without_rows(docs, find_copies(docs).where(~F.col("kept")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from athenor.functions.storage import materialize
 from athenor.iterative.components import components
 from athenor.llm.common import whole_text
-from athenor.llm.exact_dedup import BROADCAST_IDS, without_rows
+from athenor.llm.exact_dedup import BROADCAST_IDS, ROW, numbered, without_rows
 
 WORDS, MINIMA, CHUNK = 5, 64, 4
 CHUNKS = MINIMA // CHUNK
@@ -128,7 +128,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return whole_text(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
+    return whole_text(docs.withColumn("row", F.col(ROW)).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def find_groups(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, group (null for an empty set): rows of one group are linked, directly or over others.
 
-    ``row`` is monotonically_increasing_id() of ``docs``, which must list its rows in the same order whenever it is read.
+    ``docs`` is a ``numbered`` table and ``row`` its number.
     """
     signed = materialize(sign(docs), "signed")
     grouped = signed.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("row").alias("id"), F.min("signature").alias("signature"))
@@ -288,7 +288,7 @@ def find_groups(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    rows = materialize(find_groups(docs), "groups")
+    rows = materialize(find_groups(numbered(docs.select("doc_id", "text"))), "groups")
     least = materialize(rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "least")  # so that the join can be split
     joined = rows.join(least, "group", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -296,6 +296,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group: the smallest doc_id's, then the first."""
+    docs = numbered(docs)
     rows = materialize(find_groups(docs).where("group is not null").select("row", "doc_id", "group"), "groups")
     best = rows.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     best = materialize(best.where("n > 1").select("group", F.col("best.row").alias("stays")), "best")

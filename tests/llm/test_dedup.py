@@ -159,3 +159,23 @@ def test_every_signature_within_the_distance_shares_a_key():
         keys = next(iter(near_dedup._keys([batch]))).to_pydict()
         own = [{k for k, i in zip(keys["key"], keys["id"], strict=True) if i == x} for x in (1, 2)]
         assert own[0] & own[1]
+
+
+def test_rows_that_come_in_another_order_at_every_read(spark):
+    def turn(batches):
+        import os
+        import random
+
+        for batch in batches:
+            yield batch.take(random.Random(os.urandom(8)).sample(range(batch.num_rows), batch.num_rows))
+
+    texts = edited(seed=5)
+    rows = list(enumerate([*texts, *texts[:30]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(turn, "doc_id long, text string")
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(docs).collect()) == sorted(first.values())
+    want = {i: c for i, _, c in brute_near(rows)}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
+    assert sorted(r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()) == sorted(set(want.values()))
