@@ -10,6 +10,7 @@ Null or empty pages give an empty text; broken markup is read as far as it goes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -24,7 +25,7 @@ from athenor.llm.common import parts
 EXTRACTED = "page_id long, url string, text string, n_chars long, n_blocks int, kept_blocks array<int>"
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -54,10 +55,14 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order; white space inside a block is one space, character references are decoded."""
+def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order; white space inside a block is one space, character references are decoded.
+
+    Of the ancestors' features only the ``known`` ones are kept, which bounds a path however deep the page is; None keeps all.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    standing: Counter = Counter()  # open elements of each tag
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -89,17 +94,20 @@ def leaf_blocks(html: str) -> list[Block]:
         flush()
         if m["end"]:
             in_link = False
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while standing[tag]:
+                name = stack.pop()[0]
+                standing[name] -= 1
+                if name == tag:
                     break
             continue
         gone = CLOSES.get(tag, ("p",) if tag in ENDS_PARAGRAPH else ())
         while len(stack) > 1 and stack[-1][0] in gone:
-            stack.pop()
-        if tag not in VOID and len(stack) < 500:
-            own = _names(tag, m["attrs"] or "")
-            stack.append((tag, tuple(dict.fromkeys(stack[-1][1] + own + ("p:" + tag,)))) if len(stack[-1][1]) < 200 else (tag, stack[-1][1]))
+            standing[stack.pop()[0]] -= 1
+        if tag not in VOID:
+            path = stack[-1][1]
+            own = [f for f in dict.fromkeys((*_names(tag, m["attrs"] or ""), "p:" + tag)) if (known is None or f in known) and f not in path]
+            stack.append((tag, (*path, *own) if own else path))
+            standing[tag] += 1
     flush()
     return out
 
@@ -126,6 +134,9 @@ class BlockCRF:
     begin: np.ndarray
     memo: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.known = frozenset(self.weights) | {"t:article", "t:main"}
+
     def emissions(self, blocks: list[Block]) -> list[float]:
         get, memo = self.weights.get, self.memo
         inside = any("t:article" in b.path or "t:main" in b.path for b in blocks)
@@ -156,7 +167,7 @@ class BlockCRF:
 
     def extract(self, html: str) -> tuple[str, int, list[int]]:
         """Main text, number of blocks, numbers of the blocks kept."""
-        blocks = leaf_blocks(html)
+        blocks = leaf_blocks(html, self.known)
         kept = [i for i, y in enumerate(self.viterbi(blocks)) if y]
         return "\n".join(blocks[i].text for i in kept), len(blocks), kept
 

@@ -142,6 +142,20 @@ def test_pages_of_other_layouts():
     assert np.mean(right) >= 0.9
 
 
+def test_self_closed_svg_and_deep_pages():
+    def texts(html):
+        return [b.text for b in html_crf.leaf_blocks(html)]
+
+    assert texts('<article><h1>T</h1><svg class="i"/><p>one</p><svg a=">" /><p>two <svg/>more</p><svg><path d="m"/></svg><p>three</p></article>') == ["T", "one", "two more", "three"]
+    assert texts("<p>a</p><svg><title>no</title><g/></svg><p>b</p>") == ["a", "b"]
+    deep = "<article>" + "".join(f'<div class="k{chr(97 + i // 26)}{chr(97 + i % 26)}">' for i in range(600)) + '<div class="advert"><p>in</p></div><p>after</p>' + "</div>" * 600 + "<p>end</p></article><p>out</p>"
+    got = html_crf.leaf_blocks(deep)
+    assert ["c:advert" in b.path for b in got] == [True, False, False, False] and ["t:article" in b.path for b in got] == [True, True, True, False]
+    few = html_crf.leaf_blocks(deep, frozenset(["t:article", "c:advert"]))
+    assert [b.path for b in few] == [("t:article", "c:advert"), ("t:article",), ("t:article",), ()]
+    assert [b.path for b in html_crf.leaf_blocks("<div>" * 700 + "</div>" * 699 + '<p class="x">y</p></div></b></i><p>z', frozenset(["c:x", "t:div"]))] == [("t:div", "c:x"), ()]
+
+
 def test_broken_and_empty_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<article><p>a &amp; b<br>c</p><p>d"), (None, "u", "<<<>>> & <script>x"), (4, "u", "<article><p>a &amp; b<br>c</p><p>d")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
