@@ -91,8 +91,10 @@ class QualityModel:
         """Probability of label 1 for each whole text; texts go through in blocks of bounded size, long ones in parts."""
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         held, held_doc, size = [], [], 0
+        last: tuple[int, np.ndarray] | None = None  # text and hash of the last word before a flush, for the pair across it
 
         def flush() -> None:
+            nonlocal last
             if not held:
                 return
             words = [w for part in held for w in part]
@@ -104,10 +106,15 @@ class QualityModel:
             pairs = self.moves[pair_buckets(h)] * same
             total[:] += np.bincount(doc[1:], pairs, minlength=len(texts))
             count[:] += np.bincount(doc[1:], same, minlength=len(texts))
+            if len(doc):
+                if last and last[0] == doc[0]:
+                    total[doc[0]] += self.moves[pair_buckets(np.append(last[1], h[:1]))].sum()
+                    count[doc[0]] += 1
+                last = int(doc[-1]), h[-1:]
 
         for d, text in enumerate(texts):
             words = text.encode("utf-8", "replace").split()
-            for at in range(0, len(words), 100_000):  # parts overlap by one word for the pair across them
+            for at in range(0, len(words), 100_000):
                 if size > 200_000:
                     flush()
                     held, held_doc, size = [], [], 0

@@ -43,6 +43,17 @@ def test_classifiers_on_hard_rows(spark, module, apply, keep, column):
     assert apply(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_long_texts_score_alike_wherever_their_parts_are_cut():
+    model = quality.QualityModel(np.random.default_rng(0).normal(size=quality.BUCKETS), 0.0)
+    long = " ".join(f"w{i % 613}" for i in range(350_000))
+    words = long.encode().split()
+    s, n, h = model.words(words)
+    want = (s.sum() + model.moves[quality.pair_buckets(h)].sum()) / (n.sum() + len(words) - 1)
+    for before in ([], ["a b"], ["x " * 150_000], ["", "y " * 90_000, ""]):
+        got = model.scores([*before, long, "z", long])
+        assert np.allclose(got[[len(before), -1]], 1 / (1 + np.exp(-want)), rtol=1e-12)
+
+
 def test_offending_sentences_are_located():
     clean = ["a fine day. the sun shines", "we walk home. it rains!", "books are good"] * 20
     bad = ["a fine day. you dolt! the sun shines", "you dolt. it rains", "books are good. you dolt"] * 20
