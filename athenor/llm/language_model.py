@@ -6,11 +6,14 @@ word has its kind's probability times its add-one share in that kind. The softma
 all kinds, then words of neighbouring frequency), then the member of the class.
 
 Counts and truncated backpropagation cover all words of all training documents: a document is cut into consecutive pieces of
-PIECE words, the pieces are dealt to shards, each shard goes through all of its pieces in windows that carry the state on
-inside a piece, and after each of ROUNDS rounds, which all see every piece, Spark averages the shards' weights. Scoring carries
-the state over all windows of a whole document.
-
-Null texts count as empty and consist of the end alone; repeated rows give repeated results; null ids stay.
+PIECE words, and every piece is trained on once, in windows of WINDOW words that carry the state on inside the piece. Pieces are dealt
+by a hash of id, text and place to one of ROUNDS rounds and to shards of about SHARD_WORDS words, whose number follows from the corpus
+alone; after each round Spark averages the shards' weights. So neither the cores nor the files' splits change the model. Scoring
+carries the state over all windows of a whole document.
+
+Null texts count as empty and consist of the end alone; repeated rows give repeated results, equal texts equal scores; null ids
+stay. Without training rows the weights stay as they were drawn and every count is 0; an empty table gives an empty result. Columns besides
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,9 @@ CLASSES, MEMBERS, WIDTH, STATE = 32, 32, 12, 16
 OTHERS = MEMBERS - 1
 VOCABULARY = (CLASSES - 1) * MEMBERS
 END = 0
-HEAD, HEAD_BYTES, BLOCK_CHARS = 300_000, 64, 6 << 20
-WINDOW, PIECE, STREAMS, MOST_STREAMS, ROUNDS, LEAST_UPDATES, HELD_PIECES = 24, 480, 64, 512, 3, 120, 8_192
+HEAD, HEAD_BYTES, LONG_HEAD, LONG_BYTES, BLOCK_CHARS = 300_000, 64, 2_000, 4_096, 6 << 20
+WINDOW, PIECE, ROUNDS, SHARD_WORDS, RATE = 24, 960, 3, 2_000_000, 0.02
+LEAST_STREAMS, MOST_STREAMS, SCORE_STREAMS = 32, 512, 1_024
 FIXED = float(1 << 40)
 LN10 = float(np.log(10.0))
 
@@ -86,192 +90,240 @@ class Counts:
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
-    return {"emb": (CLASSES * MEMBERS, WIDTH), "wx": (WIDTH, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,), "wc": (STATE, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, STATE, MEMBERS), "bw": (CLASSES, MEMBERS)}
+    """The output layers' last input is always 1, so that their last row is the bias."""
+    return {"emb": (CLASSES * MEMBERS, WIDTH), "wx": (WIDTH, 3 * STATE), "wh": (3, STATE, STATE), "b": (3 * STATE,), "wc": (STATE + 1, CLASSES), "ww": (CLASSES, STATE + 1, MEMBERS)}
 
 
-def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in shapes()])
+WEIGHTS = sum(int(np.prod(s)) for s in shapes().values())
 
 
-def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The named weights as parts of one vector."""
     out, at = {}, 0
     for k, shape in shapes().items():
         n = int(np.prod(shape))
-        out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def start(share: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+def start(share: np.ndarray, seed: int = 3) -> np.ndarray:
     """Random weights whose output is the given share of each of the ids."""
     rng = np.random.default_rng(seed)
-    p = {k: rng.normal(0, 0.15, s).astype(np.float32) for k, s in shapes().items()}
+    flat = rng.normal(0, 0.15, WEIGHTS).astype(np.float32)
+    p = views(flat)
     share = np.maximum(share, 1e-9).reshape(CLASSES, MEMBERS)
-    p["bc"] = np.log(share.sum(1)).astype(np.float32)
-    p["bw"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     p["b"][:] = 0
     p["wc"] *= 0.3
     p["ww"] *= 0.3
-    return p
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _advance(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step: ``x`` holds the input's share of the gates."""
-    g = h @ p["wh"]
-    rz = _sigmoid(x[:, : 2 * STATE] + g[:, : 2 * STATE])
-    r, z, inner = rz[:, :STATE], rz[:, STATE:], g[:, 2 * STATE :]
-    n = 2 * _sigmoid(2 * (x[:, 2 * STATE :] + r * inner)) - 1
-    return n + z * (h - n), (h, r, z, n, inner)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    p["wc"][-1] = np.log(share.sum(1) / share.sum())
+    p["ww"][:, -1] = np.log(share / share.sum(1, keepdims=True))
+    return flat
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    group = (target // MEMBERS).astype(np.int16)
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-    for c, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-        if b > a:
-            yield c, order[a:b]
-
-
-def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each target behind each state."""
-    x = h @ p["wc"] + p["bc"]
-    x -= x.max(1, keepdims=True)
-    rows = np.arange(len(target))
-    out = x[rows, target // MEMBERS] - np.log(np.exp(x).sum(1))
-    for c, at in _by_class(target):
-        y = h[at] @ p["ww"][c] + p["bw"][c]
-        y -= y.max(1, keepdims=True)
-        out[at] += y[np.arange(len(at)), target[at] % MEMBERS] - np.log(np.exp(y).sum(1))
+def _inputs(p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What each id adds to the reset gate, the update gate and the candidate; the gates' signs are turned for exp."""
+    x = p["emb"] @ p["wx"] + p["b"]
+    return [np.ascontiguousarray(part) for part in (-x[:, :STATE], -x[:, STATE : 2 * STATE], x[:, 2 * STATE :])]
+
+
+class Recurrence:
+    """The states of one window (time, streams); at time t the first ``live[t]`` streams go on."""
+
+    def __init__(self, p: dict[str, np.ndarray], inputs: list[np.ndarray], seen: np.ndarray, live: np.ndarray, h: np.ndarray) -> None:
+        steps, streams = seen.shape
+        self.live = live
+        self.ar, self.az, self.n = (np.take(x, seen.ravel(), axis=0).reshape(steps, streams, STATE) for x in inputs)
+        self.inner, self.before, self.states = np.zeros_like(self.n), np.zeros_like(self.n), np.zeros_like(self.n)
+        reset, update, candidate = -p["wh"][0], -p["wh"][1], p["wh"][2]
+        with np.errstate(over="ignore"):
+            for t, k in enumerate(live.tolist()):
+                h = h[:k]
+                self.before[t, :k] = h
+                r, z, n, inner, new = self.ar[t, :k], self.az[t, :k], self.n[t, :k], self.inner[t, :k], self.states[t, :k]
+                for gate, weight in ((r, reset), (z, update)):
+                    gate += h @ weight
+                    np.exp(gate, out=gate)
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                np.matmul(h, candidate, out=inner)
+                n += r * inner
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=new)
+                new *= z
+                new += n
+                h = new
+        self.last = h  # of the streams that go on to the end
+
+    def carried(self) -> np.ndarray:
+        """The last state of every stream."""
+        out = np.empty_like(self.states[0])
+        ends = np.append(self.live, 0)
+        for t in range(len(self.live)):
+            out[ends[t + 1] : ends[t]] = self.states[t, ends[t + 1] : ends[t]]
+        return out
+
+    def back(self, p: dict[str, np.ndarray], d_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the loss's gradient by each state: that by each step's inputs (time, streams, 3 * STATE), and that by ``wh``."""
+        r, z, n, inner, before = self.ar, self.az, self.n, self.inner, self.before
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+        steps, streams, _ = d_states.shape
+        gates, candidate = np.zeros((steps, streams, 3 * STATE), np.float32), np.zeros_like(n)
+        dh = np.zeros((streams, STATE), np.float32)
+        for t in range(steps - 1, -1, -1):
+            k = int(self.live[t])
+            d = dh[:k] + d_states[t, :k]
+            dn, dz = d * to_n[t, :k], d * to_z[t, :k]
+            dr, own = dn * to_r[t, :k], dn * r[t, :k]
+            g = gates[t, :k]
+            g[:, :STATE], g[:, STATE : 2 * STATE], g[:, 2 * STATE :] = dr, dz, dn
+            candidate[t, :k] = own
+            d *= z[t, :k]
+            d += dr @ p["wh"][0].T
+            d += dz @ p["wh"][1].T
+            d += own @ p["wh"][2].T
+            dh[:k] = d
+        flat = before.reshape(-1, STATE).T
+        by_gate = flat @ gates.reshape(-1, 3 * STATE)[:, : 2 * STATE]
+        return gates, np.stack([by_gate[:, :STATE], by_gate[:, STATE:], flat @ candidate.reshape(-1, STATE)])
+
+
+def _exp_rows(x: np.ndarray, most: float) -> np.ndarray:
+    """exp of each row up to a factor; only logits that could overflow are first lowered by the row's largest."""
+    if most > 80:
+        x -= x.max(1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+class Output:
+    """Class and member probabilities of targets behind states (n, STATE + 1)."""
+
+    def __init__(self, p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray) -> None:
+        group = (target // MEMBERS).astype(np.int16)
+        self.order = np.argsort(group, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))]).tolist()
+        self.runs = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        self.states, self.sorted = states, states[self.order]
+        self.rows, self.group, self.member = np.arange(len(target)), group, (target % MEMBERS)[self.order]
+        ones = np.ones(max(CLASSES, MEMBERS), np.float32)
+        # states are within -1 and 1, so a column's absolute sum bounds its logits
+        self.classes = _exp_rows(states @ p["wc"], np.abs(p["wc"]).sum(0).max(initial=0))
+        self.class_sums = self.classes @ ones[:CLASSES]
+        members = np.empty((len(target), MEMBERS), np.float32)
+        for c, a, b in self.runs:
+            np.matmul(self.sorted[a:b], p["ww"][c], out=members[a:b])
+        self.members = _exp_rows(members, np.abs(p["ww"]).sum(1).max(initial=0))
+        self.member_sums = self.members @ ones[:MEMBERS]
+
+    def logs(self) -> np.ndarray:
+        """Natural log of the probability of each target."""
+        out = np.log(self.classes[self.rows, self.group] / self.class_sums + 1e-30)
+        out[self.order] += np.log(self.members[self.rows, self.member] / self.member_sums + 1e-30)
+        return out
+
+    def back(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> np.ndarray:
+        """Adds the mean loss's gradients to ``g``; gives that by the states."""
+        share = np.float32(1 / max(1, len(self.rows)))
+        for x, sums, want in ((self.classes, self.class_sums, self.group), (self.members, self.member_sums, self.member)):
+            x *= (share / sums)[:, None]
+            x[self.rows, want] -= share
+        np.matmul(self.states.T, self.classes, out=g["wc"])
+        inner = np.empty((len(self.rows), STATE), np.float32)
+        for c, a, b in self.runs:
+            np.matmul(self.sorted[a:b].T, self.members[a:b], out=g["ww"][c])
+            np.matmul(self.members[a:b], p["ww"][c, :STATE].T, out=inner[a:b])
+        out = self.classes @ p["wc"][:STATE].T
+        out[self.order] += inner
+        return out
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    out = np.ones((len(states), STATE + 1), np.float32)
+    out[:, :STATE] = states
     return out
 
 
-def gradients(p: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradient of the mean loss of one window (time, streams), cut at its beginning; the state behind it; the loss."""
-    steps, streams = seen.shape
-    x = p["emb"] @ p["wx"] + p["b"]
-    kept, states = [], []
-    for t in range(steps):
-        new, keep = _advance(p, x[seen[t]], h)
-        h = np.where(real[t][:, None], new, h)
-        kept.append(keep)
-        states.append(h)
-    flat, want, use = np.concatenate(states), target.ravel(), real.ravel()
-    count = max(1, int(use.sum()))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    pc = _softmax(flat @ p["wc"] + p["bc"])
-    rows = np.arange(len(want))
-    loss = -float(np.log(pc[rows, want // MEMBERS] + 1e-12)[use].sum())
-    pc[rows, want // MEMBERS] -= 1
-    pc *= use[:, None] / count
-    g["wc"], g["bc"] = flat.T @ pc, pc.sum(0)
-    back = pc @ p["wc"].T
-    for c, at in _by_class(want):
-        at = at[use[at]]
-        if not len(at):
-            continue
-        pw = _softmax(flat[at] @ p["ww"][c] + p["bw"][c])
-        inside = np.arange(len(at)), want[at] % MEMBERS
-        loss -= float(np.log(pw[inside] + 1e-12).sum())
-        pw[inside] -= 1
-        pw /= count
-        g["ww"][c], g["bw"][c] = flat[at].T @ pw, pw.sum(0)
-        back[at] += pw @ p["ww"][c].T
-    back = back.reshape(steps, streams, STATE)
-    dh, gx = np.zeros((streams, STATE), np.float32), np.zeros((steps, streams, 3 * STATE), np.float32)
-    for t in range(steps - 1, -1, -1):
-        before, r, z, n, inner = kept[t]
-        dh = dh + back[t]
-        d = np.where(real[t][:, None], dh, 0)
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        gates = np.concatenate([dr, dz, dn * r], axis=1)
-        gx[t] = np.concatenate([dr, dz, dn], axis=1)
-        g["wh"] += before.T @ gates
-        dh = (dh - d) + d * z + gates @ p["wh"].T
-    flat_x, ids = gx.reshape(-1, 3 * STATE), seen.ravel()
-    order = np.argsort(ids, kind="stable")
-    unique, first = np.unique(ids[order], return_index=True)
-    sums = np.add.reduceat(flat_x[order], first)
-    g["emb"][unique] = sums @ p["wx"].T
-    g["wx"], g["b"] = p["emb"][unique].T @ sums, flat_x.sum(0)
-    return g, h, loss / count
-
-
-def train_pieces(p: dict[str, np.ndarray], pieces: Iterator[np.ndarray], rate: float, least: int = LEAST_UPDATES) -> dict[str, np.ndarray]:
-    """Adam over all windows of all pieces, of which HELD_PIECES at a time are held; pieces of like length go side by side.
-
-    Windows of one piece follow each other with the state carried on. Pieces that can all be held and make few updates are
-    gone through up to 12 times; many go more side by side.
+def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradient of the mean loss of one window (time, streams), cut at its beginning; every stream's state behind it; the loss."""
+    whole = np.zeros_like(flat)
+    p, g = views(flat), views(whole)
+    run = Recurrence(p, _inputs(p), seen, live, h)
+    real = np.arange(seen.shape[1]) < live[:, None]
+    output = Output(p, _with_one(run.states[real]), target[real])
+    loss = -float(output.logs().mean())
+    d_states = np.zeros_like(run.states)
+    d_states[real] = output.back(p, g)
+    gates, g["wh"][:] = run.back(p, d_states)
+    flat_gates, ids = gates[real], seen[real]
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    sums = np.add.reduceat(flat_gates[order], first)
+    g["emb"][ids[first]] = sums @ p["wx"].T
+    g["wx"][:], g["b"][:] = p["emb"][ids[first]].T @ sums, sums.sum(0)
+    return whole, run.carried(), loss
+
+
+def _window(sequences: list[np.ndarray], at: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of up to WINDOW + 1 times from ``at``, streams), and how many streams predict at each time; the longest stand first."""
+    live = np.searchsorted(-sizes, -np.arange(at, min(at + WINDOW, int(sizes[0]))), side="left")
+    streams = int(live[0])
+    ids = np.full((streams, len(live) + 1), END, np.int64)
+    ends = np.minimum(sizes[:streams] - at, len(live)) + 1
+    ids[np.arange(len(live) + 1) < ends[:, None]] = np.concatenate([s[at : at + e] for s, e in zip(sequences, ends.tolist())])
+    return np.ascontiguousarray(ids.T), live
+
+
+def train_pieces(flat: np.ndarray, pieces: list[np.ndarray], rate: float) -> np.ndarray:
+    """Adam over all windows of all pieces, each once; batches of pieces of like length grow from LEAST_STREAMS to MOST_STREAMS.
+
+    Windows of one piece follow each other with the state carried on.
     """
-    p = {k: v.copy() for k, v in p.items()}
-    m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    rng = np.random.default_rng(5)
-    held, whole = list(islice(pieces, HELD_PIECES)), True
-    while held:
-        after = list(islice(pieces, HELD_PIECES))
-        whole = whole and not after
-        held.sort(key=len, reverse=True)
-        streams = min(MOST_STREAMS, max(STREAMS, len(held) // 16))
-        batches = [held[a : a + streams] for a in range(0, len(held), streams)]
-        updates = sum(-(-(len(b[0]) - 1) // WINDOW) for b in batches)
-        passes = max(1, min(12, least // max(1, updates))) if whole else 1
-        for turn in range(passes):
-            for i in rng.permutation(len(batches)):
-                part = batches[i]
-                sizes = np.array([len(s) - 1 for s in part])  # longest first; each id but the leading one is predicted once
-                h = np.zeros((len(part), STATE), np.float32)
-                for w in range(0, int(sizes[0]), WINDOW):
-                    live = int(np.searchsorted(-sizes, -w))  # the first ``live`` go on
-                    end = np.minimum(sizes[:live] - w, WINDOW)
-                    steps = int(end[0])
-                    ids = np.full((steps + 1, live), END, np.int64)
-                    for j in range(live):
-                        ids[: end[j] + 1, j] = part[j][w : w + end[j] + 1]
-                    g, h, _ = gradients(p, ids[:-1], ids[1:], np.arange(steps)[:, None] < end, h[:live])
-                    t += 1
-                    for k, x in p.items():
-                        m[k] += 0.1 * (g[k] - m[k])
-                        v[k] += 0.01 * (g[k] * g[k] - v[k])
-                        x -= (rate * (1 - 0.5 * turn / passes) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k]) + 1e-7)
-        held = after
-    return p
-
-
-def score_ids(p: dict[str, np.ndarray], documents: list[np.ndarray], streams: int = 512) -> np.ndarray:
+    flat = flat.copy()
+    m, v, t = np.zeros_like(flat), np.zeros_like(flat), 0
+    sizes = np.array([len(s) - 1 for s in pieces])  # each id but the leading one is predicted once
+    longest_first = np.argsort(-sizes, kind="stable")
+    cuts, streams = [0], LEAST_STREAMS
+    while cuts[-1] < len(pieces):
+        cuts.append(cuts[-1] + streams)
+        if len(cuts) % 2:
+            streams = min(2 * streams, MOST_STREAMS)
+    # every batch takes like lengths, small batches come from all over the lengths first
+    ranks = np.random.default_rng(5).permutation(len(cuts) - 1)
+    spans = np.concatenate([[0], np.cumsum([min(cuts[i + 1], len(pieces)) - cuts[i] for i in ranks])])
+    place = {int(i): (int(a), int(b)) for i, a, b in zip(ranks, spans[:-1], spans[1:], strict=True)}
+    for i in range(len(cuts) - 1):
+        a, b = place[i]
+        part = [pieces[j] for j in longest_first[a:b]]
+        own = sizes[longest_first[a:b]]
+        h = np.zeros((len(part), STATE), np.float32)
+        for w in range(0, int(own[0]), WINDOW):
+            ids, live = _window(part, w, own)
+            g, h, _ = gradient(flat, ids[:-1], ids[1:], live, h[: live[0]])
+            t += 1
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            flat -= np.float32(rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)) * m / (np.sqrt(v) + np.float32(1e-7))
+    return flat
+
+
+def score_ids(flat: np.ndarray, documents: list[np.ndarray], streams: int = SCORE_STREAMS) -> np.ndarray:
     """log10 probability of each whole sequence of ids, which begins behind an end; documents of like length go side by side."""
-    x = p["emb"] @ p["wx"] + p["b"]
+    p = views(flat)
+    inputs = _inputs(p)
     out, order = np.zeros(len(documents)), sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     for a in range(0, len(order), streams):
         part = order[a : a + streams]
+        sequences = [np.append(END, documents[i]) for i in part]
         sizes = np.array([len(documents[i]) for i in part])
-        h, last = np.zeros((len(part), STATE), np.float32), np.full(len(part), END)
-        sums = np.zeros(len(part))
+        h, sums = np.zeros((len(part), STATE), np.float32), np.zeros(len(part))
         for w in range(0, int(sizes[0]), WINDOW):
-            live = int(np.searchsorted(-sizes, -w))  # longest first: the first ``live`` go on
-            end = np.minimum(sizes[:live] - w, WINDOW)
-            ids = np.zeros((WINDOW, live), np.int64)
-            for j in range(live):
-                ids[: end[j], j] = documents[part[j]][w : w + end[j]]
-            states, now = [], h[:live]
-            for t in range(int(end[0])):
-                now, _ = _advance(p, x[last[:live] if t == 0 else ids[t - 1]], now)
-                states.append(now)
-            h, last = now, ids[len(states) - 1]
-            real = np.arange(len(states))[:, None] < end
-            rows, cols = np.nonzero(real)
-            logs = log_probabilities(p, np.stack(states)[rows, cols], ids[rows, cols])
-            sums[:live] += np.bincount(cols, logs, minlength=live)
+            ids, live = _window(sequences, w, sizes)
+            run = Recurrence(p, inputs, ids[:-1], live, h[: live[0]])
+            h = run.carried()
+            times, places = np.nonzero(np.arange(ids.shape[1]) < live[:, None])
+            logs = Output(p, _with_one(run.states[times, places]), ids[1:][times, places]).logs()
+            sums[: live[0]] += np.bincount(places, logs, minlength=live[0])
         out[part] = sums / LN10
     return out
 
@@ -279,121 +331,162 @@ def score_ids(p: dict[str, np.ndarray], documents: list[np.ndarray], streams: in
 # ---- jobs ----------------------------------------------------------------------------------------------------------
 
 
-def _ids_of(head: dict[bytes, int]) -> dict[bytes, int]:
-    """Ids of the network's words: the first VOCABULARY of ``head``."""
-    return {w: i + MEMBERS for i, w in zip(range(VOCABULARY), head)}
+class Words:
+    """The words of the head as tables: a word's place, its id for the network, and log10 of its count and one."""
+
+    def __init__(self, head: dict[bytes, int]) -> None:
+        self.place = dict(zip(head, range(len(head)), strict=True)).get
+        self.ids = np.array([i + MEMBERS if i < VOCABULARY else kind_of(w) for i, w in enumerate(head)], np.int16)
+        self.share = np.log10(np.array(list(head.values()), np.float64) + 1)
 
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Place in the head (-1: elsewhere) and id of each word, and the words that are not in the head."""
+        place = np.fromiter(map(self.place, words, repeat(-1)), np.int32, len(words))
+        outside = np.flatnonzero(place < 0)
+        rest = [words[i] for i in outside.tolist()]
+        ids = self.ids[place] if len(self.ids) else np.zeros(len(place), np.int16)
+        ids[outside] = np.fromiter(map(kind_of, rest), np.int16, len(rest))
+        return place, ids, rest
 
-def _pieces(training: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(place, turn, piece): for every document consecutive runs of up to PIECE ids, each behind the id before it; END closes the last.
 
-    ``turn`` counts the pieces of a task, so that those of one document and of its copies are dealt to many shards.
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """Rows of all batches in blocks of about BLOCK_CHARS characters of a text column."""
+    held, size = [], 0
+    for batch in (p for b in batches for p in parts(b, column)):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += len(row[column])
+            if size > BLOCK_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _pieces(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(deal, piece): for every document consecutive runs of up to PIECE ids, each behind the id before it; END closes the last.
+
+    ``deal`` is a hash of id, text and place in the document, so that pieces of long documents and of copies spread evenly.
     """
-    shared = training.sparkSession.sparkContext.broadcast(ids)
+    shared = training.sparkSession.sparkContext.broadcast(Words({w: 1 for w, _ in zip(head, range(VOCABULARY))}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, turn = shared.value.get, 0
+        words = shared.value
         for batch in (p for b in batches for p in parts(b)):
-            places, sizes, out = [], [], []
-            for text in batch.column(0).to_pylist():
+            owners, places, turns, sizes, out = [], [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "replace").lower()
-                own = np.array([END, *(get(w) or kind_of(w) for w in data.split()), END], np.int16)
+                own = np.concatenate([[END], words.read(data.split())[1], [END]]).astype(np.int16)
                 cuts = range(0, len(own) - 1, PIECE)
+                owners += [doc_id] * len(cuts)
                 places += [zlib.crc32(data)] * len(cuts)
+                turns += range(len(cuts))
                 for at in cuts:
                     out.append(own[at : at + PIECE + 1])
                     sizes.append(len(out[-1]))
-            turns = np.arange(turn, turn + len(out))
-            turn += len(out)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(turns, pa.int64()), lists], names=["place", "turn", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(places, pa.int64()), pa.array(turns, pa.int64()), lists], names=["doc_id", "place", "turn", "piece"])
 
-    return whole_text(training).mapInArrow(run, "place long, turn long, piece array<short>")
+    source = whole_text(training.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    cut = source.mapInArrow(run, "doc_id long, place long, turn long, piece array<short>")
+    return cut.select(F.xxhash64("doc_id", "place", "turn").alias("deal"), "piece")
 
 
-def train(training: DataFrame, counts: Counts) -> dict[str, np.ndarray]:
-    """Rounds of local training with averaged weights; as many shards as the cluster has cores, so work per shard grows with the input."""
+def train(training: DataFrame, counts: Counts) -> np.ndarray:
+    """Rounds of local training with averaged weights; each round has its own pieces, in shards of about SHARD_WORDS words."""
     spark = training.sparkSession
-    ids = _ids_of(counts.head)
     share = np.zeros(CLASSES * MEMBERS)
     share[END] = counts.documents
     share[1:MEMBERS] = counts.others
-    share[MEMBERS : MEMBERS + len(ids)] = [counts.head[w] for w in ids]
-    p = start(share / max(1, share.sum()))
+    first = list(counts.head.values())[:VOCABULARY]
+    share[MEMBERS : MEMBERS + len(first)] = first
+    flat = start(share / max(1, share.sum()))
     if not counts.documents:
-        return p
-    pieces = materialize(_pieces(training, ids), "pieces")
-    shards = spark.sparkContext.defaultParallelism
+        return flat
+    shards = max(1, counts.tokens // (ROUNDS * SHARD_WORDS))
+    dealt = _pieces(training, counts.head).select("deal", F.pmod("deal", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.shiftright("deal", 8), F.lit(shards)).alias("shard"), "piece")
+    dealt = materialize(dealt, "pieces")
     for turn in range(ROUNDS):
-        flat = spark.sparkContext.broadcast(flatten(p))
-        rate = 0.02 / 2**turn
-
-        def run(batches: Iterator[pa.RecordBatch], flat=flat, rate=rate) -> Iterator[pa.RecordBatch]:
-            own = (s.values.to_numpy() for batch in batches for s in batch.column(2))
-            if (first := next(own, None)) is not None:
-                new = flatten(train_pieces(unflatten(flat.value), chain([first], own), rate)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(np.rint(new * FIXED).astype(np.int64))], names=["i", "weight"])
-
-        dealt = pieces.repartition(shards, "place", "turn").sortWithinPartitions(F.xxhash64("turn", "place"), "place", "turn", "piece")
-        means = dealt.mapInArrow(run, "i long, weight long").groupBy("i").agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+        shared = spark.sparkContext.broadcast(flat)
+        rate = RATE / 2**turn
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            def trained(pieces: list[np.ndarray]) -> pa.RecordBatch:
+                new = train_pieces(shared.value, pieces, rate).astype(np.float64)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(np.rint(new * FIXED).astype(np.int64))], names=["i", "weight"])
+
+            held, now = [], None
+            for batch in batches:
+                for shard, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if held and shard != now:
+                        yield trained(held)
+                        held = []
+                    now = shard
+                    held.append(piece.values.to_numpy())
+            if held:
+                yield trained(held)
+
+        own = dealt.where(F.col("round") == turn).repartition(min(4 * shards, 100_000), "shard").sortWithinPartitions("shard", "deal", "piece")
+        means = own.select("shard", "piece").mapInArrow(run, "i long, weight long").groupBy("i").agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
         rows = means.select("i", (F.col("s").cast("double") / F.col("n")).alias("w")).orderBy("i").collect()  # one for each weight
         if rows:
-            p = unflatten(np.array([r.w for r in rows]) / FIXED)
-    return p
+            flat = (np.array([r.w for r in rows]) / FIXED).astype(np.float32)
+    return flat
+
 
+SCORED = "row long, doc_id long, n_tokens long, other_mass double, n_known long, frequent double, frequent_other double, rest array<binary>, network double"
 
-def _score_rows(docs: DataFrame, counts: Counts, p: dict[str, np.ndarray]) -> DataFrame:
+
+def _score_rows(docs: DataFrame, counts: Counts, flat: np.ndarray) -> DataFrame:
     """For each row: id, token counts, the network's sum, sums of log10(c + 1) over known frequent words, and the rest of the words."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts, p))
+    shared = docs.sparkSession.sparkContext.broadcast((Words(counts.head), counts.masses, counts.documents, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, p = shared.value
-        ids = _ids_of(counts.head)
-        share = {w: float(np.log10(c + 1)) for w, c in counts.head.items()}
-        end = float(np.log10(counts.documents + 1))
-
-        def scored(rows: list[tuple]) -> pa.RecordBatch:
+        words, masses, documents, flat = shared.value
+        end = float(np.log10(documents + 1))
+        mass_of = np.zeros(CLASSES * MEMBERS)
+        mass_of[1:MEMBERS] = masses
+        names = [c.split()[0] for c in SCORED.split(", ")]
+        for rows in _blocks(batches, 2):
             at: dict[str, int] = {}
-            place = [at.setdefault(text, len(at)) for *_, text in rows]  # equal texts are scored once
-            each, sequences = [], []
-            for text in at:
-                words = words_of(text)
-                some = [share.get(w) for w in words]
-                own = [ids.get(w) or kind_of(w) for w in words]
-                rest = [w for w, s in zip(words, some, strict=True) if s is None]
-                others = sum(s for s, i in zip(some, own, strict=True) if i < MEMBERS and s is not None)
-                mass = sum(counts.masses[i - 1] for i in own if i < MEMBERS)
-                each.append((len(words) + 1, mass, len(words) - len(rest) + (counts.documents > 0), sum(s for s in some if s is not None) + end, others, rest))
-                sequences.append(np.array([*own, END], np.int64))
-            network = score_ids(p, sequences)
-            cols = [[r[0] for r in rows], [r[1] for r in rows], *([each[i][k] for i in place] for k in range(6)), [float(network[i]) for i in place]]
-            kinds = [pa.int64()] * 3 + [pa.float64(), pa.int64()] + [pa.float64()] * 2 + [pa.list_(pa.binary()), pa.float64()]
-            names = ["row", "doc_id", "n_tokens", "other_mass", "n_known", "frequent", "frequent_other", "rest", "network"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-        held, size = [], 0
-        for batch in (p for b in batches for p in parts(b)):
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size > BLOCK_CHARS:
-                    yield scored(held)
-                    held, size = [], 0
-        if held:
-            yield scored(held)
+            which = pa.array([at.setdefault(text, len(at)) for *_, text in rows])  # equal texts are scored once
+            split = [words_of(text) for text in at]
+            sizes = np.array([len(w) for w in split])
+            place, ids, rest = words.read(list(chain.from_iterable(split)))
+            doc = np.repeat(np.arange(len(split)), sizes)
+            share = np.where(place >= 0, words.share[place], 0.0) if len(words.share) else np.zeros(len(place))
+            other = (ids < MEMBERS) & (place >= 0)
+
+            def sums(weights: np.ndarray, doc=doc, n=len(split)) -> np.ndarray:
+                return np.bincount(doc, weights, minlength=n)
+
+            outside = np.bincount(doc[place < 0], minlength=len(split))
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            network = score_ids(flat, [np.append(ids[a:b], np.int16(END)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            each = [
+                pa.array(sizes + 1, pa.int64()), pa.array(sums(mass_of[ids])), pa.array(sizes - outside + (documents > 0), pa.int64()), pa.array(sums(share) + end), pa.array(sums(share * other)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outside)]).astype(np.int32)), pa.array(rest, pa.binary())), pa.array(network),
+            ]
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(c.take(which) for c in each)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     source = whole_text(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
-    return source.mapInArrow(run, "row long, doc_id long, n_tokens long, other_mass double, n_known long, frequent double, frequent_other double, rest array<binary>, network double")
+    return source.mapInArrow(run, SCORED)
 
 
 def count_corpus(training: DataFrame) -> tuple[DataFrame, Counts]:
-    """All word counts as a table, and their totals with the HEAD most frequent words of up to HEAD_BYTES bytes."""
+    """All word counts as a table, and their totals with the head.
+
+    That are the HEAD most frequent words of up to HEAD_BYTES bytes and the LONG_HEAD most frequent longer ones of up to LONG_BYTES.
+    """
     table = materialize(word_counts(training), "words")
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     documents = training.count()
-    head = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
-    rows = head.toArrow()  # at most HEAD short words
-    words = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+    size = F.octet_length("word")
+    head = table.where(size <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
+    more = table.where((size > HEAD_BYTES) & (size <= LONG_BYTES)).orderBy(F.desc("n"), "word").limit(LONG_HEAD)
+    rows = head.union(more).toArrow()  # bounded in rows and in bytes
+    words = dict(sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
     tokens, distinct = [0] * OTHERS, [0] * OTHERS
     kind = F.crc32(F.expr("substring(word, -2, 2)")) % OTHERS
     for r in table.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # OTHERS rows

@@ -97,25 +97,90 @@ def test_rare_words_beyond_the_head_come_by_the_join(spark, monkeypatch):
 
 def test_network_is_a_distribution():
     rng = np.random.default_rng(0)
-    p = language_model.start(rng.random(language_model.CLASSES * language_model.MEMBERS))
-    h = rng.normal(size=(1, language_model.STATE)).astype(np.float32)
     ids = np.arange(language_model.CLASSES * language_model.MEMBERS)
-    assert math.isclose(np.exp(language_model.log_probabilities(p, np.repeat(h, len(ids), 0), ids)).sum(), 1, rel_tol=1e-4)
+    for scale in (1, 60):  # the second could overflow
+        p = language_model.views(language_model.start(rng.random(len(ids))) * np.float32(scale))
+        states = language_model._with_one(np.repeat(rng.uniform(-1, 1, (1, language_model.STATE)).astype(np.float32), len(ids), 0))
+        assert math.isclose(np.exp(language_model.Output(p, states, ids).logs().astype(np.float64)).sum(), 1, rel_tol=1e-3)
 
 
 def test_gradients_of_the_network():
     rng = np.random.default_rng(2)
-    p = {k: v.astype(np.float64) for k, v in language_model.start(rng.random(language_model.CLASSES * language_model.MEMBERS)).items()}
-    seen, target = rng.integers(0, 60, (2, 5, 3))
-    real = rng.random((5, 3)) < 0.9
-    h = rng.normal(size=(3, language_model.STATE))
-    g, _, loss = language_model.gradients(p, seen, target, real, h)
-    for k in p:
-        at = np.unravel_index(int(np.abs(g[k]).argmax()), g[k].shape)
-        p[k][at] += 1e-6
-        more = language_model.gradients(p, seen, target, real, h)[2]
-        p[k][at] -= 1e-6
-        assert math.isclose((more - loss) / 1e-6, g[k][at], rel_tol=1e-2, abs_tol=1e-5), k
+    flat = language_model.start(rng.random(language_model.CLASSES * language_model.MEMBERS))
+    ids, live = rng.integers(0, 60, (6, 4)), np.array([4, 4, 3, 1, 1])
+    h = rng.normal(0, 0.3, (4, language_model.STATE)).astype(np.float32)
+    g, _, loss = language_model.gradient(flat, ids[:-1], ids[1:], live, h)
+    at = 0
+    for k, shape in language_model.shapes().items():
+        n = int(np.prod(shape))
+        i = at + int(np.abs(g[at : at + n]).argmax())
+        both = []
+        for step in (1e-2, -1e-2):
+            moved = flat.copy()
+            moved[i] += np.float32(step)
+            both.append(language_model.gradient(moved, ids[:-1], ids[1:], live, h)[2])
+        assert math.isclose((both[0] - both[1]) / 2e-2, g[i], rel_tol=3e-2, abs_tol=1e-4), k
+        at += n
+
+
+def slow_log10(flat, ids):
+    """One word at a time, by the textbook's formulas."""
+    p = {k: v.astype(np.float64) for k, v in language_model.views(flat).items()}
+    n = language_model.STATE
+    h, last, total = np.zeros(n), language_model.END, 0.0
+    for i in ids:
+        x = p["emb"][last] @ p["wx"] + p["b"]
+        r, z = 1 / (1 + np.exp(-(x[:n] + h @ p["wh"][0]))), 1 / (1 + np.exp(-(x[n : 2 * n] + h @ p["wh"][1])))
+        new = np.tanh(x[2 * n :] + r * (h @ p["wh"][2]))
+        h = (1 - z) * new + z * h
+        c, m = divmod(int(i), language_model.MEMBERS)
+        classes, members = np.append(h, 1) @ p["wc"], np.append(h, 1) @ p["ww"][c]
+        total += classes[c] - np.log(np.exp(classes).sum()) + members[m] - np.log(np.exp(members).sum())
+        last = i
+    return total / math.log(10)
+
+
+def test_scores_of_whole_documents_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    training = docs.where(language_model.crc_of_id() % 7 != 2)
+    table, counts = language_model.count_corpus(training)
+    flat = language_model.train(training, counts)
+    number = {bytes(r.word): r.n for r in table.collect()}
+    head = {w: i + language_model.MEMBERS for i, (w, _) in enumerate(sorted(number.items(), key=lambda x: (-x[1], x[0]))[: language_model.VOCABULARY])}
+    kinds = collections.defaultdict(int)
+    for w, n in number.items():
+        if w not in head:
+            kinds[language_model.kind_of(w)] += n + 1
+    got = {r.doc_id: r.score for r in language_model.score(docs, training).collect()}
+    for r in docs.where("doc_id % 7 = 0").collect():
+        words = language_model.words_of(r.text or "")
+        ids = [head.get(w) or language_model.kind_of(w) for w in words]
+        want = slow_log10(flat, [*ids, language_model.END])
+        want += sum(math.log10(number.get(w, 0) + 1) - math.log10(kinds[i] + 1) for w, i in zip(words, ids, strict=True) if w not in head)
+        assert math.isclose(got[r.doc_id], want, rel_tol=1e-4), r.doc_id
+
+
+def test_partitions_do_not_change_the_model(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_WORDS", 8_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 90")
+    got = [{r.doc_id: r.score for r in language_model.language_model(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0].keys() == got[1].keys() and all(math.isclose(x, got[1][i], rel_tol=1e-6) for i, x in got[0].items())
+
+
+def test_every_word_is_trained_on_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k % 90}" for k in range(i * 700))) for i in range(6)] + [(None, None), (7, "")], "doc_id long, text string")
+    table, counts = language_model.count_corpus(docs)
+    pieces = [r.piece for r in language_model._pieces(docs, counts.head).collect()]
+    assert sum(len(p) - 1 for p in pieces) == counts.tokens and max(map(len, pieces)) == language_model.PIECE + 1
+    cuts, seen, kept = [np.array(p) for p in pieces], [], language_model.gradient
+
+    def counted(flat, ids, target, live, h):
+        seen.append(int(live.sum()))
+        return kept(flat, ids, target, live, h)
+
+    monkeypatch.setattr(language_model, "gradient", counted)
+    language_model.train_pieces(language_model.start(np.ones(1024)), cuts, 0.01)
+    assert sum(seen) == counts.tokens
 
 
 def test_state_goes_on_over_windows(monkeypatch):
@@ -127,25 +192,6 @@ def test_state_goes_on_over_windows(monkeypatch):
     assert np.allclose(short, language_model.score_ids(p, docs, 64), rtol=1e-4)
 
 
-def test_every_word_of_every_document_is_trained_in_every_round(spark, monkeypatch):
-    texts = ["", "one", " ".join(f"w{i % 1_500}" for i in range(2_500)), " ".join(f"w{i % 7}" for i in range(language_model.PIECE))]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    ids = language_model._ids_of(language_model.count_corpus(docs)[1].head)
-    own = [[ids.get(w) or language_model.kind_of(w) for w in language_model.words_of(t)] + [language_model.END] for t in texts]
-    rows = sorted(language_model._pieces(docs, ids).collect(), key=lambda r: r.turn)
-    assert [i for r in rows for i in r.piece[1:]] == [i for d in own for i in d] and max(len(r.piece) for r in rows) == language_model.PIECE + 1
-    seen, real_gradients = [], language_model.gradients
-
-    def count(p, ids, target, real, h):
-        seen.append(int(real.sum()))
-        return real_gradients(p, ids, target, real, h)
-
-    monkeypatch.setattr(language_model, "gradients", count)
-    p = language_model.start(np.ones(language_model.CLASSES * language_model.MEMBERS))
-    language_model.train_pieces(p, iter(np.array(r.piece) for r in rows), 0.02, least=1)
-    assert sum(seen) == sum(map(len, own))
-
-
 def test_pages_of_other_layouts():
     model = html_crf.train()
     pages = html_crf.labelled_pages(150, seed=77)
