@@ -373,17 +373,21 @@ def _pieces(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in (p for b in batches for p in parts(b)):
-            owners, places, turns, sizes, out = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "replace").lower()
-                own = np.concatenate([[END], words.read(data.split())[1], [END]]).astype(np.int16)
-                cuts = range(0, len(own) - 1, PIECE)
+            data = [text.encode("utf-8", "replace").lower() for text in batch.column(1).to_pylist()]
+            split = [d.split() for d in data]
+            counts = np.array([len(w) for w in split])
+            stream = np.full(int(counts.sum()) + 2 * len(counts), END, np.int16)  # every document between two ends
+            stream[np.arange(counts.sum()) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = words.read(list(chain.from_iterable(split)))[1]
+            owners, places, turns, sizes, out, at = [], [], [], [], [], 0
+            for doc_id, d, n in zip(batch.column(0).to_pylist(), data, counts.tolist(), strict=True):
+                cuts = range(0, n + 1, PIECE)
                 owners += [doc_id] * len(cuts)
-                places += [zlib.crc32(data)] * len(cuts)
+                places += [zlib.crc32(d)] * len(cuts)
                 turns += range(len(cuts))
-                for at in cuts:
-                    out.append(own[at : at + PIECE + 1])
+                for cut in cuts:
+                    out.append(stream[at + cut : at + min(cut + PIECE, n + 1) + 1])
                     sizes.append(len(out[-1]))
+                at += n + 2
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(out)))
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(places, pa.int64()), pa.array(turns, pa.int64()), lists], names=["doc_id", "place", "turn", "piece"])
 
@@ -474,17 +478,33 @@ def _score_rows(docs: DataFrame, counts: Counts, flat: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, SCORED)
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, as many whole classes of counts as have at most ``most`` words together.
+
+    A class is one count, of large counts a 64th of a doubling; so only a histogram of some thousand classes is collected, and no
+    task sorts words.
+    """
+    level = F.when(F.col("n") < 4_096, F.col("n")).otherwise(F.lit(4_096) + F.floor(F.log2("n") * 64)).cast("long")
+    total, least = 0, None
+    for r in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.level
+    return table.where(F.lit(False) if least is None else level >= least)
+
+
 def count_corpus(training: DataFrame) -> tuple[DataFrame, Counts]:
     """All word counts as a table, and their totals with the head.
 
-    That are the HEAD most frequent words of up to HEAD_BYTES bytes and the LONG_HEAD most frequent longer ones of up to LONG_BYTES.
+    That are up to HEAD of the most frequent words of up to HEAD_BYTES bytes, and up to LONG_HEAD longer ones of up to LONG_BYTES.
     """
     table = materialize(word_counts(training), "words")
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     documents = training.count()
     size = F.octet_length("word")
-    head = table.where(size <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
-    more = table.where((size > HEAD_BYTES) & (size <= LONG_BYTES)).orderBy(F.desc("n"), "word").limit(LONG_HEAD)
+    head = _most_frequent(table.where(size <= HEAD_BYTES), HEAD)
+    more = _most_frequent(table.where((size > HEAD_BYTES) & (size <= LONG_BYTES)), LONG_HEAD)
     rows = head.union(more).toArrow()  # bounded in rows and in bytes
     words = dict(sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
     tokens, distinct = [0] * OTHERS, [0] * OTHERS
@@ -503,8 +523,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     table, counts = count_corpus(training)
     rows = materialize(_score_rows(docs, counts, train(training, counts)), "scored")
     # words that are not in the head: their counts come by a join, not by a broadcast
-    rest = rows.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    found = rest.join(table, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"))
+    rest = rows.select("row", F.explode("rest").alias("word"))
+    found = rest.join(table, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare"))
     joined = rows.drop("rest").join(found, "row", "left").fillna(0, ["more_known", "rare"])
     known_mass = float(np.log10(counts.tokens + counts.distinct + 1))
     return joined.select(
