@@ -5,7 +5,9 @@ piece is a whole sequence of its own: pieces of one length form a bucket, no seq
 lengths are powers of two nothing is padded. Sequences are numbered inside their bucket, so that batches of one length
 can be read off as ranges.
 
-Null texts count as empty and give the closing id alone; repeated rows give repeated pieces.
+Null texts count as empty and give the closing id alone; repeated rows give repeated pieces under sequences of their own, null ids
+stay, an empty table gives no pieces, and columns besides doc_id and text are not looked at, whatever their names. Texts of any length are
+encoded and cut whole. Strings that the vocabulary has as special tokens are read as the library's plain call reads them.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +32,30 @@ from athenor.llm.common import parts, whole_text
 LONGEST, CLOSING, MEMO = 2048, 1, 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
 
-#: Characters that the libraries and Python disagree on as white space; texts with one are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85]")
+#: White space that the libraries and Python see differently, and what the vocabulary may read as a special token: such texts are encoded whole.
+_ODD, _SPECIAL = "\x1c\x1d\x1e\x1f\x85", re.compile(r"<\|(?:start|end)oftext\|>", re.I)
+_BREAK = b"\xff\xff\xff\xff"
+
+
+def _later_characters() -> re.Pattern:
+    """Characters that came after Unicode 3.2, about which libraries may disagree."""
+    old, ranges = unicodedata.ucd_3_2_0.category, []
+    for code in range(0x80, 0x110000):
+        if old(chr(code)) == "Cn":
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
 
 
 class WordEncoder:
     """ids of white-space-delimited words as little-endian 32-bit bytes.
 
     The vocabulary lower-cases, drops white space and never merges across it, so words can be encoded apart. Words and
-    pre-tokens met before are kept up to a bound; beyond it new ones are encoded again in each block of texts. Unknown
-    pre-tokens are encoded together, and cut apart where tokens end a pre-token.
+    pre-tokens met before are kept up to a bound; beyond it new ones are encoded again in each block of texts. All new words of
+    a block are normalised and split together; unknown pre-tokens are encoded together, and cut apart where tokens end a
+    pre-token.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,13 +64,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {"\n": _BREAK}
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.late = _later_characters().search
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,18 +87,21 @@ class WordEncoder:
             at = end
 
     def _learn_words(self, new: list[str]) -> None:
-        old = unicodedata.ucd_3_2_0.category  # libraries may disagree about characters that came later; such words go whole
-        late = [w for w in new if not w.isascii() and any(old(c) == "Cn" for c in w)]
-        if late:
-            self.words.update((w, self.ids(w)) for w in late)
-            new = list(set(new).difference(late))
-        split = [self.split(w.lower() if w.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", w)))) for w in new]
-        tokens = self.tokens
-        unknown = list({t for parts in split for t in parts if t not in tokens})
+        joined = "\n".join(new)  # no word has a line end
+        if not joined.isascii():
+            if self.late(joined):
+                late = [w for w in new if self.late(w)]
+                self.words.update((w, self.ids(w)) for w in late)
+                new = list(set(new).difference(late))
+                joined = "\n".join(new)
+            joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")  # capital sigma becomes the same letter in every place
+        if not new:
+            return
+        tokens, split = self.tokens, self.split(joined.lower())
+        unknown = list(set(split).difference(tokens))
         for at in range(0, len(unknown), 5_000):
             self._learn_tokens(unknown[at : at + 5_000], tokens)
-        get = tokens.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
+        self.words.update(zip(new, b"".join(map(tokens.__getitem__, split)).split(_BREAK), strict=True))
         if len(tokens) > MEMO:
             for t in unknown:
                 del tokens[t]
@@ -89,8 +109,8 @@ class WordEncoder:
     def documents(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text."""
         words = self.words
-        plain = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for parts in plain if parts for w in parts if w not in words})
+        plain = [None if any(map(t.__contains__, _ODD)) or ("<|" in t and _SPECIAL.search(t)) else t.split() for t in texts]
+        new = list(set(chain.from_iterable(filter(None, plain))).difference(words))
         self._learn_words(new)
         get = words.__getitem__
         out = [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
@@ -111,23 +131,38 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
+def cut_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and length of the pieces of documents of these many ids, as ``binary_lengths`` gives them."""
+    powers = 1 << np.arange(LONGEST.bit_length() - 2, -1, -1)
+    digits = (sizes[:, None] % LONGEST & powers) > 0
+    full, some = sizes // LONGEST, digits.sum(1)
+    doc = np.repeat(np.arange(len(sizes)), full + some)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(full + some) - full - some, full + some)
+    lengths = np.full(len(doc), LONGEST, np.int64)
+    lengths[nth >= full[doc]] = np.broadcast_to(powers, digits.shape)[digits]
+    ends = np.cumsum(lengths)
+    return doc, ends - lengths - (np.cumsum(sizes) - sizes)[doc], lengths
+
+
 def pieces(docs: DataFrame, path: str) -> DataFrame:
     """One row for each piece; ``place`` counts the pieces of one bucket inside the partition ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, counts = encoder(path), TaskContext.get().partitionId(), [0] * (LONGEST.bit_length())
+        closing, names = CLOSING.to_bytes(4, "little"), [c.split()[0] for c in PIECES.split(", ")]
         for batch in (p for b in batches for p in parts(b)):
-            rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), words.documents(batch.column(1).to_pylist()), strict=True):
-                data += CLOSING.to_bytes(4, "little")
-                n, start = len(data) // 4, 0
-                for length in binary_lengths(n):
-                    bucket = length.bit_length() - 1
-                    rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, bucket, part, counts[bucket]))
-                    counts[bucket] += 1
-                    start += length
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+            data = [d + closing for d in words.documents(batch.column(1).to_pylist())]
+            sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+            doc, start, length = cut_lengths(sizes)
+            crcs = [zlib.crc32(data[d][a:b]) for d, a, b in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)]
+            bucket = np.log2(length).astype(np.int32)
+            place = np.empty(len(doc), np.int64)
+            for k in np.unique(bucket).tolist():
+                at = np.flatnonzero(bucket == k)
+                place[at] = np.arange(counts[k], counts[k] + len(at))
+                counts[k] += len(at)
+            columns = [batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length, crcs, sizes[doc], bucket, np.full(len(doc), part, np.int32), place))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, PIECES)
 

@@ -153,9 +153,7 @@ def test_bpe_on_hard_rows(spark, reference):
 
 
 def whole_encoder():
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD_BPE)
 
 
 def check_packing(rows, got):
@@ -194,6 +192,20 @@ def test_words_apart_encode_as_the_whole_text(texts):
     assert packing.encoder(WORD_BPE).documents(texts) == [packing.encoder(WORD_BPE).ids(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "x<|STARTOFTEXT|>y", "ΑΣ ΣΑΣ Σ", "İstanbul ΌΣΟΣ.", "e\u0301 \u0301e", "a\x85b\x1cc", "\U0001fae8 new", "don't 12,5% \u2028 z\u00a0q"])
+def test_odd_texts_encode_as_the_plain_call(text):
+    want = whole_encoder().encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordEncoder(WORD_BPE).documents(["some words", text, text + " more"])[1], "<u4").tolist() == want
+
+
+@given(st.lists(st.integers(1, 9_000), max_size=6))
+def test_many_lengths_at_once(sizes):
+    doc, start, length = packing.cut_lengths(np.array(sizes, np.int64))
+    want = [(d, n) for d, size in enumerate(sizes) for n in packing.binary_lengths(size)]
+    assert list(zip(doc.tolist(), length.tolist(), strict=True)) == want
+    assert all(start[i] == (start[i - 1] + length[i - 1] if i and doc[i] == doc[i - 1] else 0) for i in range(len(doc)))
+
+
 @given(st.integers(1, 100_000))
 def test_lengths_are_the_binary_digits(n):
     parts = packing.binary_lengths(n)
