@@ -2,9 +2,11 @@
 
 Text is split by the vocabulary's pattern; pre-tokens of similar length share a padded matrix of ids. Each round looks every
 neighbouring pair up in one hash table, every row merges its leftmost pair of least rank, and the matrix is compacted; rows
-without a pair leave. Pre-tokens and words met before are kept up to a bound.
+without a pair leave. Pre-tokens and words met before are kept up to a bound. Long pre-tokens are cut into rows of the same matrices
+and joined again where the tokens on both sides of a cut agree.
 
-Null texts count as empty and have no ids. Decoding joins the tokens' bytes, so it gives back the text's UTF-8.
+Null texts count as empty and have no ids; repeated rows give repeated results, null ids stay, an empty table gives no rows, and columns
+besides doc_id and text are not looked at, whatever their names. Decoding joins the tokens' bytes, so it gives back the text's UTF-8.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from athenor.llm.common import parts, whole_text
 
-MEMO, LONG, NONE = 300_000, 48, np.int32(2**31 - 1)
+MEMO, LONG, CUT, JOINT, NONE = 300_000, 48, 32, 4, np.int32(2**31 - 1)
 
 #: Unicode white space, as the pattern's \s has it; Python's own notion has four more.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -89,11 +91,11 @@ class Vocabulary:
             while stop < len(order) and len(words[order[stop]]) <= longest and (stop - start) * longest < 1 << 20:
                 stop += 1
             part = order[start:stop]
-            if longest > LONG:
-                for i in part:
-                    out[i] = self._merge_long(words[i])
-            else:
+            if longest <= LONG:
                 self._merge_matrix([words[i] for i in part], part, out)
+            else:
+                for i, ids in zip(part, self._merge_cut([words[i] for i in part]), strict=True):
+                    out[i] = ids
             start = stop
         return out
 
@@ -123,21 +125,40 @@ class Vocabulary:
             width = int(sizes.max())
             ids = ids[:, :width]
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """One row by itself: only the two pairs around a merge are looked up again."""
-        ids = self.bytes[np.frombuffer(word, np.uint8)].copy()
-        rank, n = self.pairs.find(ids[:-1], ids[1:]), len(ids)
-        while n > 1:
-            at = int(rank[: n - 1].argmin())
-            if rank[at] == NONE:
-                break
-            ids[at] = rank[at]
-            ids[at + 1 : n - 1] = ids[at + 2 : n]
-            rank[at : n - 2] = rank[at + 1 : n - 1]
-            n -= 1
-            near = np.arange(max(at - 1, 0), min(at + 1, n - 1))
-            rank[near] = self.pairs.find(ids[near], ids[near + 1])
-        return ids[:n]
+    def _merge_cut(self, words: list[bytes]) -> list[np.ndarray]:
+        """Long rows: cut into stretches of CUT bytes that are merged as rows of their own, then neighbours are put together again.
+
+        A sequence is the merges' result if every two neighbouring tokens are neighbours in the result for some stretch of the
+        text. So of two stretches only the JOINT tokens on both sides of the cut are merged again, and if the outermost of them
+        come out as they were, the rest stands; if not, twice as many tokens are taken.
+        """
+        pieces = [w[a : a + CUT] for w in words for a in range(0, len(w), CUT)]
+        done = self.merge(pieces)
+        rows, at = [], 0
+        for w in words:
+            n = -(-len(w) // CUT)
+            rows.append(done[at : at + n])
+            at += n
+        while any(len(row) > 1 for row in rows):
+            todo = [(r, k, JOINT) for r, row in enumerate(rows) for k in range(0, len(row) - 1, 2)]
+            joined: dict[tuple[int, int], np.ndarray] = {}
+            while todo:
+                ends = [(rows[r][k][-n:], rows[r][k + 1][:n]) for r, k, n in todo]
+                again = [np.zeros(0, np.int32)] * len(todo)
+                order = sorted(range(len(todo)), key=lambda i: len(ends[i][0]) + len(ends[i][1]))
+                texts = [b"".join(map(self.tokens.__getitem__, np.concatenate(ends[i]).tolist())) for i in order]
+                for a in range(0, len(order), 4_096):
+                    self._merge_matrix(texts[a : a + 4_096], order[a : a + 4_096], again)
+                wider = []
+                for (r, k, n), (left, right), new in zip(todo, ends, again, strict=True):
+                    a, b = rows[r][k], rows[r][k + 1]
+                    if (n >= len(a) or new[0] == left[0]) and (n >= len(b) or new[-1] == right[-1]):
+                        joined[r, k] = np.concatenate([a[: max(0, len(a) - n)], new, b[n:]])
+                    else:
+                        wider.append((r, k, 2 * n))
+                todo = wider
+            rows = [[joined[r, k] if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)] for r, row in enumerate(rows)]
+        return [row[0] for row in rows]
 
     def _learn(self, new: list[str], prefix: str, memo: dict[str, bytes]) -> None:
         split = [self.split(prefix + w) for w in new]

@@ -65,3 +65,19 @@ def parts(batch: pa.RecordBatch, column: str | int = "text", most: int = 2 << 20
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str]], Any]]) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``keep()(texts)`` marks, a slice at a time; null texts are given as empty ones.
+
+    ``keep`` is called once in each task. Columns go by their place, so that names with dots or quotes do no harm.
+    """
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = keep()
+        for batch in (p for b in batches for p in parts(b, at)):
+            yield batch.filter(pa.array(marks([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,13 +2,14 @@
 
 A text is its byte length (first digit) and then its bytes. Level by level the rows are split by the next digits: the
 length with 32 bytes over all rows, of which singletons leave at once without moving their texts; then the rows still
-open are merged inside each map task; then groups that are still large are split by eight times as many bytes, until all
-are small or their texts have ended. Ended groups are equal and only summed, with sums combined before they move; each
+open are merged inside each map task; then groups that are still large, in rows or in bytes, are split by eight times as many
+bytes, until all are small or their texts have ended. Ended groups are equal and only summed, with sums combined before they move; each
 small group is split to the end, byte strings against byte strings, in one task. No digest decides: ``text_sha256`` is only reported.
 
 Texts are compared after each run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as empty. The row with the
 smallest doc_id stays, of repeated rows with one doc_id the first; null ids stay only if a group has no other. Row
-numbers are made in one scan only; where a later step needs them too, they are written with the rows.
+numbers are made in one scan only; where a later step needs them too, they are written with the rows, under a name that no column
+has. Other columns are kept as they are, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from athenor.functions.storage import materialize
 from athenor.llm.common import whole_text
 
-FIRST_DIGITS, LARGE_GROUP, BROADCAST_GROUPS, BROADCAST_IDS, BLOCK_BYTES = 32, 4_096, 200_000, 2_000_000, 16 << 20
+FIRST_DIGITS, LARGE_GROUP, LARGE_BYTES, BROADCAST_GROUPS, BROADCAST_IDS, BLOCK_BYTES = 32, 64, 32 << 20, 50_000, 500_000, 16 << 20
 ROW = "_athenor_row"
 OPEN = "row long, doc_id long, rep long, text_sha256 string, norm binary, n long, first_id long, first_row long"
 
@@ -112,24 +113,39 @@ def _columns(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["rep", "keep_id", "keep_row", "group_size"])
 
 
-def _split_large(reps: DataFrame) -> DataFrame:
-    """Adds ``digits``: as many leading bytes as make the row's group small, or all."""
-    reps = reps.withColumn("take", F.lit(FIRST_DIGITS))
-    key = [F.octet_length("norm").alias("size"), F.expr("substring(norm, 1, take)").alias("digits")]
+def _split_large(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds ``size`` and ``digits``: rows of small groups, and rows of large ones whose digits are their whole texts.
+
+    Each round splits what is still large by eight times as many bytes, and takes up no row of a group that is done.
+    """
+    key, take, small = ["size", "digits"], FIRST_DIGITS, []
+    rest = reps.withColumn("size", F.octet_length("norm")).withColumn("digits", F.expr(f"substring(norm, 1, {take})"))
+    ended = rest.limit(0)
     while True:
-        large = reps.groupBy("take", *key).count().where((F.col("count") > LARGE_GROUP) & (F.col("take") < F.col("size"))).select("take", "size", "digits")
-        if large.isEmpty():
-            return reps.select("*", *key)
-        large = large.withColumn("more", F.lit(True))
-        keyed = reps.select("*", *key).join(large, ["take", "size", "digits"], "left")
-        reps = keyed.withColumn("take", F.when(F.col("more"), F.col("take") * 8).otherwise(F.col("take"))).drop("size", "digits", "more")
+        large = rest.groupBy(*key).agg(F.count("*").alias("rows")).where((F.col("rows") > LARGE_GROUP) | ((F.col("rows") > 1) & (F.col("rows") * F.col("size") > LARGE_BYTES)))
+        large = materialize(large.select(*key), "large")
+        groups = large.count()
+        if not groups:
+            break
+        if groups <= BROADCAST_GROUPS and groups * take <= LARGE_BYTES:
+            large = F.broadcast(large)
+        small.append(rest.join(large, key, "left_anti"))
+        found = materialize(rest.join(large, key, "left_semi"), "split")
+        ended = ended.unionByName(found.where(F.col("size") <= take))
+        take *= 8
+        rest = found.where(F.col("size") > take // 8).withColumn("digits", F.expr(f"substring(norm, 1, {take})"))
+    for part in small:
+        rest = rest.unionByName(part)
+    return rest, ended
 
 
 def _resolved(reps: DataFrame) -> DataFrame:
     """rep, keep_id, keep_row, group_size: groups whose digits are their whole texts are equal and only summed; small ones are split on."""
-    whole, rest = reps.where("take >= size"), reps.where("take < size")
+    rest, whole = _split_large(reps)
     least = F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_row")).alias("best")
-    sums = whole.groupBy("size", "digits").agg(least, F.sum("n").alias("group_size"))
+    sums = materialize(whole.groupBy("size", "digits").agg(least, F.sum("n").alias("group_size")), "ended")
+    if (sums.agg(F.sum("size")).first()[0] or 0) <= LARGE_BYTES:
+        sums = F.broadcast(sums)
     ended = whole.select("rep", "size", "digits").join(sums, ["size", "digits"])
     split = (
         rest.select("rep", "n", "first_id", "first_row", "norm", "size", "digits")
@@ -141,14 +157,17 @@ def _resolved(reps: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with a number for each row in ROW, so that all later scans agree however they are split."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """``docs`` written once with a number for each row in a last column, so that all later scans agree however they are split."""
+    name, taken = ROW, {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def find_copies(docs: DataFrame) -> DataFrame:
-    """row, doc_id, keep_id, group_size, kept, text_sha256 for each row; ``row`` is the number in ROW, without one any unique number."""
-    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    texts = whole_text(docs.withColumn("row", number).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
+def find_copies(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, text_sha256 for each row; ``row`` is the column ``number``, without one any unique number."""
+    row = F.monotonically_increasing_id() if number is None else F.col(number)
+    texts = whole_text(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "row", "doc_id")
     texts = texts.select("row", "doc_id", F.encode(F.regexp_replace("text", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), "UTF-8").alias("norm"))
     texts = texts.select("*", F.octet_length("norm").alias("size"), F.substring("norm", 1, FIRST_DIGITS).alias("digits"))
     groups = texts.groupBy("size", "digits").count().where("count > 1").select("size", "digits", F.lit(True).alias("open"))
@@ -157,7 +176,7 @@ def find_copies(docs: DataFrame) -> DataFrame:
         groups = F.broadcast(groups)
     marked = texts.join(groups, ["size", "digits"], "left").select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("open"), F.col("norm")).alias("norm"))
     rows = materialize(marked.mapInArrow(_merge_in_task, OPEN), "open")
-    resolved = _resolved(_split_large(rows.where("norm is not null").select("rep", "n", "first_id", "first_row", "norm")))
+    resolved = _resolved(rows.where("norm is not null").select("rep", "n", "first_id", "first_row", "norm"))
     joined = rows.select("row", "doc_id", "rep", "text_sha256").join(resolved, "rep", "left")
     alone = F.col("rep").isNull()
     return joined.select(
@@ -177,13 +196,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The ``numbered`` rows whose number is not in ``dropped(row)``, broadcast only up to BROADCAST_IDS; the number goes."""
-    dropped = materialize(dropped.select(F.col("row").alias(ROW)), "dropped")
+    *columns, number = docs.columns
+    dropped = materialize(dropped.select(F.col("row").alias(number)), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, ROW, "left_anti").select(*(c for c in docs.columns if c != ROW))
+    return docs.join(dropped, number, "left_anti").select(*(f"`{c}`" for c in columns))
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay."""
     docs = numbered(docs)
-    return without_rows(docs, find_copies(docs).where(~F.col("kept")))
+    return without_rows(docs, find_copies(docs, docs.columns[-1]).where(~F.col("kept")))

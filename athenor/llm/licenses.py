@@ -231,11 +231,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                 joined = _joined(words)
                 starts, base, hits = [], set(), []
                 for phrase, label in sought:
-                    at = joined.find(phrase)
-                    while at >= 0:
-                        starts.append(joined.count(b" ", 0, at))
-                        base.add(label)
-                        at = joined.find(phrase, at + 1)
+                    places = [first for first, _ in _places(joined, phrase)]
+                    starts += places
+                    base |= {label} if places else set()
                 if not index.words.isdisjoint(words):
                     lines, found, met = [line.split() for line in plain.split(b"\n")], [], set()
                     for n, line in enumerate(lines):

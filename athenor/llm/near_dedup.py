@@ -13,7 +13,8 @@ in blocks of bounded size, and of each pair of different components only the buc
 sizes and the exact distances to a common hub (Jaccard distance is a metric) leave a link possible.
 
 Shingles are 64-bit hashes; sets with one 128-bit sum of hashes and one size count as equal. Null or blank texts have no
-set and link with nothing. Repeated rows and equal sets fall into one class; null ids never name a component.
+set and link with nothing. Repeated rows and equal sets fall into one class; null ids never name a component. Other columns are kept as
+they are, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 from athenor.functions.storage import materialize
 from athenor.iterative.components import components
 from athenor.llm.common import whole_text
-from athenor.llm.exact_dedup import BROADCAST_IDS, ROW, numbered, without_rows
+from athenor.llm.exact_dedup import BROADCAST_IDS, numbered, without_rows
 
 WORDS, MINIMA, CHUNK = 5, 64, 4
 CHUNKS = MINIMA // CHUNK
 DISTANCE = 2 * CHUNKS - 1
 FINE, FINE_DISTANCE = 512, 162
 SIMILAR = 75
-HUB_KEYS, BLOCK, MEMO = 8, 1_024, 150_000
+HUB_KEYS, BLOCK, MEMO, PAIRS = 8, 1_024, 150_000, 64
 SIGNED = "row long, doc_id long, n_shingles long, high long, low long, signature binary"
 
 _rng = np.random.default_rng(20_240_501)
@@ -128,7 +129,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return whole_text(docs.withColumn("row", F.col(ROW)).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")
+    return whole_text(docs.select(F.col(docs.columns[-1]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "row", "doc_id")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,36 +240,43 @@ def _cross_pairs(classes: DataFrame, shared: DataFrame, parts: DataFrame, tried:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts: their Jaccard distance, and whether 100 * intersection >= 75 * union."""
-    words, last, last_set = WordHash(), None, None
+    """Rows come sorted: the text of b (a is null), then those paired with it. Their Jaccard distance, and whether 100 * intersection >= 75 * union."""
+    words, hub = WordHash(), np.zeros(0, np.uint64)
     for batch in batches:
         out = []
-        for a, b, text, text_b in zip(*(batch.column(c) for c in ("a", "b", "text", "text_b")), strict=True):
-            if (b := b.as_py()) != last:
-                last, last_set = b, shingles(text_b.as_py(), words)
+        for b, a, text in zip(*(batch.column(c) for c in ("b", "a", "text")), strict=True):
             own = shingles(text.as_py(), words)
-            union = len(np.union1d(own, last_set))
-            both = len(own) + len(last_set) - union
-            out.append((a.as_py(), b, 1 - both / union, 100 * both >= SIMILAR * union))
+            if not a.is_valid:
+                hub = own
+                continue
+            union = len(np.union1d(own, hub))
+            both = len(own) + len(hub) - union
+            out.append((a.as_py(), b.as_py(), 1 - both / union, 100 * both >= SIMILAR * union))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["a", "b", "apart", "linked"])
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, apart, linked) for ``pairs(a, b)`` of row numbers, by the full sets of both texts. Only texts in some pair move."""
+    """(a, b, apart, linked) for ``pairs(a, b)`` of row numbers, by the full sets of both texts.
+
+    Only texts in some pair move, and the text of b goes along once for PAIRS of its pairs.
+    """
     needed = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "needed")
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = _rows(docs).drop("doc_id").join(needed, "row", "left_semi")
-    first = pairs.join(texts.withColumnRenamed("row", "a"), "a")
-    both = first.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.mapInArrow(_compare, "a long, b long, apart double, linked boolean")
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("blocks"))
+    hubs = texts.join(blocks.withColumnRenamed("b", "row"), "row").select(F.col("row").alias("b"), F.explode(F.sequence(F.lit(1), "blocks")).alias("block"), F.lit(None).cast("long").alias("a"), "text")
+    members = pairs.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int") + 1)
+    members = members.select("b", "block", "a").join(texts.withColumnRenamed("row", "a"), "a").select("b", "block", "a", "text")
+    dealt = hubs.union(members).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(_compare, "a long, b long, apart double, linked boolean")
 
 
 def find_groups(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, group (null for an empty set): rows of one group are linked, directly or over others.
 
-    ``docs`` is a ``numbered`` table and ``row`` its number.
+    ``docs`` is a ``numbered`` table and ``row`` its number, the last column.
     """
     signed = materialize(sign(docs), "signed")
     grouped = signed.where("n_shingles > 0").groupBy("n_shingles", "high", "low").agg(F.min("row").alias("id"), F.min("signature").alias("signature"))

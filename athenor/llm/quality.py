@@ -190,11 +190,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in parts(b)):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = shared.value.scores([t or "" for t in texts]) >= threshold
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, lambda: lambda texts: shared.value.scores(texts) >= threshold)

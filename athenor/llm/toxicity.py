@@ -156,12 +156,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """The rows of ``docs``, all columns, whose text scores under ``threshold``; the text is scored where it stands."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep() -> Callable[[list[str]], list[bool]]:
         model = shared.value
         weights = WordWeights(model.weights)
-        for batch in (p for b in batches for p in parts(b)):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = [score_text(model.bias, weights, t or "")[0] < threshold for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return lambda texts: [score_text(model.bias, weights, t)[0] < threshold for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, keep)

@@ -135,6 +135,24 @@ def test_any_text_encodes_as_the_library_does(text):
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == test_any_text_encodes_as_the_library_does.ref.encode_ordinary(text)
 
 
+def test_long_stretches_without_a_space(reference):
+    import random
+    import time
+
+    rng = random.Random(8)
+    base64_like = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    few = ["".join(rng.choices(letters, k=rng.randrange(49, 3_000))) for letters in ("ab", "the", "aeinrst", "0123456789", "=-_", "éèa", "のはを") for _ in range(15)]
+    words = bpe.Vocabulary(BYTE_BPE, public_tokenizers.PATTERN)
+    start = time.time()
+    got = words.encode([base64_like])
+    assert time.time() - start < 20
+    texts = [base64_like[:200_000], chinese, "x" * 30_001, " " * 5_003, "ab" * 9_999, "\n" * 777, *few]
+    assert len(got[0]) > 4 * 100_000 and words.decode(got[0]) == base64_like.encode()
+    for t, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t), t[:40]
+
+
 def test_full_memos_change_nothing(reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 3)
     words = bpe.Vocabulary(BYTE_BPE, public_tokenizers.PATTERN)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from athenor.llm import exact_dedup, near_dedup
 from athenor.llm.queries import ORACLES, QUERIES
-from tests.llm.fixtures import empty, hard, written
+from tests.llm.fixtures import clashing, empty, hard, written
 from tests.oracle import both
 
 
@@ -33,6 +33,7 @@ def test_exact_on_hard_rows(spark, tmp_path):
     docs = written(spark, hard(spark), tmp_path)
     check_exact(docs)
     kept = exact_dedup.keep_first_copies(docs)
+    assert clashing(kept.collect())
     assert kept.columns == docs.columns and kept.count() == len(set(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect()))
 
 
@@ -43,6 +44,7 @@ def test_exact_on_no_rows(spark, tmp_path):
 
 def test_exact_splits_large_groups_by_more_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 3)
+    monkeypatch.setattr(exact_dedup, "LARGE_BYTES", 1_000)
     monkeypatch.setattr(exact_dedup, "BLOCK_BYTES", 2_000)
     monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", 0)
@@ -136,7 +138,7 @@ def test_near_on_hard_rows(spark, tmp_path):
     want = sorted(((i is None, i or 0, n, c) for i, n, c in brute_near(rows)), key=str)
     assert as_rows(near_dedup.near_dedup(docs)) == want
     kept = near_dedup.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and clashing(kept.collect())
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
