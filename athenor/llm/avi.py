@@ -1,13 +1,16 @@
 """Motion-JPEG in AVI: writing, reading through the RIFF index, intra decoding, and shots.
 
-``read_avi`` follows ``idx1`` to the frames. ``decode_jpeg`` decodes baseline (SOF0, to its first component) and lossless
+``read_avi`` follows ``idx1`` to the frames. ``decode_frames`` decodes baseline (SOF0, to its first component) and lossless
 (SOF3, predictor 1, one component) frames. The writer stores 8-bit samples losslessly: its Huffman code for the difference
 category s has 10 - s bits, so that a category with its s further bits always takes 10 bits, and whole films are coded and
-decoded as matrices. Shots end where the histogram difference of neighbouring frames exceeds what the frames before it
-showed, by their mean and deviation.
+decoded as matrices; so a stored file is a quarter larger than its samples. Shots end where the histogram difference of neighbouring
+frames exceeds what the frames before it showed, by their mean and deviation.
 
 A text is stored as its UTF-8 bytes with spaces up to a positive multiple of 192, in grey frames of 64 x 48 samples; an ``strd``
-chunk says how many samples of the last frame count. Null counts as empty, that is 192 spaces; equal texts give equal files.
+chunk says how many samples of the last frame count, and only those enter histograms. Null counts as empty, that is 192 spaces; equal texts
+give equal files, repeated rows repeated results, null ids stay, an empty table gives no rows, and columns besides doc_id and text are not
+looked at, whatever their names. Texts of any length are stored whole. A null file has no clips; a file that cannot be read or decoded has
+one row with ``error`` instead of a clip.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 
 from athenor.llm.common import parts, whole_text
 
-WIDTH, HEIGHT, RATE, UNIT = 64, 48, 24, 192
+WIDTH, HEIGHT, RATE, UNIT, LARGEST_FRAME = 64, 48, 24, 192, 1 << 26
 BINS, WINDOW, FLOOR, SPREAD = 32, 8, 0.30, 3.0
-STORED = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames int, cuts array<int>"
+STORED = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames int, clips array<struct<first_frame:int,n_frames:int,start_s:double,end_s:double>>"
+CLIP = pa.struct([("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 #: Fixed values of the format: coefficients by diagonal order.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -109,6 +113,8 @@ class JpegHeader:
             elif marker in (0xC0, 0xC1, 0xC3):
                 self.kind, self.depth = marker, body[0]
                 self.height, self.width = struct.unpack_from(">HH", body, 1)
+                if not 0 < self.height * self.width <= LARGEST_FRAME:
+                    raise ValueError(f"frame of {self.width} x {self.height}")
                 self.parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
@@ -232,22 +238,25 @@ def _restarts(data: bytes) -> list[bytes]:
 
 
 def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
-    """Samples of each frame; frames that share the ten-bit code and a size are decoded together."""
+    """Samples of each frame; frames that share the ten-bit code and a size are decoded together. ValueError for a broken frame."""
     out: list = [None] * len(jpegs)
     together: dict[int, tuple[JpegHeader, list[int], list[bytes]]] = {}
-    for i, data in enumerate(jpegs):
-        header, scan = split_jpeg(data)
-        if header.kind != 0xC3:
-            out[i] = _decode_baseline(header, scan)
-        elif header.huffman.get(0) == _canonical(_COUNTS, _VALUES) and header.predictor == 1 and len(header.parts) == 1:
-            kept = together.setdefault(id(header), (header, [], []))
-            kept[1].append(i)
-            kept[2].append(scan)
-        else:
-            out[i] = _decode_lossless(header, scan)
-    for header, at, scans in together.values():
-        for i, frame in zip(at, _decode_ten_bit(header, scans), strict=True):
-            out[i] = frame
+    try:
+        for i, data in enumerate(jpegs):
+            header, scan = split_jpeg(data)
+            if header.kind != 0xC3:
+                out[i] = _decode_baseline(header, scan)
+            elif header.huffman.get(0) == _canonical(_COUNTS, _VALUES) and header.predictor == 1 and len(header.parts) == 1:
+                kept = together.setdefault(id(header), (header, [], []))
+                kept[1].append(i)
+                kept[2].append(scan)
+            else:
+                out[i] = _decode_lossless(header, scan)
+        for header, at, scans in together.values():
+            for i, frame in zip(at, _decode_ten_bit(header, scans), strict=True):
+                out[i] = frame
+    except (IndexError, KeyError, struct.error, AttributeError) as broken:
+        raise ValueError(f"broken JPEG frame: {broken}") from broken
     return out
 
 
@@ -298,11 +307,19 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def read_avi(data: bytes) -> dict:
-    """rate, width, height, extra and the frames of the first video stream, in the order of the index."""
-    found: dict = {"extra": b"", "frames": []}
-    (kind, start, end), *_ = _chunks(data, 0, len(data))
+    """rate, width, height, extra and the frames of the first video stream, in the order of the index. ValueError for a broken file."""
+    try:
+        return _read_avi(data)
+    except (IndexError, struct.error) as broken:
+        raise ValueError(f"broken AVI file: {broken}") from broken
+
+
+def _read_avi(data: bytes) -> dict:
+    found: dict = {"extra": b"", "frames": [], "rate": float(RATE)}
+    (kind, start, end), *_ = [*_chunks(data, 0, len(data)), (b"", 0, 0)]
     if kind != b"AVI ":
         raise ValueError("not an AVI file")
+    inside, entries = None, None
     for name, a, b in _chunks(data, start, end):
         if name == b"hdrl":
             for n, c, d in _chunks(data, a, b):
@@ -313,31 +330,36 @@ def read_avi(data: bytes) -> dict:
                     for m, e, f in _chunks(data, c, d):
                         if m == b"strh" and data[e : e + 4] == b"vids":
                             scale, per = struct.unpack_from("<II", data, e + 20)
-                            found["rate"] = per / max(1, scale)
+                            found["rate"] = max(1, per) / max(1, scale)
                         elif m == b"strd":
                             found["extra"] = data[e:f]
         elif name == b"movi":
-            movi, movi_end = a - 4, b
+            inside = a - 4, b
         elif name == b"idx1":
             entries = [struct.unpack_from("<4sIII", data, at) for at in range(a, b - 15, 16)]
-            base = 0 if entries and data[entries[0][2] : entries[0][2] + 4] == entries[0][0] else movi  # offsets may be absolute
-            found["frames"] = [data[base + at + 8 : base + at + 8 + size] for name, _, at, size in entries if name[2:] in (b"dc", b"db")]
-            return found
-    found["frames"] = [data[a:b] for name, a, b in _chunks(data, movi + 4, movi_end) if name[2:] in (b"dc", b"db")]
+    if inside is None:
+        raise ValueError("an AVI file without frames' list")
+    if entries is None:
+        found["frames"] = [data[a:b] for name, a, b in _chunks(data, inside[0] + 4, inside[1]) if name[2:] in (b"dc", b"db")]
+        return found
+    base = 0 if entries and data[entries[0][2] : entries[0][2] + 4] == entries[0][0] else inside[0]  # offsets may be absolute
+    found["frames"] = [data[base + at + 8 : base + at + 8 + size] for name, _, at, size in entries if name[2:] in (b"dc", b"db")]
     return found
 
 
 # ---- shots ---------------------------------------------------------------------------------------------------------
 
 
-def histogram_differences(frames: np.ndarray) -> np.ndarray:
-    """Half the absolute difference of neighbouring frames' histograms as a share of the samples; 0 for the first frame."""
-    n = len(frames)
-    bins = frames.reshape(n, -1) >> 3
-    counts = np.bincount((np.arange(n)[:, None] * BINS + bins).ravel(), minlength=n * BINS).reshape(n, BINS)
-    out = np.zeros(n)
-    out[1:] = np.abs(np.diff(counts, axis=0)).sum(1) / (2 * bins.shape[1])
-    return out
+def histogram_differences(frames: list[np.ndarray] | np.ndarray, used: list[int] | None = None) -> np.ndarray:
+    """Half the absolute difference of neighbouring frames' histograms, each as shares of its samples; 0 for the first frame.
+
+    Of a frame only its first ``used`` samples count; frames may differ in size.
+    """
+    shares = np.zeros((len(frames), BINS))
+    for i, frame in enumerate(frames):
+        samples = frame.reshape(-1)[: None if used is None else used[i]]
+        shares[i] = np.bincount(samples >> 3, minlength=BINS) / max(1, len(samples))
+    return np.append(np.zeros(min(1, len(frames))), np.abs(np.diff(shares, axis=0)).sum(1) / 2)
 
 
 def shot_cuts(differences: np.ndarray) -> list[int]:
@@ -351,8 +373,23 @@ def shot_cuts(differences: np.ndarray) -> list[int]:
     return cuts
 
 
+def shots(film: dict, frames: list[np.ndarray] | np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(first_frame, n_frames, start_s, end_s) of each shot; an eight-byte ``strd`` says how many samples of the film count."""
+    if not len(frames):
+        return []
+    sizes = [f.size for f in frames]
+    if len(film["extra"]) == 8 and sum(sizes[:-1]) < (count := struct.unpack("<Q", film["extra"])[0]) < sum(sizes):
+        sizes[-1] = count - sum(sizes[:-1])
+    cuts = shot_cuts(histogram_differences(frames, sizes))
+    return [(a, b - a, a / film["rate"], b / film["rate"]) for a, b in zip([0, *cuts], [*cuts, len(frames)], strict=True)]
+
+
 def clips(media: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, clip, first_frame, n_frames, start_s, end_s) for each shot of the AVI files in a binary column; null files have none."""
+    """(key, clip, first_frame, n_frames, start_s, end_s, error) for each shot of the AVI files in a binary column.
+
+    Null files and files without frames have no row; one that cannot be read has a row with ``error`` and nothing else.
+    """
+    names = [key, "clip", "first_frame", "n_frames", "start_s", "end_s", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,19 +397,19 @@ def clips(media: DataFrame, key: str, column: str) -> DataFrame:
             for i, data in enumerate(batch.column(1)):
                 if not data.is_valid:
                     continue
-                film = read_avi(data.as_py())
-                if not film["frames"]:
-                    continue
-                cuts = shot_cuts(histogram_differences(np.stack(decode_frames(film["frames"]))))
-                for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(film["frames"])], strict=True)):
-                    at.append(i)
-                    rows.append((k, a, b - a, a / film["rate"], b / film["rate"]))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int32()] * 3 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, "clip", "first_frame", "n_frames", "start_s", "end_s"])
+                try:
+                    film = read_avi(data.as_py())
+                    found = [(k, *shot, None) for k, shot in enumerate(shots(film, decode_frames(film["frames"])))]
+                except ValueError as broken:
+                    found = [(*[None] * 5, str(broken))]
+                at += [i] * len(found)
+                rows += found
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int32()] * 3 + [pa.float64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double")
+    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double, error string")
 
 
 # ---- texts as films ------------------------------------------------------------------------------------------------
@@ -398,19 +435,20 @@ def films(texts: list[str]) -> list[tuple[int, bytes]]:
 def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """STORED for every row and whole text, all read back from the file; with ``keep_media`` the file itself as ``media``."""
     names = [c.split()[0] for c in STORED.split(", ")] + ["media"] * keep_media
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.list_(CLIP), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b, "text", 1 << 20)):
             stored = films(batch.column(1).to_pylist())
             read = [read_avi(data) for _, data in stored]
             frames = np.stack(decode_frames([f for r in read for f in r["frames"]]))
-            differences, at, rows = histogram_differences(frames), 0, []
+            at, rows = 0, []
             for doc_id, (n, data), film in zip(batch.column(0).to_pylist(), stored, read, strict=True):
-                count = len(film["frames"])
-                payload = frames[at : at + count].tobytes()[: struct.unpack("<Q", film["extra"])[0]]
-                rows.append((doc_id, n, payload, len(data), hashlib.sha256(data).hexdigest(), count, shot_cuts(np.append(0.0, differences[at + 1 : at + count])), data)[: len(names)])
-                at += count
+                own = frames[at : at + len(film["frames"])]
+                payload = own.tobytes()[: struct.unpack("<Q", film["extra"])[0]]
+                found = [dict(zip(CLIP.names, shot, strict=True)) for shot in shots(film, own)]
+                rows.append((doc_id, n, payload, len(data), hashlib.sha256(data).hexdigest(), len(own), found, data)[: len(names)])
+                at += len(own)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     source = whole_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
@@ -418,8 +456,8 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    cuts = F.concat_ws(",", F.transform("cuts", lambda c: c.cast("string")))
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips (each shot with its times)."""
+    cuts = F.concat_ws(",", F.transform(F.expr("slice(clips, 2, greatest(size(clips) - 1, 0))"), lambda c: c["first_frame"].cast("string")))
     return stored.select(
         "doc_id",
         "n_bytes",
@@ -428,5 +466,6 @@ def digests(stored: DataFrame) -> DataFrame:
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.format_string("frames=%d;shots=%d;cuts=%s", F.col("n_frames"), F.size("cuts") + 1, cuts).alias("feature"),
+        F.format_string("frames=%d;shots=%d;cuts=%s", F.col("n_frames"), F.size("clips"), cuts).alias("feature"),
+        "clips",
     )

@@ -4,11 +4,13 @@ A page is cut into leaf blocks: stretches of text between tags that are not inli
 ancestors (tags, class and id words) and of its text (length, link share, marks, place). The chain has two labels; it is
 trained on labelled pages by gradient ascent with forward-backward sums, and Viterbi decodes each page's blocks.
 
-Null or empty pages give an empty text; broken markup is read as far as it goes. Repeated rows give repeated results.
+Null or empty pages give an empty text; broken markup is read as far as it goes. Repeated rows give repeated results, null ids stay, an
+empty table gives no rows, and columns besides page_id, url and html are not looked at, whatever their names. Pages of any length are read whole.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from athenor.llm.common import parts
@@ -318,9 +320,19 @@ def train(pages: list[tuple[str, list[str]]] | None = None) -> BlockCRF:
     return fit(ready)
 
 
+def train_in_task(spark: SparkSession) -> BlockCRF:
+    """``train()`` in one task: its pages are laid out there, only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train())], pa.binary())], names=["model"])
+
+    return pickle.loads(bytes(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()[0]))
+
+
 def extract(pages: DataFrame, model: BlockCRF | None = None) -> DataFrame:
     """EXTRACTED for every row and whole page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())  # features of the training pages
+    shared = pages.sparkSession.sparkContext.broadcast(model or train_in_task(pages.sparkSession))  # features of the training pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value

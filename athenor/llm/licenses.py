@@ -11,7 +11,8 @@ is counted exactly. Stretches: only a text that has enough of a template's words
 over its words, and of overlapping stretches the best counts. A stretch with a line that meets the template is no second match.
 
 The plain labels come from phrases found word by word anywhere in the text, also across lines; the join adds its own.
-Null and empty texts have no words and no labels; null ids and repeated rows stay as they are.
+Null and empty texts have no words and no labels; null ids and repeated rows stay as they are; an empty table gives no rows. Texts of any
+length are read whole; of templates with equal scores all labels count. Columns besides doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Every word has a learned vector, every hashed character n-gram and hashed word p
 all of them, a softmax over the two classes follows, and numpy stochastic gradient descent trains both layers. After
 training the softmax is folded into the vectors: each feature keeps the one number by which it moves the log odds.
 
-Null texts count as empty; an empty text scores by the bias alone. Repeated rows give repeated results.
+Null texts count as empty; an empty text scores by the bias alone. Repeated rows give repeated results; null ids stay. Of several labels of
+one id the greatest counts. Texts of any length are scored whole. Without labels of both kinds every text scores 0.5; an empty table gives no
+rows. Other columns are kept by ``keep_good`` and not looked at by ``quality``, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, parts, whole_text
+from athenor.llm.common import crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 15_000
 BUCKETS, DIM, MEMO = 1 << 17, 8, 150_000

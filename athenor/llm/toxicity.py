@@ -4,14 +4,16 @@ A sentence has probability ``sigmoid(bias + sum of the weights of its distinct w
 a document is toxic with the noisy-or ``1 - prod(1 - p)`` of its sentences. Only document labels train the weights; the sentence probabilities then locate
 the offending sentences.
 
-Null texts count as empty; an empty text has one empty sentence. Repeated rows give repeated results; null ids stay.
+Null texts count as empty; an empty text has one empty sentence. Repeated rows give repeated results; null ids stay. Of several labels of one
+id the greatest counts. Texts of any length are scored whole. Without labels of both kinds every text has the bias' score; an empty table gives
+no rows. Other columns are kept by ``keep_clean`` and not looked at by ``toxicity``, whatever their names.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp, expm1, log1p
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, fit_in_task, labelled_sample, parts, whole_text
+from athenor.llm.common import crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 8_000, 60_000, 4_096
 SCORED = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"

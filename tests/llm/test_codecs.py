@@ -113,6 +113,68 @@ def test_films_without_an_index_are_read():
     assert len(avi.read_avi(film[: film.rindex(b"idx1")])["frames"]) == len(avi.read_avi(film)["frames"]) == 2
 
 
+def test_broken_films_give_an_error_row(spark):
+    film = avi.write_avi(avi.encode_lossless(np.full((3, 4, 4), 9, np.uint8)), 4, 4)
+    unequal = avi.write_avi(avi.encode_lossless(np.zeros((1, 4, 4), np.uint8)) + avi.encode_lossless(np.zeros((1, 8, 4), np.uint8)), 4, 4)
+    no_list = film.replace(b"movi", b"none")
+    rows = [("few", film[:4]), ("none", b""), ("text", b"not a film at all"), ("list", no_list), ("jpeg", film.replace(b"\xff\xda", b"\xff\x01")), ("half", film[: len(film) // 2]), ("null", None), ("good", film), ("unequal", unequal)]
+    got = {}
+    for r in avi.clips(spark.createDataFrame(rows, "name string, data binary"), "name", "data").collect():
+        got.setdefault(r.name, []).append(r)
+    assert set(got) == {n for n, _ in rows} - {"null", "half"} or set(got) == {n for n, _ in rows} - {"null"}
+    assert all(got[n][0].error and got[n][0].clip is None for n in ("few", "none", "text", "list", "jpeg"))
+    assert [(r.clip, r.n_frames, r.error) for r in got["good"]] == [(0, 3, None)] and got["unequal"][0].n_frames == 2
+
+
+def test_padding_of_the_last_frame_is_no_shot(spark):
+    rng = np.random.default_rng(6)
+    letters = list("etaoin shrdlu ")
+    docs = spark.createDataFrame([(i, "".join(rng.choice(letters, int(n)))) for i, n in enumerate(rng.integers(3_100, 40_000, 60))], "doc_id long, text string")
+    got = avi.digests(avi.store_texts(docs)).collect()
+    assert all(r.feature.endswith("shots=1;cuts=") and len(r.clips) == 1 for r in got)
+    changing = spark.createDataFrame([(1, "a" * 3_072 * 9 + "Z" * 3_072 * 4)], "doc_id long, text string")
+    (row,) = avi.digests(avi.store_texts(changing)).collect()
+    assert row.feature == "frames=13;shots=2;cuts=9" and [(c.first_frame, c.n_frames, c.start_s, c.end_s) for c in row.clips] == [(0, 9, 0.0, 9 / 24), (9, 4, 9 / 24, 13 / 24)]
+
+
+def read_by_hand(film):
+    """Samples of a stored film by another way: chunks found from the index, difference codes read bit by bit."""
+    count = struct.unpack_from("<Q", film, film.index(b"strd") + 8)[0]
+    movi, index, out = film.index(b"movi"), film.rindex(b"idx1"), []
+    for at in range(index + 8, index + 8 + struct.unpack_from("<I", film, index + 4)[0], 16):
+        place, size = struct.unpack_from("<II", film, at + 8)
+        jpeg = film[movi + place + 8 : movi + place + 8 + size]
+        table = jpeg.index(b"\xff\xc4")
+        counts, values = jpeg[table + 5 : table + 21], jpeg[table + 21 :]
+        codes, code, k = {}, 0, 0
+        for bits, n in enumerate(counts, 1):
+            for _ in range(n):
+                codes[format(code, f"0{bits}b")] = values[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        height, width = struct.unpack_from(">HH", jpeg, jpeg.index(b"\xff\xc3") + 5)
+        data = jpeg[jpeg.index(b"\xff\xda") + 10 : -2].replace(b"\xff\x00", b"\xff")
+        stream = "".join(format(b, "08b") for b in data)
+        frame, place = [], 0
+        for i in range(height * width):
+            end = place + 1
+            while stream[place:end] not in codes:
+                end += 1
+            n = codes[stream[place:end]]
+            extra, place = stream[end : end + n], end + n
+            d = 0 if not n else int(extra, 2) if extra[0] == "1" else int(extra, 2) - (1 << n) + 1
+            frame.append((d + (128 if i == 0 else frame[i - width] if i % width == 0 else frame[i - 1])) & 0xFFFF)
+        out += frame
+    return bytes(out[:count])
+
+
+def test_stored_films_are_read_by_another_reader(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 12")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in avi.store_texts(docs, keep_media=True).collect():
+        assert read_by_hand(r.media).rstrip(b" ") == texts[r.doc_id].rstrip(b" ") and hashlib.sha256(r.media).hexdigest() == r.media_sha256
+
+
 # ---- byte-pair encoding --------------------------------------------------------------------------------------------
 
 
@@ -340,3 +402,36 @@ def test_pipeline_stages(spark):
     assert clean.count() > 0.7 * docs.count() and good.count() > 0.6 * docs.count()
     rows = sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect()))
     assert rows == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_base_places_of_documents_by_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").encode().lower())
+        places, labels = [], set()
+        for phrase, label in licenses.PHRASES.items():
+            own = phrase.encode().split()
+            found = [i for i in range(len(words)) if words[i] == own[0] and words[i : i + len(own)] == own]
+            places += found
+            labels |= {label} if found else set()
+        row = got[r.doc_id]
+        assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(row.labels.split(",")) and 0 <= row.score <= 1 and (row.score > 0) == (row.labels != "")
+
+
+def test_very_long_text_of_phrases(spark):
+    import time
+
+    text = "Licensed under the MIT License. " * 300_000  # 9.6 MB, one line
+    start = time.time()
+    (row,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (1_500_000, 300_000, 1, 1_499_996) and time.time() - start < 60
+
+
+@pytest.mark.parametrize(("text", "labels"), [("released under the terms of the GPL license", ""), ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "cc-by-nc")])
+def test_templates_of_other_families_are_not_met(spark, text, labels):
+    (row,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.labels == labels
