@@ -233,3 +233,38 @@ def test_chain_probabilities_by_enumeration():
         return model.begin[y[0]] + sum(e[i] for i in range(3) if y[i]) + sum(model.change[a, b] for a, b in itertools.pairwise(y))
 
     assert tuple(model.viterbi(blocks)) == max(itertools.product((0, 1), repeat=3), key=worth)
+
+
+def test_pages_of_the_table(spark):
+    """The table's pages keep their main text in one ``article`` of headings and paragraphs, here read by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks += [""] if tag in ("article", "h1", "p") else []
+            self.blocks[-1] += " " if tag == "br" and self.inside else ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    got = {r.page_id: r.text for r in html_crf.extract(pages).collect()}
+    right, both, mine, theirs = 0, 0, 0, 0
+    for r in pages.collect():
+        reader = Article()
+        reader.feed(r.html or "")
+        want = [" ".join(b.split()) for b in reader.blocks if b.strip()]
+        own = got[r.page_id].split("\n") if got[r.page_id] else []
+        right += own == want
+        common = sum((collections.Counter(own) & collections.Counter(want)).values())
+        both, mine, theirs = both + common, mine + len(own), theirs + len(want)
+    print(f"pages right {right / len(got):.3f}, block F1 {2 * both / (mine + theirs):.4f}")
+    assert right >= 0.97 * len(got) and 2 * both / (mine + theirs) >= 0.99
