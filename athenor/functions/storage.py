@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; only a local session without one, as in tests, gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -31,3 +33,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/athenor-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df`` written, after a check that it has at most ``most`` rows: for small sides whose pairs are all wanted."""
+    written = materialize(df, "bounded")
+    if (n := written.count()) > most:
+        raise ValueError(f"{n} {what}, at most {most} can be paired with each other; filter them first")
+    return written

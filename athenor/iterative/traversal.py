@@ -11,7 +11,7 @@ from athenor.params import DEFAULT, Params
 
 def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 10) -> DataFrame:
     """(node, distance): undirected hops to the nearest seed, up to ``max_hops``; seeds(node)."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct()
+    both = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct(), "both")
     frontier = seeds.select("node").distinct()
     found = materialize(frontier.withColumn("distance", F.lit(0)), "hops")
     frontier = found.select("node")
@@ -46,7 +46,8 @@ def bucket_generations(edges: DataFrame, papers: DataFrame, seeds: DataFrame, ge
     """
     claimed = materialize(seeds.select("paper").distinct().join(papers, "paper").select("paper", F.lit(0).alias("generation"), F.lit(None).cast(papers.schema["paper"].dataType).alias("parent"), "relevance"), "bucket")
     frontier = claimed
-    short = edges.where(F.col("ref_pos") <= per_paper)
+    short = materialize(edges.where(F.col("ref_pos") <= per_paper).select("src", "dst", "ref_pos"), "short")
+    papers = materialize(papers.select("paper", "relevance"), "papers")
     for generation in range(1, generations + 1):
         reached = frontier.select(F.col("paper").alias("parent")).join(short.withColumnRenamed("src", "parent"), "parent")
         rank = Window.partitionBy("dst").orderBy("parent", "ref_pos")
@@ -66,6 +67,8 @@ def depth_expansion(edges: DataFrame, papers: DataFrame, seeds: DataFrame, round
 
     The size of a hub decides how many references and citations of it are followed. papers(paper, relevance, citation_count).
     """
+    edges = materialize(edges.select("src", "dst", "ref_pos"), "edges")
+    papers = materialize(papers.select("paper", "relevance", "citation_count"), "papers")
     known = materialize(seeds.select("paper").distinct().withColumn("depth", F.lit(0)), "depth")
     expanded = None
     for depth in range(1, rounds + 1):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.exprs import hub_limits, hub_penalty, hub_type, intro_count, intro_count_plain, multipath, proximity, recency_impact
+from athenor.functions.storage import bounded
 from athenor.params import DEFAULT, Params
 
 
@@ -47,7 +48,7 @@ def cluster_links(edges: DataFrame, membership: DataFrame) -> DataFrame:
     a = edges.join(membership.select(F.col("node").alias("src"), F.col("cluster").alias("ca")), "src")
     both = a.join(membership.select(F.col("node").alias("dst"), F.col("cluster").alias("cb")), "dst").where("ca <> cb")
     counts = both.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("links"))
-    names = membership.select("cluster").distinct()
+    names = bounded(membership.select("cluster").distinct(), 5_000, "clusters")
     grid = names.select(F.col("cluster").alias("a")).join(names.select(F.col("cluster").alias("b")), F.col("a") < F.col("b"))
     return grid.join(counts, ["a", "b"], "left").fillna(0, ["links"])
 
@@ -58,6 +59,12 @@ def _neighbour_clusters(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return both.join(membership.withColumnRenamed("node", "near"), "near").groupBy("node", "cluster").agg(F.count("*").alias("n"))
 
 
+def near_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, paths): how many seeds are a node's neighbours, in either direction."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct()
+    return both.join(seeds.select(F.col("node").alias("near")).distinct(), "near", "left_semi").groupBy("node").agg(F.count("*").alias("paths"))
+
+
 def bridge_diversity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """1 - largest share of one cluster among a node's neighbours, for nodes that touch two clusters or more."""
     counts = _neighbour_clusters(edges, membership).groupBy("node").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("clusters"))
@@ -136,9 +143,9 @@ def reference_importance(citations: Column, shared: Column, gap_years: Column, p
     return 0.3 * F.log1p(citations) + 0.2 * shared + recency + place
 
 
-def hubs(nodes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Hub type of each node with its expansion limits and penalty. nodes(citation_count, relevance)."""
-    kind = hub_type("citation_count", "relevance", None, p)
+def hubs(nodes: DataFrame, known: Column | None = None, p: Params = DEFAULT) -> DataFrame:
+    """Hub type of each node with its expansion limits and penalty. nodes(citation_count, relevance); ``known`` marks listed mega hubs."""
+    kind = hub_type("citation_count", "relevance", known, p)
     return nodes.withColumn("hub", kind).withColumn("limits", hub_limits("hub")).withColumn("penalty", hub_penalty("hub"))
 
 

@@ -76,16 +76,19 @@ def topical_scores(concepts: DataFrame, weights: DataFrame, top: int = 7) -> Dat
     return summed.crossJoin(F.broadcast(core)).select("paper_id", F.least(F.col("w") / F.col("_most") / F.sqrt("_core"), F.lit(1.0)).alias("topical"))  # one row
 
 
-def breakpoints(values: DataFrame, column: str, by: list[str], key: str) -> DataFrame:
-    """For each group three places to cut a falling list: mean + deviation (population), largest gap and largest bend in the first hundred."""
+def breakpoints(values: DataFrame, column: str, by: list[str], key: str, first: int = 100) -> DataFrame:
+    """For each group three places to cut a falling list: mean + deviation (population), largest gap and largest bend in the first hundred.
+
+    Only the hundred largest values of a group, and the one behind them, are put in order; the rest is aggregated.
+    """
     w = Window.partitionBy(*by).orderBy(F.desc(column), key)
-    ranked = values.withColumn("i", F.row_number().over(w)).withColumn("before", F.lag(column).over(w)).withColumn("after", F.lead(column).over(w))
+    top = values.withColumn("i", F.row_number().over(w)).where(F.col("i") <= first + 1)
+    near = top.withColumn("before", F.lag(column).over(w)).withColumn("after", F.lead(column).over(w)).where(F.col("i") <= first)
     level = values.groupBy(*by).agg((F.avg(column) + F.stddev_pop(column)).alias("level"))
-    above = ranked.join(level, by).groupBy(*by).agg(F.count_if(F.col(column) >= F.col("level")).alias("by_deviation"))
-    first = ranked.where("i <= 100")
-    gap = first.where("before is not null").groupBy(*by).agg(F.max_by(F.col("i") - 1, F.struct(F.round(F.col("before") - F.col(column), 6), -F.col("i"))).cast("bigint").alias("by_gap"))
+    above = values.join(level, by).groupBy(*by).agg(F.count_if(F.col(column) >= F.col("level")).alias("by_deviation"))
+    gap = near.where("before is not null").groupBy(*by).agg(F.max_by(F.col("i") - 1, F.struct(F.round(F.col("before") - F.col(column), 6), -F.col("i"))).cast("bigint").alias("by_gap"))
     bend = F.abs(F.col("before") - 2 * F.col(column) + F.col("after"))
-    elbow = first.where("before is not null and after is not null").groupBy(*by).agg(F.max_by("i", F.struct(F.round(bend, 6), -F.col("i"))).cast("bigint").alias("by_elbow"))
+    elbow = near.where("before is not null and after is not null").groupBy(*by).agg(F.max_by("i", F.struct(F.round(bend, 6), -F.col("i"))).cast("bigint").alias("by_elbow"))
     return above.join(gap, by, "left").join(elbow, by, "left")
 
 

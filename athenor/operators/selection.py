@@ -27,24 +27,20 @@ def expansion_queue(nodes: DataFrame, edges: DataFrame, limit: int = 10, p: Para
 
 
 def core_and_frontier(nodes: DataFrame, limit: int, share: float = 0.6) -> DataFrame:
-    """The best of the core and, for the rest of the places, the best of the frontier. nodes(node, score, is_frontier)."""
+    """The best of the core and, for the rest of the places, the best of the frontier, with ``rank``. nodes(node, score, is_frontier)."""
     core = int(limit * share)
+    best = [nodes.where(F.col("is_frontier") == side).orderBy(F.desc("score"), "node").limit(n) for side, n in ((False, core), (True, limit - core))]
     rank = Window.partitionBy("is_frontier").orderBy(F.desc("score"), "node")
-    ranked = nodes.withColumn("rank", F.row_number().over(rank))
-    return ranked.where(F.col("rank") <= F.when(F.col("is_frontier"), limit - core).otherwise(core))
+    return best[0].unionAll(best[1]).withColumn("rank", F.row_number().over(rank))  # over ``limit`` rows
 
 
 def select_seeds(candidates: DataFrame, most: int = 20, reviews: int = 3, least_citations: int = 30, few: int = 5, p: Params = DEFAULT) -> DataFrame:
-    """Up to three cited reviews, then cited papers, and recent ones if these are few. candidates(paper_id, position, ...).
-
-    The candidates are one page of search results.
-    """
-    order = Window.partitionBy("is_review").orderBy("position")
-    ranked = candidates.withColumn("_r", F.row_number().over(order))
+    """Up to three cited reviews among the first reviews, then cited papers, and recent ones if these are few. candidates(paper_id, position, ...)."""
+    first = candidates.where("is_review").orderBy("position").limit(reviews).select("paper_id", F.lit(True).alias("_first"))
     cited = F.col("citation_count") >= least_citations
-    tier = F.when(F.col("is_review") & (F.col("_r") <= reviews) & cited, 1).when(~F.col("is_review") & cited, 2).when(F.col("year") >= p.as_of_year - 1, 3)
-    tiered = ranked.withColumn("tier", tier).where("tier is not null")
-    found = tiered.agg((F.count_if(F.col("tier") < 3) < few).alias("_few"))
+    tier = F.when(F.col("is_review") & F.col("_first") & cited, 1).when(~F.col("is_review") & cited, 2).when(F.col("year") >= p.as_of_year - 1, 3)
+    tiered = candidates.join(F.broadcast(first), "paper_id", "left").withColumn("tier", tier).where("tier is not null")  # ``reviews`` rows
+    found = tiered.where("tier < 3").limit(few).agg((F.count("*") < few).alias("_few"))
     return tiered.crossJoin(F.broadcast(found)).where("tier < 3 or _few").orderBy("tier", "position").limit(most).select("paper_id", "tier", "position")  # found is one row
 
 
@@ -55,10 +51,26 @@ def combine_seeds(lists: DataFrame, most: int = 20) -> DataFrame:
     return lists.withColumn("key", key).withColumn("_r", F.row_number().over(rank)).where("_r = 1").orderBy("list", "position").limit(most).drop("_r")
 
 
+def _sharing(concepts: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
+    """(seed, paper_id) that have ``least`` concepts in common.
+
+    A paper that shares so many has one of the seed's k - least + 1 rarest ones, so only those are joined; the rest is counted for what they find.
+    """
+    own = concepts.select("paper_id", "name").distinct()
+    frequency = own.groupBy("name").agg(F.count("*").alias("n"))
+    of_seeds = own.join(seeds.select("paper_id"), "paper_id", "left_semi").withColumnRenamed("paper_id", "seed")
+    order = Window.partitionBy("seed").orderBy("n", "name")
+    ranked = of_seeds.join(frequency, "name").withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("seed")))
+    rare = ranked.where(F.col("r") <= F.col("k") - least + 1).select("seed", "name")
+    found = rare.join(own, "name").where("seed <> paper_id").select("seed", "paper_id").distinct()
+    both = found.join(of_seeds, "seed").join(own, ["paper_id", "name"])
+    return both.groupBy("seed", "paper_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("seed", "paper_id")
+
+
 def inferred_edges(seeds: DataFrame, papers: DataFrame, authors: DataFrame, concepts: DataFrame, least: int = 3) -> DataFrame:
     """(src, dst, kind) between seeds and papers that share an author, or else ``least`` concepts; the later paper cites.
 
-    Both shares come from joins on the author or concept. papers(paper_id, year), authors(paper_id, author),
+    Authors are joined as they are, concepts over the seeds' rarest ones. papers(paper_id, year), authors(paper_id, author),
     concepts(paper_id, name).
     """
 
@@ -67,7 +79,7 @@ def inferred_edges(seeds: DataFrame, papers: DataFrame, authors: DataFrame, conc
         return own.join(seeds, "paper_id", "left_semi").withColumnRenamed("paper_id", "seed").join(own, key).where("seed <> paper_id").groupBy("seed", "paper_id").agg(F.count("*").alias("n"))
 
     by_author = shared(authors, "author").select("seed", "paper_id", F.lit(True).alias("same"))
-    by_concept = shared(concepts, "name").where(F.col("n") >= least).select("seed", "paper_id", F.lit(False).alias("same"))
+    by_concept = _sharing(concepts, seeds, least).select("seed", "paper_id", F.lit(False).alias("same"))
     pairs = by_author.unionAll(by_concept.join(by_author, ["seed", "paper_id"], "left_anti"))
     dated = pairs.join(papers.select("paper_id", "year"), "paper_id").join(papers.select(F.col("paper_id").alias("seed"), F.col("year").alias("seed_year")), "seed")
     older = (F.col("year") < F.col("seed_year")) | (~F.col("same") & (F.col("year") == F.col("seed_year")))

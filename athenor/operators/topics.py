@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.exprs import gap_score, tokens
+from athenor.functions.storage import bounded
 from athenor.params import DEFAULT, GENERIC_CONCEPTS, STOP_WORDS, Params
 
 
+#: Concept names that may all be paired with each other: some ten million pairs.
+MOST_NAMES = 5_000
+
+
 def without_generic(concepts: DataFrame, name: str = "name", extra: tuple[str, ...] = ()) -> DataFrame:
     """Leaves out general and very short concept names."""
     low = F.lower(F.col(name))
@@ -68,7 +73,7 @@ def concept_similarity(concepts: DataFrame) -> DataFrame:
     """(a, b, similarity): Jaccard of the sets of concepts that occur with each, without the two themselves."""
     pairs = topic_pairs(concepts).select("a", "b")
     near = pairs.union(pairs.select("b", "a")).toDF("x", "y")
-    grid = near.select("x").distinct()
+    grid = bounded(near.select("x").distinct(), MOST_NAMES, "concepts")
     grid = grid.select(F.col("x").alias("a")).join(grid.select(F.col("x").alias("b")), F.col("a") < F.col("b"))
     both = near.withColumnRenamed("x", "a").join(near.withColumnRenamed("x", "b"), "y").where("a < b and y <> a and y <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
     size = near.groupBy("x").agg(F.count("*").alias("k"))
@@ -84,7 +89,7 @@ def concept_gaps(concepts: DataFrame, top: int = 50, p: Params = DEFAULT) -> Dat
 
     The grid of pairs is over the concepts of ``p.pair_papers`` papers or more, of which a vocabulary has few.
     """
-    sizes = _sizes(concepts).where(F.col("n") >= p.pair_papers)
+    sizes = bounded(_sizes(concepts).where(F.col("n") >= p.pair_papers), MOST_NAMES, "frequent concepts")
     grid = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b"))
     joined = grid.join(topic_pairs(concepts), ["a", "b"], "left").fillna(0, ["papers"]).join(concept_similarity(concepts), ["a", "b"], "left").fillna(0.0, ["similarity"])
     ratio = F.col("papers") / F.least("na", "nb")
@@ -94,7 +99,7 @@ def concept_gaps(concepts: DataFrame, top: int = 50, p: Params = DEFAULT) -> Dat
 
 def class_gaps(concepts: DataFrame, first: Column, second: Column, most_joint: int, least: int) -> DataFrame:
     """Pairs of a concept of one class (methods) and one of another (domains), both frequent, that hardly meet."""
-    sizes = _sizes(concepts).where(F.col("n") >= least)
+    sizes = bounded(_sizes(concepts).where(F.col("n") >= least), MOST_NAMES, "frequent concepts")
     grid = sizes.where(first).toDF("method", "nm").crossJoin(sizes.where(second).toDF("domain", "nd"))  # frequent concept names only
     pairs = topic_pairs(concepts)
     both = pairs.union(pairs.select("b", "a", "papers")).toDF("method", "domain", "joint")
@@ -105,16 +110,20 @@ def class_gaps(concepts: DataFrame, first: Column, second: Column, most_joint: i
 def author_gaps(author_concepts: DataFrame, coauthors: DataFrame, shared: int = 2, overlap: float = 0.3, top: int = 50) -> DataFrame:
     """Authors a < b that never wrote together but share concepts: author_concepts(author, concept), coauthors(a, b).
 
-    Pairs come from a join on rarer concepts: a concept of more than half of all authors joins nobody.
+    Authors with enough in common share one of the rarest concepts of both (all but as many as they may miss), so pairs come from
+    a join over those; then the whole sets are compared.
     """
     own = author_concepts.distinct()
-    sizes = own.groupBy("author").agg(F.count("*").alias("k"))
-    everyone = sizes.agg(F.count("*").alias("_n"))
-    common = own.groupBy("concept").agg(F.count("*").alias("m")).crossJoin(F.broadcast(everyone)).where(F.col("m") * 2 <= F.col("_n")).select("concept")
-    rare = own.join(common, "concept")
-    pairs = rare.toDF("concept", "a").join(rare.toDF("concept", "b"), "concept").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    frequency = own.groupBy("concept").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("author").orderBy("m", "concept")
+    ranked = own.join(frequency, "concept").withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("author")))
+    need = F.greatest(F.lit(shared), F.floor(F.col("k") * overlap - 1e-9) + 1)
+    rare = ranked.where(F.col("r") <= F.col("k") - need + 1).select("concept", "author")
+    pairs = rare.toDF("concept", "a").join(rare.toDF("concept", "b"), "concept").where("a < b").select("a", "b").distinct()
     free = pairs.join(coauthors.select("a", "b"), ["a", "b"], "left_anti")
-    out = free.join(sizes.toDF("a", "ka"), "a").join(sizes.toDF("b", "kb"), "b").withColumn("overlap", F.col("shared") / F.greatest("ka", "kb"))
+    common = free.join(own.toDF("a", "concept"), "a").join(own.toDF("b", "concept"), ["b", "concept"]).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    sizes = own.groupBy("author").agg(F.count("*").alias("k"))
+    out = common.join(sizes.toDF("a", "ka"), "a").join(sizes.toDF("b", "kb"), "b").withColumn("overlap", F.col("shared") / F.greatest("ka", "kb"))
     return out.where(F.col("overlap") > overlap).orderBy(F.desc("overlap"), F.desc("shared"), "a", "b").limit(top).select("a", "b", "shared", "overlap")
 
 

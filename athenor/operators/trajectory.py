@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from athenor.functions.storage import materialize
 from athenor.params import DEFAULT, Params
 
 
@@ -211,11 +212,20 @@ def cluster_bridging(papers: DataFrame, concepts: DataFrame, author: str = "auth
 
 
 def at_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at place floor(share * n) from 0 of the ascending list, one row; not an interpolated percentile."""
-    n = values.agg(F.count("*").alias("n"))
-    counted = values.groupBy(column).agg(F.count("*").alias("k"))  # one row for each value, so the running sum stays small
-    running = counted.select(column, F.sum("k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    return running.crossJoin(n).where(F.col("upto") > F.floor(F.col("n") * share)).agg(F.min(column).alias(column))
+    """The value at place floor(share * n) from 0 of the ascending list, one row; not an interpolated percentile.
+
+    Distinct values are dealt out by ranges; the sums of the ranges tell which one has the place, and only that one is counted through.
+    """
+    counted = values.groupBy(column).agg(F.count("*").alias("k"))
+    ranged = materialize(counted.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("part").agg(F.sum("k").alias("n"))  # one row for each partition
+    order = Window.orderBy("part")
+    ends = sums.select("part", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    place = F.floor(F.col("n") * share)
+    found = ends.where(F.col("upto") > place).groupBy().agg(F.min_by(F.struct("part", (F.col("upto")).alias("upto"), place.alias("place")), "part").alias("f")).select("f.*")
+    inside = ranged.join(F.broadcast(found), "part")  # one row
+    below = F.col("upto") - F.sum("k").over(Window.partitionBy("part")) + F.sum("k").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_below", below).where(F.col("_below") > F.col("place")).agg(F.min(column).alias(column))
 
 
 def roles(authors: DataFrame, citation_p90: Column, centrality_p90: Column) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from athenor.functions.storage import table
+from athenor.functions import exprs
+from athenor.functions.storage import materialize, table
 from athenor.iterative import betweenness as between
 from athenor.iterative import components, traversal
-from athenor.operators import graph
+from athenor.operators import graph, topics
 from athenor.plans.adapter import authorship, concepts, papers, references, sql, works
 from athenor.plans.registry import query
+from athenor.plans.score_queries import TOPICAL
+from athenor.plans.score_queries import _topical as topical
 
 SEEDS = "v_seed as (select paper_id from v_paper where is_seed), v_seedref as (select distinct dst from v_ref where src in (select paper_id from v_seed))"
 
@@ -131,17 +134,23 @@ def position_hint(spark, d):
     return graph.position_hints(references(spark, d))
 
 
-REFS = """v_typed as (select src, dst, ref_pos, year - 1990 - size % 12 as gap, citation_count, citation_count % 37 = 0 as same_author, size > 45 as is_method, least(size % 5, 3) as shared,
+#: A work's year and author are those of the paper that cites it first; fine concepts (brand and type) are shared if they are of the work's kind.
+REFS = """v_origin as (select dst as work_id, min(year) as work_year, arg_min(author_id, (year, paper_id)) as work_author from v_ref join v_paper on src = paper_id group by dst),
+v_kinds as (select l_orderkey as paper_id, p_type as kind, count(distinct p_brand) as shared from lineitem join part on l_partkey = p_partkey group by all),
+v_typed as (select src, dst, ref_pos, year - work_year as gap, citation_count, author_id = work_author as same_author, size > 45 as is_method, coalesce(shared, 0) as shared,
     case when (ref_pos - 1) * 1.0 / n_refs < 0.2 then 'early' when (ref_pos - 1) * 1.0 / n_refs > 0.7 then 'late' else 'middle' end as position
-    from v_ref join v_paper on src = paper_id join v_work on dst = work_id)"""
+    from v_ref join v_paper p on src = p.paper_id join v_work w on dst = w.work_id join v_origin o on o.work_id = dst left join v_kinds k on k.paper_id = src and k.kind = w.kind)"""
 
 
 def _typed(spark, d):
-    edges = graph.position_hints(references(spark, d))
-    joined = edges.join(papers(spark, d), F.col("src") == F.col("paper_id")).join(works(spark, d), F.col("dst") == F.col("work_id"))
+    refs, p, w = references(spark, d), papers(spark, d), works(spark, d)
+    cited = refs.join(p, F.col("src") == F.col("paper_id"))
+    origin = cited.groupBy(F.col("dst").alias("work_id")).agg(F.min("year").alias("work_year"), F.min_by("author_id", F.struct("year", "paper_id")).alias("work_author"))
+    kinds = refs.join(w, F.col("dst") == F.col("work_id")).groupBy(F.col("src").alias("paper_id"), "kind").agg(F.countDistinct("brand").alias("shared"))
+    joined = graph.position_hints(refs).join(p, F.col("src") == F.col("paper_id")).join(w.join(origin, "work_id"), F.col("dst") == F.col("work_id")).join(kinds, ["paper_id", "kind"], "left")
     return joined.select(
-        "src", "dst", "ref_pos", "position", "citation_count", (F.col("year") - 1990 - F.col("size") % 12).alias("gap"), (F.col("citation_count") % 37 == 0).alias("same_author"),
-        (F.col("size") > 45).alias("is_method"), F.least(F.col("size") % 5, F.lit(3)).alias("shared"),
+        "src", "dst", "ref_pos", "position", "citation_count", (F.col("year") - F.col("work_year")).alias("gap"), (F.col("author_id") == F.col("work_author")).alias("same_author"),
+        (F.col("size") > 45).alias("is_method"), F.coalesce("shared", F.lit(0)).alias("shared"),
     )
 
 
@@ -170,12 +179,16 @@ def ref_types(spark, d):
     sql(
         """select paper_id, hub, case hub when 'mega' then 0 when 'suppressed' then 10 when 'hub' then 25 else 50 end as refs, case hub when 'mega' then 0 when 'suppressed' then 5 when 'hub' then 15 else 30 end as cites,
             case hub when 'mega' then 0 when 'suppressed' then 0 when 'hub' then 10 else 20 end as authors, case hub when 'mega' then 0.1::double when 'suppressed' then 0.3 when 'hub' then 0.7 else 1.0 end as penalty
-        from (select paper_id, case when citation_count >= 50000 then 'mega' when citation_count >= 5000 and paper_id % 10 < 3 then 'suppressed' when citation_count >= 5000 then 'hub' else 'none' end as hub from v_paper) t"""
+        from (select paper_id, case when citation_count >= 50000 or paper_id in (select paper_id from v_known) then 'mega' when citation_count >= 5000 and round(coalesce(topical, 0), 9) < 0.3 then 'suppressed'
+            when citation_count >= 5000 then 'hub' else 'none' end as hub from v_paper left join v_topical using (paper_id)) t""",
+        TOPICAL + ", v_known as (select paper_id from v_paper order by citation_count desc, paper_id limit 5)",
     ),
 )
 def hub_classify(spark, d):
-    nodes = papers(spark, d).withColumn("relevance", (F.col("paper_id") % 10) / 10)
-    h = graph.hubs(nodes)
+    p = papers(spark, d)
+    known = p.orderBy(F.desc("citation_count"), "paper_id").limit(5).select("paper_id", F.lit(True).alias("known"))  # a list of known hubs
+    nodes = p.join(topical(spark, d), "paper_id", "left").withColumn("relevance", F.round(F.coalesce("topical", F.lit(0.0)), 9))
+    h = graph.hubs(nodes.join(F.broadcast(known), "paper_id", "left"), F.coalesce("known", F.lit(False)))
     return h.select("paper_id", "hub", "limits.refs", "limits.cites", "limits.authors", "penalty")
 
 
@@ -198,37 +211,44 @@ def sync_edges(spark, d):
     return got.select((F.col("src") / 2).cast("bigint").alias("src"), ((F.col("dst") - 1) / 2).cast("bigint").alias("dst"), "seq")
 
 
-def _both_ways(spark, d):
-    """Works cited by orders of one customer's first items: a sparser graph for traversals."""
-    return _edges(spark, d).where("ref_pos <= 2 and src % 6 = 0")
+HOPS = CLUSTERS + """, v_both as (select src as node, dst as near from v_edge union select dst, src from v_edge),
+v_seednode as (select paper_id * 2 as node from v_paper where is_seed union all select work_id * 2 + 1 from v_work where work_id % 200 = 0)"""
+WALK = f"""with recursive {sql('', HOPS)[5:]}, v_walk(node, distance) as (select node, 0 from v_seednode union select near, distance + 1 from v_walk join v_both using (node) where distance < 4),
+    v_hop as (select node, min(distance) as distance from v_walk group by node)"""
 
 
-HOPS = """v_sparse as (select src * 2 as src, dst * 2 + 1 as dst from v_ref where ref_pos <= 2 and (src * 2) % 6 = 0), v_both as (select src as node, dst as near from v_sparse union select dst, src from v_sparse)"""
+def _seed_nodes(spark, d):
+    """Seed papers, and some cited works."""
+    own = papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("node"))
+    return own.unionAll(works(spark, d).where("work_id % 200 = 0").select((F.col("work_id") * 2 + 1).alias("node")))
 
 
-@query(
-    "bfs_depth",
-    f"""with recursive {sql('', HOPS)[5:]}, v_hop(node, distance) as (select distinct paper_id * 2, 0 from v_paper where is_seed union
-            select near, distance + 1 from v_hop join v_both using (node) where distance < 4)
-        select node, min(distance) as distance from v_hop group by node""",
-)
+@query("bfs_depth", f"{WALK} select node, distance from v_hop")
 def bfs_depth(spark, d):
-    seeds = papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("node"))
-    return traversal.hop_distances(_both_ways(spark, d), seeds, 4)
+    return traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d), 4)
+
+
+LINKS = """v_pairlink as (select paper_id * 2 as x, coauthor_id * 2 + 1 as y from v_authorship), v_sym as (select x as u, y as v from v_pairlink union select y, x from v_pairlink),
+v_comp(node, component) using key (node) as (select u, u from v_sym group by u union
+    select v, min(r.component) from v_comp r join v_sym on r.node = u join recurring.v_comp c on c.node = v where r.component < c.component group by v)"""
+
 
+def _paper_components(spark, d):
+    return components.components(authorship(spark, d).select((F.col("paper_id") * 2).alias("a"), (F.col("coauthor_id") * 2 + 1).alias("b")))
 
-COMPONENTS = """v_pairlink as (select a.paper_id * 2 as x, b.coauthor_id * 2 + 1 as y from v_paper a join v_authorship b using (paper_id) where a.paper_id % 40 = b.coauthor_id % 40)"""
+
+@query("components", f"with recursive {sql('', LINKS)[5:]} select node, component from v_comp")
+def connected_components(spark, d):
+    return _paper_components(spark, d)
 
 
 @query(
-    "components",
-    f"""with recursive {sql('', COMPONENTS)[5:]}, v_sym as (select x as u, y as v from v_pairlink union select y, x from v_pairlink),
-        v_reach(node, label) as (select u, u from v_sym union select v, label from v_reach join v_sym on node = u where label < v)
-        select node, min(label) as component from v_reach group by node""",
+    "reachable_seeds",
+    f"""with recursive {sql('', LINKS)[5:]} select node, cast(least(coalesce(n, 0), 6) as integer) as paths from v_comp left join (
+        select component, count(*) as n from v_comp where node in (select paper_id * 2 from v_paper where is_seed) group by component) s using (component)""",
 )
-def connected_components(spark, d):
-    pairs = papers(spark, d).join(authorship(spark, d), "paper_id").where("paper_id % 40 = coauthor_id % 40")
-    return components.components(pairs.select((F.col("paper_id") * 2).alias("a"), (F.col("coauthor_id") * 2 + 1).alias("b")))
+def reachable_seeds(spark, d):
+    return traversal.reachable_seeds(_paper_components(spark, d), papers(spark, d).where("is_seed").select((F.col("paper_id") * 2).alias("node")))
 
 
 @query("bucket_generations")
@@ -256,9 +276,13 @@ def communities(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    refs = references(spark, d).join(papers(spark, d), F.col("src") == F.col("paper_id"))
-    edges = refs.groupBy("venue", (F.col("author_id") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")).agg(F.count("*").alias("weight"))
-    return between.betweenness(edges, "venue", 200)
+    """On the graph of fine concepts (brand and type) that meet in more papers than the average pair."""
+    lines = references(spark, d).join(works(spark, d), F.col("dst") == F.col("work_id"))
+    named = lines.select(F.col("src").alias("paper_id"), F.concat_ws(" ", "brand", "kind").alias("name"))
+    pairs = materialize(topics.topic_pairs(named), "pairs")
+    mean = pairs.agg(F.avg("papers").alias("mean"))
+    strong = pairs.crossJoin(F.broadcast(mean)).where("papers > mean")  # one row
+    return between.betweenness(strong.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query(
@@ -274,23 +298,54 @@ def rolling_drift(spark, d):
     return traversal.rolling_share(events, ["user_id"], ["ts", "event_id"], "on_topic").select("event_id", "user_id", F.round("share", 6).alias("share"), "stop")
 
 
+PARTS = """v_seed2 as (select node from v_seednode), v_out as (select distinct src as node, dst as near from v_edge), v_in as (select distinct dst as node, src as near from v_edge),
+v_outall as (select distinct near from v_out where node in (select node from v_seed2)), v_inall as (select distinct near from v_in where node in (select node from v_seed2)),
+v_couple as (select node, count(*) filter (near in (select near from v_outall)) * 1.0 / (count(*) + (select count(*) from v_outall) - count(*) filter (near in (select near from v_outall))) as coupling from v_out group by node),
+v_cocite as (select node, count(*) filter (near in (select near from v_inall)) * 1.0 / (count(*) + (select count(*) from v_inall) - count(*) filter (near in (select near from v_inall))) as cocitation from v_in group by node),
+v_node as (select paper_id * 2 as node, citation_count >= 50000 as is_review, citation_count as cites, year, venue as title from v_paper
+    union all select work_id * 2 + 1, size > 45, coalesce(n, 0), 1995, title from v_work left join (select dst, count(*) as n from v_ref group by dst) c on dst = work_id),
+v_support as (select node, sum(w) as w from (select e.dst as node, 1.0 as w from v_edge e join v_node n on n.node = e.src where is_review union all
+    select e.src, 0.5 from v_edge e join v_node n on n.node = e.dst where is_review) t group by node),
+v_paths as (select node, count(*) as paths from (select distinct b.node, s.node as seed from v_both b join v_seed2 s on s.node = b.near) t group by node),
+v_parts as (select n.node, year, cites, distance, least(coalesce(paths, 0), 6) as paths, coupling, cocitation, case when is_review then 1.0 else least(coalesce(w, 0) / 3, 1.0) end as portal,
+    (contains(lower(title), 'high') or contains(lower(title), 'steel'))::int * 0.5 + (contains(lower(title), 'urgent') or contains(lower(title), 'brass'))::int * 0.5 as keyword
+    from v_node n left join v_hop h on h.node = n.node left join v_paths p on p.node = n.node left join v_couple c on c.node = n.node left join v_cocite o on o.node = n.node left join v_support s on s.node = n.node)"""
+
+
+def relevance_parts(spark, d):
+    """Every paper and work with what graph relevance weighs, all of it from the graph: node, year, cites, distance, paths, coupling, cocitation, portal, keyword."""
+    edges, seeds = materialize(_edges(spark, d), "edges"), materialize(_seed_nodes(spark, d), "seeds")
+    p, w = papers(spark, d), works(spark, d)
+    counts = references(spark, d).groupBy(F.col("dst").alias("work_id")).agg(F.count("*").alias("n"))
+    own = p.select((F.col("paper_id") * 2).alias("node"), (F.col("citation_count") >= 50_000).alias("is_review"), F.col("citation_count").alias("cites"), "year", F.col("venue").alias("title"))
+    cited = w.join(counts, "work_id", "left").select((F.col("work_id") * 2 + 1).alias("node"), (F.col("size") > 45).alias("is_review"), F.coalesce("n", F.lit(0)).alias("cites"), F.lit(1995).alias("year"), "title")
+    nodes = own.unionAll(cited)
+    words = [F.greatest(*(exprs.keyword_match(F.col("title"), [x]) for x in pair)) for pair in (("high", "steel"), ("urgent", "brass"))]
+    out = nodes.withColumn("keyword", sum(words, F.lit(0.0)) / 2)
+    near = graph.near_seeds(edges, seeds)
+    for part in (traversal.hop_distances(edges, seeds, 4), near, graph.coupling(edges, seeds), graph.cocitation(edges, seeds), graph.portal_support(edges, nodes)):
+        out = out.join(part, "node", "left")
+    return out.withColumn("paths", F.coalesce("paths", F.lit(0)))
+
+
 @query(
     "graph_relevance",
-    sql(
-        """select paper_id, round(least((0.45 * exp(-0.9 * case when is_seed then 0 else 3 end) + 0.20 * least(1.0, ln(1 + least(paper_id % 8, 6)) / ln(6)) + 0.15 * coalesce(coupling, 0) + 0.10 * (paper_id % 3) / 3.0)
-            * case when citation_count >= 50000 then 0.1 when citation_count >= 5000 then 0.7 else 1.0 end, 1.0), 6) as relevance from v_paper left join (
-            select src, count(*) filter (dst in (select dst from v_seedref)) * 1.0 / (count(*) + (select count(*) from v_seedref) - count(*) filter (dst in (select dst from v_seedref))) as coupling
-            from (select distinct src, dst from v_ref) t group by src) c on src = paper_id""",
-        SEEDS,
-    ),
+    WALK + ", " + PARTS + """ select node, round(least((0.45 * exp(-0.9 * coalesce(distance, 3)) + 0.20 * least(1.0, ln(1 + paths) / ln(6)) + 0.15 * greatest(coalesce(coupling, 0), coalesce(cocitation, 0))
+        + 0.10 * portal + 0.10 * keyword) * case when cites >= 50000 then 0.1 when cites >= 5000 and keyword < 0.3 then 0.3 when cites >= 5000 then 0.7 else 1.0 end, 1.0), 6) as relevance from v_parts""",
 )
 def graph_relevance(spark, d):
-    p = papers(spark, d)
-    pair = graph.coupling(references(spark, d), _seeds(spark, d)).withColumnRenamed("node", "paper_id")
-    nodes = p.join(pair, "paper_id", "left").withColumns(
-        {
-            "distance": F.when(F.col("is_seed"), 0), "paths": F.col("paper_id") % 8, "cocitation": F.lit(0.0), "portal": (F.col("paper_id") % 3) / 3, "keyword": F.lit(0.0),
-            "hub": F.when(F.col("citation_count") >= 50_000, "mega").when(F.col("citation_count") >= 5_000, "hub").otherwise("none"),
-        }
-    )
-    return graph.relevance(nodes).select("paper_id", F.round("relevance", 6).alias("relevance"))
+    parts = relevance_parts(spark, d).withColumn("hub", exprs.hub_type("cites", "keyword"))
+    return graph.relevance(parts).select("node", F.round("relevance", 6).alias("relevance"))
+
+
+@query(
+    "materialization",
+    WALK + ", " + PARTS + """, v_nearc as (select node, cluster, count(*) as n from (select b.node, cluster from v_both b join v_member m on m.node = b.near) t group by all),
+        v_div as (select node, 1 - max(n) * 1.0 / sum(n) as diversity from v_nearc group by node having count(*) >= 2)
+        select p.node, round(least(0.35 * exp(-0.9 * coalesce(distance, 3)) + 0.20 * least(1.0, ln(1 + paths) / ln(6)) + 0.15 * greatest(coalesce(coupling, 0), coalesce(cocitation, 0)) + 0.10 * portal
+            + 0.10 * coalesce(diversity, 0) + 0.10 * (0.5 * greatest(0.0, 1 - (2002 - year) / 10.0) + 0.5 * least(log10(cites + 1) / 4, 1.0)), 1.0), 6) as materialization_score from v_parts p left join v_div v on v.node = p.node""",
+)
+def materialization(spark, d):
+    bridges = graph.bridge_diversity(_edges(spark, d), _membership(spark, d)).select("node", F.col("diversity").alias("bridge"))
+    parts = relevance_parts(spark, d).join(bridges, "node", "left").withColumnRenamed("cites", "citation_count")
+    return graph.materialization(parts).select("node", F.round("materialization_score", 6).alias("materialization_score"))

@@ -45,11 +45,11 @@ def primary_clusters(spark, d):
     sql(
         """select dst, paper_id, year, citation_count, rank from (select dst, paper_id, year, citation_count,
             cast(row_number() over (partition by dst order by citation_count desc, paper_id) as integer) as rank
-            from (select distinct src, dst from v_ref where dst % 50 = 0) r join v_paper on src = paper_id) t where rank <= 20"""
+            from (select distinct src, dst from v_ref where dst % 100 = 0) r join v_paper on src = paper_id) t where rank <= 20"""
     ),
 )
 def connections(spark, d):
-    return pool.connections(references(spark, d), papers(spark, d), F.col("dst") % 50 == 0)
+    return pool.connections(references(spark, d), papers(spark, d), F.col("dst") % 100 == 0)
 
 
 @query("top_candidates", sql("select paper_id, year, citation_count from v_paper order by citation_count desc, paper_id limit 100"))

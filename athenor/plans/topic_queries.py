@@ -102,23 +102,22 @@ def method_gaps(spark, d):
     "author_gaps",
     sql(
         """select a, b, shared, round(overlap, 6) as overlap from (select p.a, p.b, shared, shared * 1.0 / greatest(x.k, y.k) as overlap from (
-            select m.author as a, n.author as b, count(*) as shared from v_rare m join v_rare n on m.concept = n.concept and m.author < n.author group by all having count(*) >= 2) p
+            select m.author as a, n.author as b, count(*) as shared from v_own m join v_own n on m.concept = n.concept and m.author < n.author group by all having count(*) >= 2) p
             join v_ksize x on x.author = p.a join v_ksize y on y.author = p.b
-            where not exists (select 1 from v_authorship s join v_authorship t on s.paper_id = t.paper_id where s.coauthor_id = p.a and t.coauthor_id = p.b)) t
+            where (p.a, p.b) not in (select s.coauthor_id, t.coauthor_id from v_authorship s join v_authorship t on s.paper_id = t.paper_id where s.coauthor_id < t.coauthor_id group by all having count(*) >= 20)) t
         where overlap > 0.3 order by t.overlap desc, shared desc, a, b limit 50""",
         FINE
-        + """, v_own as (select distinct coauthor_id as author, name as concept from v_authorship join v_fine using (paper_id) where pos = 1 and score >= 40),
-        v_ksize as (select author, count(*) as k from v_own group by author),
-        v_rare as (select author, concept from v_own where concept in (select concept from v_own group by concept having count(*) * 2 <= (select count(*) from v_ksize)))""",
+        + """, v_own as (select distinct coauthor_id as author, name as concept from v_authorship join v_fine using (paper_id) where pos <= 5),
+        v_ksize as (select author, count(*) as k from v_own group by author)""",
     ),
 )
 def author_gaps(spark, d):
     from pyspark.sql import Window
 
     first = Window.partitionBy("paper_id").orderBy(F.desc("score"), "name")
-    best = _fine(spark, d).withColumn("pos", F.row_number().over(first)).where("pos = 1 and score >= 40")
+    best = _fine(spark, d).withColumn("pos", F.row_number().over(first)).where("pos <= 5")
     own = authorship(spark, d).join(best, "paper_id").select(F.col("coauthor_id").alias("author"), F.col("name").alias("concept"))
-    return topics.author_gaps(own, authors.coauthor_pairs(authorship(spark, d))).withColumn("overlap", F.round("overlap", 6))
+    return topics.author_gaps(own, authors.coauthor_pairs(authorship(spark, d), 20)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(

@@ -46,7 +46,7 @@ def test_bridge_between_two_triangles(spark):
 
 def test_betweenness_of_a_path(spark):
     edges = spark.createDataFrame([("g", *e, 1.0) for e in PATH], "g string, src int, dst int, weight double")
-    assert {r.node: r.betweenness for r in betweenness.betweenness(edges, "g").collect()} == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
+    assert {r.node: r.betweenness for r in betweenness.betweenness(edges).collect()} == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
 
 
 def test_intro_counts(spark):
