@@ -6,19 +6,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from athenor.functions.exprs import collaboration_strength, names_similar
+from athenor.functions.exprs import collaboration_strength, names_similar, normalize_name
 from athenor.params import DEFAULT, Params
 
 
-def corpus_stats(papers: DataFrame, venues: int = 5) -> DataFrame:
-    """Papers, citations, years and venues of each author."""
-    return papers.groupBy("author_id").agg(
-        F.count("*").alias("papers"),
-        F.sum("citation_count").alias("citations"),
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-        F.slice(F.array_sort(F.collect_set("venue")), 1, venues).alias("venues"),
+def _first(counts: DataFrame, by: list[str], value: str, order: list, top: int, name: str) -> DataFrame:
+    """The first ``top`` values of each group as one array; a group gathers no more."""
+    rank = Window.partitionBy(*by).orderBy(*order)
+    kept = counts.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top)
+    return kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def corpus_stats(papers: DataFrame, concepts: DataFrame | None = None, authorship: DataFrame | None = None, venues: int = 5, top_concepts: int = 10, coauthors: int = 20) -> DataFrame:
+    """Papers, citations, years and commonest venues of each author; with the tables, strongest concepts (of the first five of each paper) and co-authors."""
+    out = papers.groupBy("author_id").agg(
+        F.count("*").alias("papers"), F.sum("citation_count").alias("citations"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
     )
+    places = papers.where("venue is not null").groupBy("author_id", "venue").agg(F.count("*").alias("n"))
+    out = out.join(_first(places, ["author_id"], "venue", [F.desc("n"), "venue"], venues, "venues"), "author_id", "left")
+    own = papers.select("paper_id", "author_id")
+    if concepts is not None:
+        weights = own.join(concepts.where("pos <= 5"), "paper_id").groupBy("author_id", "name").agg(F.sum("score").alias("n"))
+        out = out.join(_first(weights, ["author_id"], "name", [F.desc("n"), "name"], top_concepts, "concepts"), "author_id", "left")
+    if authorship is not None:
+        shared = own.join(authorship, "paper_id").groupBy("author_id", "coauthor_id").agg(F.count("*").alias("n"))
+        out = out.join(_first(shared, ["author_id"], "coauthor_id", [F.desc("n"), "coauthor_id"], coauthors, "coauthors"), "author_id", "left")
+    return out
+
+
+def collaborator_detail(papers: DataFrame, authorship: DataFrame, concepts: DataFrame, top: int = 20, p: Params = DEFAULT) -> DataFrame:
+    """``collaborators`` with the five strongest shared concepts, the three commonest venues, and flags: lasting (five years or more), active (in the last two)."""
+    best = collaborators(papers, authorship, top, p)
+    pair = ["author_id", "coauthor_id"]
+    shared = papers.select("paper_id", "author_id", "venue").join(authorship, "paper_id").join(best.select(*pair), pair, "left_semi")
+    names = shared.join(concepts.where("pos <= 5").select("paper_id", "name", "score"), "paper_id").groupBy(*pair, "name").agg(F.sum("score").alias("n"))
+    places = shared.where("venue is not null").groupBy(*pair, "venue").agg(F.count("*").alias("n"))
+    out = best.join(_first(names, pair, "name", [F.desc("n"), "name"], 5, "concepts"), pair, "left").join(_first(places, pair, "venue", [F.desc("n"), "venue"], 3, "venues"), pair, "left")
+    return out.withColumn("is_lasting", F.col("last_year") - F.col("first_year") >= 5).withColumn("is_active", F.col("last_year") >= p.as_of_year - 2)
 
 
 def collaborators(papers: DataFrame, authorship: DataFrame, top: int = 20, p: Params = DEFAULT) -> DataFrame:
@@ -73,7 +97,8 @@ def greedy_clusters(topics: DataFrame, least: int = 2, most: int = 5) -> DataFra
                 out.append((rows["author_id"].iloc[0], len(out), concept, len(free), free))
         return pd.DataFrame(out, columns=["author_id", "cluster", "concept", "size", "members"])
 
-    return topics.groupBy("author_id").applyInPandas(cover, "author_id bigint, cluster int, concept string, size int, members array<bigint>")
+    kinds = {c: topics.schema[c].dataType.simpleString() for c in ("author_id", "coauthor_id")}
+    return topics.groupBy("author_id").applyInPandas(cover, f"author_id {kinds['author_id']}, cluster int, concept string, size int, members array<{kinds['coauthor_id']}>")
 
 
 def expansion(papers: DataFrame, recent: int = 10, foundational: int = 5, years: int = 5, p: Params = DEFAULT) -> DataFrame:
@@ -101,11 +126,18 @@ def fit_and_centrality(papers: DataFrame, edges: DataFrame, top: int = 5) -> Dat
 
 
 def same_author(authors: DataFrame) -> DataFrame:
-    """(a, b) of author records that share an ORCID, OpenAlex or S2 id, or a normalised name where no id contradicts."""
+    """(a, b) of author records that share an ORCID, OpenAlex or S2 id, or a normalised name of two words or more where no id contradicts."""
+    keys = ("orcid", "openalex_id", "s2_id")
     pairs = None
-    for key in ("orcid", "openalex_id", "s2_id"):
+    for key in keys:
         own = authors.where(F.col(key).isNotNull() & (F.col(key) != "")).select("author_id", key)
         least = own.groupBy(key).agg(F.min("author_id").alias("b"))
         found = own.join(least, key).where("author_id <> b").select(F.col("author_id").alias("a"), "b")
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    plain = authors.withColumn("_name", normalize_name("name")).where(F.col("_name").contains(" "))
+    plain = plain.select("author_id", "_name", *(F.nullif(F.col(k), F.lit("")).alias(k) for k in keys))
+    first = plain.groupBy("_name").agg(F.min_by(F.struct("author_id", *keys), "author_id").alias("b"))
+    named = plain.join(first, "_name").where(F.col("author_id") != F.col("b.author_id"))
+    for k in keys:
+        named = named.where(F.coalesce(F.col(k) == F.col(f"b.{k}"), F.lit(True)))
+    return pairs.unionByName(named.select(F.col("author_id").alias("a"), F.col("b.author_id").alias("b"))).distinct()

@@ -30,8 +30,15 @@ def text_terms(texts: DataFrame, column: str) -> DataFrame:
     return kept.select("id", F.explode(F.array_distinct(both)).alias("term"))
 
 
+def topic_sources(concepts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(paper_id, name, score): concepts by their scores, title terms at 0.5 and abstract terms at 0.3. texts(id, title, abstract)."""
+    named = concepts.select("paper_id", F.lower("name").alias("name"), "score")
+    titles, abstracts = text_terms(texts, "title"), text_terms(texts, "abstract")
+    return named.unionAll(titles.select("id", "term", F.lit(0.5))).unionAll(abstracts.select("id", "term", F.lit(0.3)))
+
+
 def extract(concepts: DataFrame, papers: DataFrame, min_papers: int = 3, min_weight: float = 2.0, top: int = 50) -> DataFrame:
-    """Topics by weight: concept score times ln(1 + citations) + 1, over distinct papers, with how specific they are."""
+    """Topics by weight: score times ln(1 + citations) + 1, over distinct papers, with how specific they are. ``topic_sources`` joins three sources."""
     joined = concepts.join(papers.select("paper_id", "citation_count"), "paper_id")
     total = papers.agg(F.count("*").alias("_all"))
     weight = F.col("score") * (F.log1p("citation_count") + 1)

@@ -226,11 +226,15 @@ def author_bridges(spark, d):
     "corpus_stats",
     sql(
         """select author_id, count(*) as papers, cast(sum(citation_count) as bigint) as citations, min(year) as first_year, max(year) as last_year,
-            list_slice(list_sort(list(distinct venue)), 1, 5) as venues from v_paper group by author_id"""
+            any_value(venues) as venues, any_value(concepts) as concepts, any_value(coauthors) as coauthors from v_paper p
+            join (select author_id, list(venue order by n desc, venue)[1:5] as venues from (select author_id, venue, count(*) as n from v_paper group by all) t group by author_id) v using (author_id)
+            left join (select author_id, list(name order by n desc, name)[1:10] as concepts from (select author_id, name, sum(score) as n from v_paper join v_concept using (paper_id) where pos <= 5 group by all) t group by author_id) c using (author_id)
+            left join (select author_id, list(coauthor_id order by n desc, coauthor_id)[1:20] as coauthors from (select author_id, coauthor_id, count(*) as n from v_paper join v_authorship using (paper_id) group by all) t group by author_id) o using (author_id)
+            group by author_id"""
     ),
 )
 def corpus_stats(spark, d):
-    return authors.corpus_stats(papers(spark, d))
+    return authors.corpus_stats(papers(spark, d), concepts(spark, d), authorship(spark, d))
 
 
 COLLAB = """v_pairs as (select p.author_id, coauthor_id, p.paper_id, year from v_paper p join v_authorship a on a.paper_id = p.paper_id)"""

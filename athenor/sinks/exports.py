@@ -79,3 +79,10 @@ def bibtex_rows(papers: DataFrame) -> DataFrame:
 
 def era(year: Column) -> Column:
     return F.when(year >= 2020, "2020s").when(year >= 2010, "2010s").when(year >= 2000, "2000s").otherwise("earlier")
+
+
+def garden_rows(papers: DataFrame, authors: DataFrame, edges: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """(part, value): the whole store as JSON lines, each with its part (paper, author, edge, trajectory) and all its columns."""
+    parts = {"paper": papers, "author": authors, "edge": edges, "trajectory": trajectories}
+    rows = [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*(f"`{c}`" for c in df.columns))).alias("value")) for name, df in parts.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])

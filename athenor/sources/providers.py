@@ -21,6 +21,12 @@ ORCID = (
     "employments array<struct<organization:string,role:string,start_year:int,end_year:int>>, works array<struct<title:string,type:string,year:int,doi:string>>"
 )
 
+AUTHOR = (
+    "id string, orcid string, display_name string, display_name_alternatives array<string>, works_count bigint, cited_by_count bigint, summary_stats struct<h_index:int>, "
+    "last_known_institutions array<struct<display_name:string>>, x_concepts array<struct<display_name:string,score:double>>"
+)
+ORCID_MORE = "educations array<struct<organization:string,role:string,start_year:int,end_year:int>>, fundings array<struct<title:string,organization:string,year:int>>"
+
 #: Names of work types.
 WORK_TYPES = {"journal-article": "article", "conference-paper": "proceedings", "book-chapter": "chapter", "preprint": "preprint", "dissertation-thesis": "thesis"}
 
@@ -73,6 +79,26 @@ def parse_orcid(raw: DataFrame, column: str) -> DataFrame:
     )
 
 
+def parse_author(raw: DataFrame, column: str, concepts: int = 10) -> DataFrame:
+    """Author records of a service: ids without their resolvers, names, institutions, counts and strongest concepts."""
+    w = raw.select(F.from_json(column, AUTHOR).alias("w")).select("w.*").where("id is not null")
+    return w.select(
+        F.regexp_extract("id", r"([^/]+)$", 1).alias("openalex_id"), F.regexp_extract("orcid", r"([^/]+)$", 1).alias("orcid"), F.col("display_name").alias("name"),
+        F.coalesce("display_name_alternatives", F.array().cast("array<string>")).alias("aliases"), F.transform("last_known_institutions", lambda i: i["display_name"]).alias("affiliations"),
+        F.coalesce("works_count", F.lit(0)).alias("paper_count"), F.coalesce("cited_by_count", F.lit(0)).alias("citation_count"), F.col("summary_stats.h_index").alias("h_index"),
+        F.slice(F.transform("x_concepts", lambda c: F.struct(c["display_name"].alias("name"), c["score"].alias("score"))), 1, concepts).alias("concepts"),
+    )
+
+
+def parse_orcid_more(raw: DataFrame, column: str) -> DataFrame:
+    """Educations (latest first) and fundings (newest first) of an ORCID record."""
+    w = raw.select(F.from_json(column, f"`orcid-identifier` struct<path:string>, {ORCID_MORE}").alias("w")).select("w.*").where("`orcid-identifier` is not null")
+    late = lambda name: lambda a, b: F.coalesce(b[name], F.lit(0)) - F.coalesce(a[name], F.lit(0))
+    empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    kinds = dict(p.split(" ", 1) for p in ORCID_MORE.split(", "))
+    return w.select(F.col("`orcid-identifier`.path").alias("orcid"), F.array_sort(empty("educations", kinds["educations"]), late("end_year")).alias("educations"), F.array_sort(empty("fundings", kinds["fundings"]), late("year")).alias("fundings"))
+
+
 def enrich(records: DataFrame, found: DataFrame) -> DataFrame:
     """Left join by DOI: missing values are filled, own concepts stand first. records and found have doi, title, year, venue, abstract, concepts."""
     best = found.where("doi is not null").dropDuplicates(["doi"])

@@ -200,3 +200,45 @@ def parse_reference(entry: Column) -> Column:
     after = F.regexp_extract(entry, r"(?:19|20)\d{2}\)?[.,]?\s*([^.]{10,})\.", 1)
     title = F.when(quoted != "", quoted).when(after != "", F.trim(after)).otherwise(F.substring(entry, 1, 100))
     return F.struct(year.try_cast("int").alias("year"), F.get(dois_in(entry), 0).alias("doi"), title.alias("title"))
+
+
+def read_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("json", "csv", "md", "bib", "ris"), per_file: int | None = None) -> DataFrame:
+    """All files of the extensions below ``path`` as (doi, title, year, source), at most ``per_file`` records of each, one for each DOI.
+
+    Of records with one DOI that of the first file by name, then by title, stays; those without a DOI all stay. Only the files' names
+    are listed by the driver.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    names = [r.path for r in files.where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$")).orderBy("path").collect()]
+    found = spark.createDataFrame([], "doi string, title string, year int, source string")
+    for name in names:
+        records = read_collection(spark, name)
+        own = records.select(*(F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in (("doi", "string"), ("title", "string"), ("year", "int"))), F.lit(name).alias("source"))
+        found = found.unionByName(own if per_file is None else own.orderBy("doi", "title").limit(per_file))
+    return first_per_doi(found.withColumn("_order", F.concat_ws("|", "source", "title")), "_order").drop("_order")
+
+
+def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
+    """A .bib or .ris file by its extension; of any other extension the reading that finds more records."""
+    if path.lower().endswith(".bib"):
+        return read_bibtex(spark, path)
+    if path.lower().endswith(".ris"):
+        return read_ris(spark, path)
+    bib, ris = read_bibtex(spark, path), read_ris(spark, path)
+    return bib if bib.count() >= ris.count() else ris
+
+
+def references_of(texts: DataFrame, known: DataFrame, most: int = 100) -> DataFrame:
+    """(id, own_doi, kind, doi, title, year) of the references in whole texts(id, text).
+
+    The first DOI of a text is its own; the next ``most`` ones are references, completed from known(doi, title, year); then
+    come the entries of the reference section whose DOI is none of these, or who have none but a title.
+    """
+    all_dois = texts.select("id", "text", dois_in(F.col("text")).alias("dois"))
+    own = F.get("dois", 0)
+    cited = all_dois.select("id", own.alias("own_doi"), F.explode(F.slice("dois", 2, most)).alias("doi"))
+    resolved = cited.join(known.select("doi", "title", "year"), "doi", "left").select("id", "own_doi", F.lit("doi").alias("kind"), "doi", "title", "year")
+    entries = all_dois.select("id", own.alias("own_doi"), F.explode(reference_entries(references_section(F.col("text")))).alias("entry"))
+    parsed = entries.select("id", "own_doi", parse_reference(F.col("entry")).alias("p")).select("id", "own_doi", F.lit("entry").alias("kind"), "p.doi", "p.title", "p.year")
+    new = parsed.join(cited.select("id", "doi"), ["id", "doi"], "left_anti").where("doi is null or own_doi is null or doi <> own_doi")
+    return resolved.unionByName(new.select(resolved.columns))

@@ -40,6 +40,39 @@ def new_only(stream: DataFrame, key: str, time: str, late: str = "1 day") -> Dat
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def counted_duplicates(batch: DataFrame, key: str, name: str = "pool") -> DataFrame:
+    """``batch`` with the metrics rows and filled keys under ``name``, which a listener or an Observation reads; with distinct keys after it their difference is the duplicates."""
+    return batch.observe(name, F.count("*").alias("rows"), F.count(key).alias("keys"))
+
+
+def circuit_breaker(stream: DataFrame, by: str, sequence: str, succeeded: str, failures: int = 5, pause: int = 60) -> DataFrame:
+    """(by, state, failures, opened_at) after each batch of calls(by, sequence in seconds, succeeded).
+
+    ``failures`` in a row open the circuit; ``pause`` seconds later the next call is a trial: its success closes the circuit, its
+    failure opens it again. The state of a service is three numbers.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kind, run, opened = state.get if state.exists else ("closed", 0, 0)
+        calls = sorted(call for rows in batches for call in zip(rows[sequence].tolist(), rows[succeeded].tolist(), strict=True))
+        for at, fine in calls:
+            if kind == "open":
+                if at - opened < pause:
+                    continue  # such a call is not made
+                kind = "half_open"
+            if fine:
+                kind, run = "closed", 0
+            else:
+                run += 1
+                if kind == "half_open" or run >= failures:
+                    kind, opened = "open", int(at)
+        state.update((kind, run, opened))
+        yield pd.DataFrame({by: [key[0]], "state": [kind], "failures": [run], "opened_at": [opened]})
+
+    kind = stream.schema[by].dataType.simpleString()
+    return stream.groupBy(by).applyInPandasWithState(watch, f"{by} {kind}, state string, failures bigint, opened_at bigint", "state string, failures bigint, opened_at bigint", "update", GroupStateTimeout.NoTimeout)
+
+
 def drift_monitor(stream: DataFrame, by: str, sequence: str, relevance: str, window: int = DEFAULT.drift_window, least: float = DEFAULT.min_bucket_relevance, kill: float = DEFAULT.drift_kill) -> DataFrame:
     """(by, seen, share, stop) after each batch: share of the last ``window`` records at or over ``least``; the state is that window."""
 
