@@ -265,10 +265,15 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = _rows(docs).drop("doc_id").join(needed, "row", "left_semi")
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("blocks"))
-    hubs = texts.join(blocks.withColumnRenamed("b", "row"), "row").select(F.col("row").alias("b"), F.explode(F.sequence(F.lit(1), "blocks")).alias("block"), F.lit(None).cast("long").alias("a"), "text")
-    members = pairs.join(blocks, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int") + 1)
-    members = members.select("b", "block", "a").join(texts.withColumnRenamed("row", "a"), "a").select("b", "block", "a", "text")
+    large = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("blocks")).where("blocks > 1")
+    large = materialize(large, "large")
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
+    blocks = F.coalesce("blocks", F.lit(1))
+    hubs = pairs.select("b").distinct().join(large, "b", "left").join(texts.withColumnRenamed("row", "b"), "b")
+    hubs = hubs.select("b", F.explode(F.sequence(F.lit(1), blocks)).alias("block"), F.lit(None).cast("long").alias("a"), "text")
+    members = pairs.join(large, "b", "left").select("b", (F.pmod(F.xxhash64("a"), blocks).cast("int") + 1).alias("block"), "a")
+    members = members.join(texts.withColumnRenamed("row", "a"), "a").select("b", "block", "a", "text")
     dealt = hubs.union(members).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     return dealt.mapInArrow(_compare, "a long, b long, apart double, linked boolean")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from athenor.functions.storage import materialize
 from athenor.llm.common import parts, whole_text
 
-LONGEST, CLOSING, MEMO = 2048, 1, 300_000
+LONGEST, CLOSING, MEMO = 2048, 1, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
 
 #: White space that the libraries and Python see differently, and what the vocabulary may read as a special token: such texts are encoded whole.
@@ -63,8 +63,7 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {"\n": _BREAK}
+        self.known: dict[str, bytes] = {"\n": _BREAK}  # words and pre-tokens alike: a word that is one pre-token has its ids
         self.whole = Tokenizer.from_file(path)
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,37 +85,37 @@ class WordEncoder:
             known[token] = data[at:end]
             at = end
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Adds the words to the known ones; gives the pre-tokens that came along."""
+        known = self.known
         joined = "\n".join(new)  # no word has a line end
         if not joined.isascii():
             if self.late(joined):
                 late = [w for w in new if self.late(w)]
-                self.words.update((w, self.ids(w)) for w in late)
+                known.update((w, self.ids(w)) for w in late)
                 new = list(set(new).difference(late))
                 joined = "\n".join(new)
             joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")  # capital sigma becomes the same letter in every place
         if not new:
-            return
-        tokens, split = self.tokens, self.split(joined.lower())
-        unknown = list(set(split).difference(tokens))
+            return []
+        split = self.split(joined.lower())
+        unknown = list(set(split).difference(known))
         for at in range(0, len(unknown), 5_000):
-            self._learn_tokens(unknown[at : at + 5_000], tokens)
-        self.words.update(zip(new, b"".join(map(tokens.__getitem__, split)).split(_BREAK), strict=True))
-        if len(tokens) > MEMO:
-            for t in unknown:
-                del tokens[t]
+            self._learn_tokens(unknown[at : at + 5_000], known)
+        known.update(zip(new, b"".join(map(known.__getitem__, split)).split(_BREAK), strict=True))
+        return unknown
 
     def documents(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text."""
-        words = self.words
+        known = self.known
         plain = [None if any(map(t.__contains__, _ODD)) or ("<|" in t and _SPECIAL.search(t)) else t.split() for t in texts]
-        new = list(set(chain.from_iterable(filter(None, plain))).difference(words))
-        self._learn_words(new)
-        get = words.__getitem__
+        new = list(set(chain.from_iterable(filter(None, plain))).difference(known))
+        unknown = self._learn_words(new)
+        get = known.__getitem__
         out = [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
-        if len(words) > MEMO:
-            for w in new:
-                del words[w]
+        if len(known) > MEMO:
+            for w in chain(new, unknown):
+                known.pop(w, None)
         return out
 
 
@@ -150,7 +149,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, counts = encoder(path), TaskContext.get().partitionId(), [0] * (LONGEST.bit_length())
         closing, names = CLOSING.to_bytes(4, "little"), [c.split()[0] for c in PIECES.split(", ")]
-        for batch in (p for b in batches for p in parts(b)):
+        for batch in (p for b in batches for p in parts(b, "text", 1 << 20)):
             data = [d + closing for d in words.documents(batch.column(1).to_pylist())]
             sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
             doc, start, length = cut_lengths(sizes)
