@@ -1,7 +1,11 @@
 """Cleaning and packing a corpus: five stages, each a call of one corpus operator.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet and rereads it as
-the next stage's input. All stages but the last keep the columns of ``documents``.
+the next stage's input. All stages but the last keep the columns of ``documents``, and any others, whatever their names.
+
+Null texts count as empty; empty texts are scored by the models' biases, are copies of each other for the third stage and linked with nothing in
+the fourth. Of copies and of linked texts the smallest doc_id stays, of repeated rows the first; null ids stay only where a group has no other.
+Texts of any length are read whole. Empty tables give empty results. Without labels of both kinds the classifiers score by their biases alone.
 """
 
 from __future__ import annotations
