@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from athenor.functions.exprs import title_words, tokens
+from athenor.operators.insights import METHOD_WORDS, has_any
 
-#: Words that name a method.
-METHOD_WORDS = ("algorithm", "assay", "framework", "method", "pipeline", "protocol", "software", "technique", "tool")
 
 
 def fuzzy_titles(left: DataFrame, right: DataFrame, threshold: float, rarest: int = 4) -> DataFrame:
@@ -56,22 +58,18 @@ def closest_names(names: DataFrame, known: DataFrame, threshold: float = 0.8) ->
 
 
 def is_methodology(title: Column) -> Column:
-    """A method word in the title, or an acronym together with "for" or ":"."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    named = F.lit(False)
-    for w in METHOD_WORDS:
-        named = named | low.contains(w)
-    return named | (title.rlike(r"\b[A-Z]{2,}[a-z]*\b") & low.rlike(r"(:| for )"))
+    """A method word in the title. Methods venues and acronyms count only beside such a word, so they add nothing."""
+    return has_any(title, METHOD_WORDS)
 
 
 def input_type(text: Column) -> Column:
     """What a free input names: doi, openalex, arxiv, pmid, url or title."""
     t = F.trim(text)
     return (
-        F.when(t.rlike(r"^(https?://(dx\.)?doi\.org/|doi:)?10\.\d{4,9}/\S+$"), "doi")
+        F.when(t.rlike(r"(?i)^(https?://(dx\.)?doi\.org/|doi:)?10\.\d{4,9}/\S+$"), "doi")
         .when(t.rlike(r"^(https?://openalex\.org/)?[WA]\d+$"), "openalex")
-        .when(t.rlike(r"^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$"), "arxiv")
-        .when(t.rlike(r"^(pmid:)?\d{5,9}$"), "pmid")
+        .when(t.rlike(r"(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$"), "arxiv")
+        .when(t.rlike(r"(?i)^(pmid:)?\d{5,9}$"), "pmid")
         .when(t.rlike(r"^https?://"), "url")
         .otherwise("title")
     )
@@ -93,16 +91,64 @@ def refined(text: Column, must: list[str], should: list[str], forbidden: list[st
     return ok
 
 
-def resolve_fields(papers: DataFrame, fields: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, field, score): best field of each text by the shares of its terms contained, less exclusions.
+def resolve_fields(papers: DataFrame, fields: DataFrame, text: str, key: str, venue: str | None = None, authors: str | None = None) -> DataFrame:
+    """(key, field, score, strategy): the field that fits each text best.
 
-    fields(field, key_concepts, include_terms, exclude_terms) is a small dimension of at most some hundred rows.
+    Terms: 0.4 for the share of key concepts contained, 0.1 for that of include terms, 0.1 if the field's name or an alias is, less 0.15
+    for each exclude term. 0.3 if one of ``authors`` (an array) is like a known leader (ratio over 0.8), 0.2 if ``venue`` is like
+    a journal of the first tier (over 0.7), else 0.1 for the second. Of equal scores the last name wins; 0.1 or less is "ocean".
+    The strategy is tier1_first from 0.8, balanced from 0.5, else broad.
+
+    fields(field, key_concepts, include_terms, exclude_terms) is a small dimension of at most a thousand rows; the arrays aliases,
+    known_leaders, tier1_journals and tier2_journals are optional.
     """
     if fields.count() > 1_000:
         raise ValueError("fields must be a small dimension")
-    share = lambda c: F.size(F.filter(c, lambda t: F.col("_low").contains(F.lower(t)))) / F.greatest(F.size(c), F.lit(1))
-    excluded = F.size(F.filter("exclude_terms", lambda t: F.col("_low").contains(F.lower(t))))
+    for name in ("aliases", "known_leaders", "tier1_journals", "tier2_journals"):
+        if name not in fields.columns:
+            fields = fields.withColumn(name, F.array().cast("array<string>"))
+    held = lambda c: F.size(F.filter(c, lambda t: F.col("_low").contains(F.lower(t))))
+    share = lambda c: held(c) / F.greatest(F.size(c), F.lit(1))
     pairs = papers.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_low")).crossJoin(F.broadcast(fields))  # checked above
-    scored = pairs.select(key, "field", (0.4 * share(F.col("key_concepts")) + 0.1 * share(F.col("include_terms")) - 0.15 * excluded).alias("score"))
+    named = F.when(held(F.concat(F.array("field"), "aliases")) > 0, 0.1).otherwise(0.0)
+    scored = pairs.select(key, "field", (0.4 * share(F.col("key_concepts")) + 0.1 * share(F.col("include_terms")) + named - 0.15 * held(F.col("exclude_terms"))).alias("score"))
+
+    def alike(names: DataFrame, column: str, least: float, worth: float) -> DataFrame:
+        """(name, field, worth) for names like one in the fields' array ``column``; each distinct name is compared once."""
+        known = fields.select("field", F.explode(column).alias("_known"))
+        close = names.crossJoin(F.broadcast(known)).where(ratio("name", "_known") > least)  # a column of the small dimension
+        return close.select("name", "field").distinct().withColumn("worth", F.lit(worth))
+
+    extra = []
+    if authors:
+        each = papers.select(key, F.explode(authors).alias("name"))
+        extra.append(each.join(alike(each.select("name").distinct(), "known_leaders", 0.8, 0.3), "name").select(key, "field", "worth").distinct())
+    if venue:
+        each = papers.select(key, F.col(venue).alias("name")).where("name is not null")
+        places = each.select("name").distinct()
+        tiers = alike(places, "tier1_journals", 0.7, 0.2).unionByName(alike(places, "tier2_journals", 0.7, 0.1))
+        extra.append(each.join(tiers.groupBy("name", "field").agg(F.max("worth").alias("worth")), "name").select(key, "field", "worth"))
+    for more in extra:
+        total = more.groupBy(key, "field").agg(F.max("worth").alias("worth"))
+        scored = scored.join(total, [key, "field"], "left").select(key, "field", (F.col("score") + F.coalesce("worth", F.lit(0.0))).alias("score"))
     best = scored.groupBy(key).agg(F.max(F.struct("score", "field")).alias("b"))
-    return best.select(key, F.when(F.col("b.score") > 0.1, F.col("b.field")).otherwise("ocean").alias("field"), F.col("b.score").alias("score"))
+    s = F.col("b.score")
+    strategy = F.when(s >= 0.8, "tier1_first").when(s >= 0.5, "balanced").when(s > 0.1, "broad").otherwise("ocean")
+    return best.select(key, F.when(s > 0.1, F.col("b.field")).otherwise("ocean").alias("field"), s.alias("score"), strategy.alias("strategy"))
+
+
+def is_journal(venue: Column, journal: str, threshold: float = 0.8) -> Column:
+    """Whether a venue is this journal: the same name, its name as whole words, or a ratio of the threshold or more.
+
+    Names of up to eight letters, which other names contain, need a ratio of 0.9 as well.
+    """
+    low, name = F.lower(F.trim(venue)), journal.lower().strip()
+    near = ratio(low, F.lit(name))
+    worded = low.rlike(rf"\b{re.escape(name)}\b")
+    return F.coalesce((F.lit(name) != "") & (low != "") & ((low == name) | F.when(worded, near >= 0.9 if len(name) <= 8 else F.lit(True)).otherwise(near >= threshold)), F.lit(False))
+
+
+def venue_tiers(papers: DataFrame, first: list[str], second: list[str], threshold: float = 0.8) -> DataFrame:
+    """(venue, tier) of each distinct venue: 1 or 2 if it is a journal of that list, else 3. Each venue is compared once."""
+    hit = lambda names: reduce(or_, (is_journal(F.col("venue"), j, threshold) for j in names), F.lit(False))
+    return papers.where("venue is not null").select("venue").distinct().withColumn("tier", F.when(hit(first), 1).when(hit(second), 2).otherwise(3))

@@ -8,7 +8,7 @@ from athenor.functions import exprs
 from athenor.functions.storage import materialize, table
 from athenor.iterative import betweenness as between
 from athenor.iterative import components, traversal
-from athenor.operators import graph, topics
+from athenor.operators import graph, insights, relevance, topics
 from athenor.plans.adapter import authorship, concepts, papers, references, sql, works
 from athenor.plans.registry import query
 from athenor.plans.score_queries import TOPICAL
@@ -228,6 +228,41 @@ def bfs_depth(spark, d):
     return traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d), 4)
 
 
+def _with_depth(spark, d):
+    """Papers and their hops from the seeds, 5 where four do not reach."""
+    hops = traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d), 4).where("node % 2 = 0")
+    depth = hops.select((F.col("node") / 2).cast("bigint").alias("paper_id"), F.col("distance").alias("depth"))
+    return papers(spark, d).join(depth, "paper_id", "left").fillna(5, ["depth"])
+
+
+DEPTH = f"{WALK}, {TOPICAL}, v_depth as (select p.*, coalesce(distance, 5) as depth from v_paper p left join v_hop on node = paper_id * 2)"
+
+
+@query(
+    "reading_list",
+    f"""{DEPTH} select paper_id, is_seed, round(score, 6) as score from (select paper_id, is_seed, coalesce(topical, 0) / (1 + 0.3 * depth) + 0.1 * ln(1 + citation_count) as score from v_depth left join v_topical using (paper_id)) t
+        where is_seed or score > 0.1 order by is_seed desc, t.score desc, paper_id limit 50""",
+)
+def reading_list(spark, d):
+    found = relevance.reading_list(_with_depth(spark, d), topical(spark, d))
+    return found.select("paper_id", "is_seed", F.round("score", 6).alias("score"))
+
+
+@query(
+    "priority_g1",
+    f"""{DEPTH}, v_dated as (select distinct paper_id, name, year from v_concept join v_paper using (paper_id)),
+        v_new as (select paper_id, avg(case when year = first_year then 1.0 else 0.0 end) as novelty from v_dated join (select name, min(year) as first_year from v_dated group by name) f using (name) group by paper_id)
+        select paper_id, round((0.4 * coalesce(topical, 0) + 0.15 * coalesce(novelty, 0) + 0.25 * greatest(0, 1 - (2002 - year) / 10.0) + 0.2 * least(log10(citation_count + 1) / 4, 1)) / (1 + 0.3 * depth), 6) as priority
+        from v_depth left join v_topical using (paper_id) left join v_new using (paper_id)""",
+)
+def priority_g1(spark, d):
+    """Relevance, novelty and depth come from the topical score, the concepts' first years and the hops."""
+    p = _with_depth(spark, d)
+    both = p.join(topical(spark, d), "paper_id", "left").join(insights.novelty(concepts(spark, d), p), "paper_id", "left").fillna(0.0, ["topical", "novelty"])
+    recency = F.greatest(F.lit(0.0), 1 - (2002 - F.col("year")) / 10)
+    return both.select("paper_id", F.round(exprs.priority(F.col("topical"), F.col("novelty"), recency, F.col("citation_count"), F.col("depth")), 6).alias("priority"))
+
+
 LINKS = """v_pairlink as (select paper_id * 2 as x, coauthor_id * 2 + 1 as y from v_authorship), v_sym as (select x as u, y as v from v_pairlink union select y, x from v_pairlink),
 v_comp(node, component) using key (node) as (select u, u from v_sym group by u union
     select v, min(r.component) from v_comp r join v_sym on r.node = u join recurring.v_comp c on c.node = v where r.component < c.component group by v)"""

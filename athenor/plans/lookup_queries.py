@@ -301,7 +301,7 @@ FIELDS = [("metals", ["copper", "steel", "brass"], ["nickel", "tin"], ["plated"]
 @query(
     "resolve_fields",
     sql(
-        """select work_id, case when score > 0.1 then field else 'ocean' end as field, round(score, 6)::double as score from (select work_id, field, score, row_number() over (partition by work_id order by score desc, field desc) as r from (
+        """select work_id, case when score > 0.1 then field else 'ocean' end as field, round(score, 6)::double as score, case when score >= 0.5 then 'balanced' when score > 0.1 then 'broad' else 'ocean' end as strategy from (select work_id, field, score, row_number() over (partition by work_id order by score desc, field desc) as r from (
             select work_id, field, 0.4 * len(list_filter(k, lambda t: contains(lower(title), t))) / greatest(len(k), 1) + 0.1 * len(list_filter(i, lambda t: contains(lower(title), t))) / greatest(len(i), 1)
                 - 0.15 * len(list_filter(x, lambda t: contains(lower(title), t))) as score
             from (select work_id, title || ' ' || kind as title from v_work) w, (values ('metals', ['copper', 'steel', 'brass'], ['nickel', 'tin'], ['plated']), ('colours', ['red', 'blue', 'green'], ['azure'], cast([] as varchar[]))) f(field, k, i, x)) s) t where r = 1"""

@@ -19,33 +19,21 @@ def recency_impact(spark, d):
     return papers(spark, d).select("paper_id", F.round(exprs.recency_impact("year", "citation_count"), 6).alias("impact"))
 
 
-@query(
-    "priority_g1",
-    sql(
-        """select paper_id, round((0.4 * (paper_id % 10) / 10.0 + 0.15 * (paper_id % 3) / 3.0 + 0.25 * greatest(0, 1 - (2002 - year) / 10.0) + 0.2 * least(log10(citation_count + 1) / 4, 1)) / (1 + 0.3 * (paper_id % 4)), 6) as priority from v_paper"""
-    ),
-)
-def priority_g1(spark, d):
-    rel, nov = (F.col("paper_id") % 10) / 10, (F.col("paper_id") % 3) / 3
-    recency = F.greatest(F.lit(0.0), 1 - (2002 - F.col("year")) / 10)
-    return papers(spark, d).select("paper_id", F.round(exprs.priority(rel, nov, recency, F.col("citation_count"), F.col("paper_id") % 4), 6).alias("priority"))
-
-
 @query(
     "agent_relevance",
     sql(
         """select paper_id, round(0.35 * least(coalesce(w, 0) / half, 1) + 0.15 * least(coalesce(m, 0) / 2.0, 1) + 0.20 * least(ln(1 + citation_count) / ln(101), 1)
             + 0.15 * exp(-0.1 * (2002 - year)) + 0.15 * (0.5 + 0.1 * (case when is_seed then 3 else 2 end)), 6) as relevance from v_paper
             left join (select paper_id, sum(weight) as w from (select distinct paper_id, lower(name) as name from v_concept) c join v_context using (name) group by paper_id) a using (paper_id)
-            left join (select paper_id, count(*) as m from v_authorship where coauthor_id % 10 = 0 group by paper_id) b using (paper_id), (select sum(weight) / 2 as half from v_context) h""",
+            left join (select paper_id, count(*) as m from v_authorship where coauthor_id in (select coauthor_id from v_authorship join v_paper using (paper_id) where is_seed) group by paper_id) b using (paper_id), (select sum(weight) / 2 as half from v_context) h""",
         """v_context as (select name, sum(w) as weight from (select 'small' as name, 2.0 as w union all select 'large', 1.0 union all
-            select lower(name), score from v_concept where paper_id in (select paper_id from v_paper where is_seed and paper_id <= 5000)) t group by name)""",
+            select lower(name), score from v_concept where paper_id in (select paper_id from v_paper where is_seed)) t group by name)""",
     ),
 )
 def agent_relevance(spark, d):
     p, c, a = papers(spark, d), concepts(spark, d), authorship(spark, d)
-    context = relevance.context_weights(c, ["SMALL"], p.where("is_seed and paper_id <= 5000"), ["large"])
-    wanted = a.select("coauthor_id").distinct().where("coauthor_id % 10 = 0")
+    context = relevance.context_weights(c, ["SMALL"], p.where("is_seed"), ["large"])
+    wanted = a.join(p.where("is_seed"), "paper_id", "left_semi").select("coauthor_id").distinct()
     scored = relevance.agent_relevance(p, relevance.concept_match(c, context), relevance.author_match(a, wanted))
     return scored.select("paper_id", F.round("relevance", 6).alias("relevance"))
 
@@ -121,19 +109,6 @@ def tier_fill(spark, d):
     return relevance.tiered_fill(papers(spark, d), ["1-URGENT"], ["2-HIGH", "3-MEDIUM"], "paper_id", 30_000).select("paper_id", "tier")
 
 
-@query(
-    "reading_list",
-    sql(
-        """select paper_id, is_seed, round(score, 6) as score from (select paper_id, is_seed, coalesce(topical, 0) / (1 + 0.3 * (paper_id % 4)) + 0.1 * ln(1 + citation_count) as score from v_paper left join v_topical using (paper_id)) t
-            where is_seed or score > 0.1 order by is_seed desc, t.score desc, paper_id limit 50""",
-        TOPICAL,
-    ),
-)
-def reading_list(spark, d):
-    found = relevance.reading_list(papers(spark, d).withColumn("depth", F.col("paper_id") % 4), _topical(spark, d))
-    return found.select("paper_id", "is_seed", F.round("score", 6).alias("score"))
-
-
 @query(
     "reading_priority",
     sql(

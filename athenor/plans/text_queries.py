@@ -78,17 +78,19 @@ def input_types(spark, d):
         F.when(kind == 0, F.concat(F.lit("https://doi.org/10.1234/"), i)).when(kind == 1, F.concat(F.lit("W"), i)).when(kind == 2, F.concat(F.lit("arXiv:2101."), F.lpad(i, 5, "0")))
         .when(kind == 3, F.concat(F.lit("PMID:1"), F.lpad(i, 6, "0"))).when(kind == 4, F.concat(F.lit("https://example.org/"), i)).otherwise(F.col("title"))
     )
-    return w.groupBy(matching.input_type(F.regexp_replace(text, "^(arXiv|PMID):", "")).alias("kind")).agg(F.count("*").alias("n"))
+    return w.groupBy(matching.input_type(text).alias("kind")).agg(F.count("*").alias("n"))
+
+
+METHOD = " or ".join(f"contains(lower(abstract), '{w}')" for w in matching.METHOD_WORDS)
 
 
 @query(
     "methodology",
-    sql("select kind, count(*) filter (contains(lower(title), 'method') or contains(lower(title), 'tool') or size > 45) as methods, count(*) as works from v_work group by kind"),
+    sql(f"select venue, count(*) filter ({METHOD}) as methods, count(*) as documents from v_text group by venue"),
 )
 def methodology(spark, d):
-    title = F.when(F.col("size") > 45, F.concat("title", F.lit(" assay"))).otherwise(F.col("title"))
-    found = works(spark, d).withColumn("m", matching.is_methodology(title))
-    return found.groupBy("kind").agg(F.count_if("m").alias("methods"), F.count("*").alias("works"))
+    found = texts(spark, d).withColumn("m", matching.is_methodology(F.col("abstract")))
+    return found.groupBy("venue").agg(F.count_if("m").alias("methods"), F.count("*").alias("documents"))
 
 
 @query(
@@ -107,7 +109,7 @@ def fuzzy_titles(spark, d):
 @query("difflib_match")
 def difflib_match(spark, d):
     names = works(spark, d).select(F.col("title").alias("name")).distinct()
-    known = works(spark, d).where("size <= 10").select(F.concat("title", F.lit(" x")).alias("known_name")).distinct()
+    known = works(spark, d).select(F.concat("title", F.lit(" x")).alias("known_name")).distinct()
     return matching.closest_names(names, known, 0.8)
 
 
@@ -170,3 +172,15 @@ def export_graphml(spark, d):
     nodes = works(spark, d).select(F.col("work_id").alias("node"), F.col("title").alias("label"))
     edges = references(spark, d).select("src", "dst", F.lit(1.0).alias("weight"))
     return exports.graphml_rows(nodes, edges).where("part in (1, 2)").select("value")
+
+
+#: Journals of the first two tiers; names as like as src1 and src11 count as one.
+FIRST, SECOND = ["src1", "src5"], ["SRC-3", "src4"]
+
+
+@query("venue_tiers")
+def venue_tiers(spark, d):
+    """Tier of every text by the similarity of its venue's name to the journals'."""
+    t = texts(spark, d)
+    tiers = matching.venue_tiers(t, FIRST, SECOND)
+    return t.join(tiers, "venue", "left").groupBy("venue", F.coalesce("tier", F.lit(3)).alias("tier")).agg(F.count("*").alias("documents"))

@@ -160,7 +160,7 @@ def unexplored(spark, d):
 
 
 INTER = """v_cluster as (select distinct m.name as cluster, c.name from v_concept m join v_concept c using (paper_id) join v_paper p using (paper_id) where m.pos = 1 and c.pos <= 3 and p.is_seed),
-v_cand as (select paper_id, name from v_concept where pos <= 5 and paper_id in (select paper_id from v_paper where not is_seed order by citation_count desc, paper_id limit 200)),
+v_cand as (select paper_id, name from v_concept where pos <= 5 and paper_id in (select paper_id from v_paper where not is_seed)),
 v_hit as (select paper_id, cluster, count(*) as n from v_cand join v_cluster using (name) group by all),
 v_inter as (select a, b, paper_id, overlap, cast(rank as integer) as rank from (select x.cluster as a, y.cluster as b, x.paper_id, x.n + y.n as overlap,
     row_number() over (partition by x.cluster, y.cluster order by x.n + y.n desc, x.paper_id) as rank from v_hit x join v_hit y on x.paper_id = y.paper_id and x.cluster < y.cluster) t where rank <= 10)"""
@@ -171,8 +171,8 @@ def _intermediates(spark, d):
     seeds = p.where("is_seed").select("paper_id")
     named = c.where("pos = 1").select("paper_id", F.col("name").alias("cluster")).join(seeds, "paper_id", "left_semi")
     of = named.join(c.where("pos <= 3"), "paper_id").select("cluster", "name")
-    best = p.where("not is_seed").orderBy(F.desc("citation_count"), "paper_id").limit(200).select("paper_id")
-    return topics.intermediates(of, c.where("pos <= 5").join(best, "paper_id", "left_semi").select("paper_id", "name"))
+    others = p.where("not is_seed").select("paper_id")
+    return topics.intermediates(of, c.where("pos <= 5").join(others, "paper_id", "left_semi").select("paper_id", "name"))
 
 
 @query("intermediates", sql("select * from v_inter", INTER))

@@ -1,6 +1,7 @@
 """Operators on small tables with values worked out by hand."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -154,3 +155,45 @@ def test_fields_fall_back_to_ocean(spark):
     fields = spark.createDataFrame([("Organic Chemistry", ["palladium", "catalysis"], ["coupling"], ["galaxy"])], "field string, key_concepts array<string>, include_terms array<string>, exclude_terms array<string>")
     papers = spark.createDataFrame([(1, "Palladium catalysis of cross-coupling"), (2, "A galaxy survey")], "id int, t string")
     assert [(r.id, r.field) for r in matching.resolve_fields(papers, fields, "t", "id").orderBy("id").collect()] == [(1, "Organic Chemistry"), (2, "ocean")]
+
+
+def test_fields_by_leaders_venues_and_names(spark):
+    kinds = ", ".join(f"{c} array<string>" for c in ("key_concepts", "include_terms", "exclude_terms", "aliases", "known_leaders", "tier1_journals", "tier2_journals"))
+    fields = spark.createDataFrame(
+        [("Optics", ["laser", "lens"], [], [], ["photonics"], ["Ann Miller"], ["Optics Letters"], ["Light Reviews"]), ("Botany", ["leaf"], ["root"], ["laser"], [], ["Bo Li"], [], ["Plant Notes"])], f"field string, {kinds}"
+    )
+    papers = spark.createDataFrame(
+        [(1, "Laser and lens in photonics", "Optic Letters", ["A. Miller", "Anne Miller"]), (2, "A leaf", "Plant Note", None), (3, "x", None, ["Bo Li"]), (4, None, "light reviews", []), (5, "laser leaf root", "", ["", None])],
+        "id int, t string, v string, who array<string>",
+    )
+    got = {r.id: (r.field, round(r.score, 6), r.strategy) for r in matching.resolve_fields(papers, fields, "t", "id", "v", "who").collect()}
+    assert got == {1: ("Optics", 1.0, "tier1_first"), 2: ("Botany", 0.5, "balanced"), 3: ("Botany", 0.3, "broad"), 4: ("ocean", 0.1, "ocean"), 5: ("Botany", 0.35, "broad")}
+
+
+def test_venue_tiers_equal_difflib(spark):
+    from difflib import SequenceMatcher
+
+    venues = ["Nature", "NATURE ", "Nature Physics", "Natures", "Journal of Nature", "Cell", "Cells", "Organic Letters", "Org. Letters", "J. Organic Letters B", "Inorganic Letter", "", None, "C++ (Notes)"]
+    first, second = ["Nature", "C++ (Notes)"], ["Organic Letters", "Cell", ""]
+
+    def same(v, j):
+        v, j = v.lower().strip(), j.lower().strip()
+        if not v or not j:
+            return False
+        near = SequenceMatcher(None, v, j).ratio()
+        if v == j:
+            return True
+        inside = re.search(r"\b" + re.escape(j) + r"\b", v)
+        return (near >= 0.9 if len(j) <= 8 else True) if inside else near >= 0.8
+
+    want = {v: 1 if any(same(v, j) for j in first) else 2 if any(same(v, j) for j in second) else 3 for v in venues if v is not None}
+    got = matching.venue_tiers(spark.createDataFrame([(v,) for v in venues], "venue string"), first, second)
+    assert {r.venue: r.tier for r in got.collect()} == want and set(want.values()) == {1, 2, 3}
+
+
+def test_input_types_and_methods(spark):
+    inputs = ["10.1234/ab", "https://doi.org/10.1234/ab", "DOI:10.1234/ab", "W12", "arXiv:2101.00001v2", "PMID:12345", "https://x.org", "A title", ""]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(inputs)], "i int, s string").select("i", matching.input_type(F.col("s")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in got] == ["doi", "doi", "doi", "openalex", "arxiv", "pmid", "url", "title", "title"]
+    titles = spark.createDataFrame([("A Software for x",), ("BLAST: searching",), (None,)], "s string")
+    assert [r[0] for r in titles.select(matching.is_methodology(F.col("s"))).collect()] == [True, False, False]
