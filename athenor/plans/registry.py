@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from athenor.plans import author_queries, check_queries, graph_queries, lookup_queries, pool_queries, score_queries, selection_queries, text_queries, topic_queries  # noqa: F401
+    from athenor.plans import author_queries, check_queries, expansion_queries, graph_queries, lookup_queries, pool_queries, score_queries, selection_queries, text_queries, topic_queries  # noqa: F401
