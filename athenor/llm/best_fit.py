@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.storage import materialize
-from athenor.llm.common import parts, whole_text
+from athenor.llm.common import WORD, parts, whole_text
 
-CAPACITY, CLOSING, MEMO, WORD = 1024, 2, 400_000, 40
+CAPACITY, CLOSING, MEMO = 1024, 2, 400_000
 #: What the vocabulary file's byte-level pattern splits text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"

@@ -2,7 +2,7 @@
 
 Text is split by the vocabulary's pattern; pre-tokens of similar length share a padded matrix of ids. Each round looks every
 neighbouring pair up in one hash table, every row merges its leftmost pair of least rank, and the matrix is compacted; rows
-without a pair leave. Pre-tokens and words met before are kept up to a bound. Long pre-tokens are cut into rows of the same matrices
+without a pair leave. Pre-tokens and words met before are kept up to a bound in number and in length. Long pre-tokens are cut into rows of the same matrices
 and joined again where the tokens on both sides of a cut agree.
 
 Null texts count as empty and have no ids; repeated rows give repeated results, null ids stay, an empty table gives no rows, and columns
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import parts, whole_text
+from athenor.llm.common import WORD, parts, whole_text
 
 MEMO, LONG, CUT, JOINT, NONE = 300_000, 48, 32, 4, np.int32(2**31 - 1)
 
@@ -167,9 +167,8 @@ class Vocabulary:
         known.update(zip(unknown, (i.astype("<u4").tobytes() for i in self.merge([t.encode("utf-8", "replace") for t in unknown])), strict=True))
         get = known.__getitem__
         memo.update((w, b"".join(map(get, parts))) for w, parts in zip(new, split, strict=True))
-        if len(known) > MEMO:
-            for t in unknown:
-                del known[t]
+        for t in unknown if len(known) > MEMO else [t for t in unknown if len(t) > WORD]:
+            del known[t]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each whole text as little-endian 32-bit bytes.
@@ -191,9 +190,8 @@ class Vocabulary:
             self._learn(new, prefix, memo)
             get = memo.__getitem__
             joined.append([b"".join(map(get, parts)) for parts in stretches])
-            if len(memo) > MEMO:
-                for w in new:
-                    del memo[w]
+            for w in new if len(memo) > MEMO else [w for w in new if len(w) > WORD]:
+                del memo[w]
         return [a + b for a, b in zip(*joined, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:

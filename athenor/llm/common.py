@@ -12,6 +12,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Memos of words keep none longer than this, so that a bound on their number bounds their bytes too; longer ones are worked out each time.
+WORD = 48
+
 
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id written as text; null ids count as the empty text."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from athenor.functions.storage import materialize
 from athenor.iterative.components import components
-from athenor.llm.common import whole_text
+from athenor.llm.common import WORD, whole_text
 from athenor.llm.exact_dedup import BROADCAST_IDS, numbered, without_rows
 
 WORDS, MINIMA, CHUNK = 5, 64, 4
@@ -54,11 +54,11 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class WordHash(dict):
-    """64-bit hash of a word; words met before are kept up to a bound."""
+    """64-bit hash of a word; words met before are kept up to a bound in number and in length."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO:
+        if len(self) < MEMO and len(word) <= WORD:
             self[word] = value
         return value
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.storage import materialize
-from athenor.llm.common import parts, whole_text
+from athenor.llm.common import WORD, parts, whole_text
 
 LONGEST, CLOSING, MEMO = 2048, 1, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, place long"
@@ -53,7 +53,7 @@ class WordEncoder:
     """ids of white-space-delimited words as little-endian 32-bit bytes.
 
     The vocabulary lower-cases, drops white space and never merges across it, so words can be encoded apart. Words and
-    pre-tokens met before are kept up to a bound; beyond it new ones are encoded again in each block of texts. All new words of
+    pre-tokens met before are kept up to a bound in number and in length; beyond it new ones are encoded again in each block of texts. All new words of
     a block are normalised and split together; unknown pre-tokens are encoded together, and cut apart where tokens end a
     pre-token.
     """
@@ -113,8 +113,9 @@ class WordEncoder:
         unknown = self._learn_words(new)
         get = known.__getitem__
         out = [self.ids(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, plain, strict=True)]
-        if len(known) > MEMO:
-            for w in chain(new, unknown):
+        full = len(known) > MEMO
+        for w in chain(new, unknown):
+            if full or len(w) > WORD:
                 known.pop(w, None)
         return out
 

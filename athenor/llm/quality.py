@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
+from athenor.llm.common import WORD, crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 15_000
 BUCKETS, DIM, MEMO = 1 << 17, 8, 150_000
@@ -70,9 +70,9 @@ class QualityModel:
         self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of moves, number of features and hash for each word; words met before are kept up to a bound."""
+        """Sum of moves, number of features and hash for each word; words met before are kept up to a bound in number and in length."""
         memo = self.memo
-        new = list({w for w in words if w not in memo})
+        new = sorted({w for w in words if w not in memo}, key=lambda w: len(w) > WORD)
         held = len(memo)
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
@@ -83,9 +83,11 @@ class QualityModel:
             self.hashes = np.append(self.hashes, whole)
         at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         out = self.sums[at], self.counts[at], self.hashes[at]
-        if len(memo) > MEMO:
-            for w in new:
+        short = sum(len(w) <= WORD for w in new) if len(memo) <= MEMO else 0
+        if short < len(new):
+            for w in new[short:]:
                 del memo[w]
+            held += short
             self.sums, self.counts, self.hashes = self.sums[:held].copy(), self.counts[:held].copy(), self.hashes[:held].copy()
         return out
 

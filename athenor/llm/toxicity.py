@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenor.llm.common import crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
+from athenor.llm.common import WORD, crc_of_id, filter_rows, fit_in_task, labelled_sample, parts, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 8_000, 60_000, 4_096
 SCORED = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
@@ -47,7 +47,7 @@ class WordWeights(dict):
         weight = self.weights.get(word, 0.0)
         if len(word) > 5:
             weight += self.weights.get(b"^" + word[:5], 0.0)
-        if len(self) < 100_000:
+        if len(self) < 100_000 and len(word) <= WORD:
             self[word] = weight
         return weight
 
