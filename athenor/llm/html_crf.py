@@ -4,7 +4,7 @@ A page is cut into leaf blocks: stretches of text between tags that are not inli
 ancestors (tags, class and id words) and of its text (length, link share, marks, place). The chain has two labels; it is
 trained on labelled pages by gradient ascent with forward-backward sums, and Viterbi decodes each page's blocks.
 
-Null or empty pages give an empty text; broken markup is read as far as it goes. Repeated rows give repeated results, null ids stay, an
+Null or empty pages give an empty text; broken markup is read as far as it goes, in time that grows with the page's length only. Repeated rows give repeated results, null ids stay, an
 empty table gives no rows, and columns besides page_id, url and html are not looked at, whatever their names. Pages of any length are read whole.
 """
 
@@ -26,11 +26,11 @@ from athenor.llm.common import parts
 
 EXTRACTED = "page_id long, url string, text string, n_chars long, n_blocks int, kept_blocks array<int>"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_OPENS = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+#: Quotation marks enclose a value right after an equals sign only; elsewhere they are letters like any other.
+_ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_RAW = frozenset("script style noscript template textarea svg iframe".split())
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -53,10 +53,56 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     for groups in _NAMES.findall(attrs) if "=" in attrs else ():
         for word in _SPLIT.split(max(groups, key=len)):
             if word:
-                out.append("c:" + word.lower()[:20])
+                out.append("c:" + word.lower())
     return tuple(out)
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, tag, whether it ends one, attributes): text has no tag; comments, declarations and what stands in scripts and the like go.
+
+    One pass whatever the markup: a tag ends at its first ``>`` outside quoted values; if the quoted values run to the end of the page, quotation
+    marks count no more from there on. A tag that nothing ends is left out up to the next ``<``, and raw text that nothing ends up to the end.
+    """
+    at, size, last, quotes = 0, len(html), html.rfind(">"), True
+    while at < size:
+        start = html.find("<", at)
+        if start != at:
+            yield html[at : start if start >= 0 else size], "", False, ""
+            if start < 0:
+                return
+        opens = _OPENS.match(html, start)
+        if opens is None:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+            elif html[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < size:
+                end = html.find(">", start) if start < last else html.find("<", start + 1)
+                at = size if end < 0 else end + (start < last)
+            else:
+                yield "<", "", False, ""
+                at = start + 1
+            continue
+        inner = opens.end()
+        if inner > last:  # nothing can end it
+            end = html.find("<", inner)
+            at = end if end >= 0 else size
+            continue
+        closed = _ATTRIBUTES.match(html, inner) if quotes else None
+        if closed is None:
+            quotes, at = False, html.find(">", inner) + 1
+        else:
+            at = closed.end()
+        tag, attributes = opens[2].lower(), html[inner : at - 1]
+        if tag in _RAW and not opens[1]:
+            if tag == "svg" and attributes.endswith("/"):
+                continue
+            end = _RAW_ENDS[tag].search(html, at)
+            end = html.find(">", end.end()) if end else -1
+            at = end + 1 if end >= 0 else size
+            continue
+        yield "", tag, bool(opens[1]), attributes
+
+
 def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
     """Leaf blocks in page order; white space inside a block is one space, character references are decoded.
 
@@ -78,23 +124,20 @@ def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
                 out.append(Block(stack[-1][1], text, linked))
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        if m["text"] is not None:
-            parts.append(m["text"])
+    for piece, tag, ends, attributes in tokens(html):
+        if not tag:
+            parts.append(piece)
             if in_link:
-                linked += len(m["text"].strip())
-            continue
-        if m["tag"] is None:
+                linked += len(piece.strip())
             continue
-        tag = m["tag"].lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = not m["end"]
+                in_link = not ends
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m["end"]:
+        if ends:
             in_link = False
             while standing[tag]:
                 name = stack.pop()[0]
@@ -107,7 +150,7 @@ def leaf_blocks(html: str, known: frozenset[str] | None = None) -> list[Block]:
             standing[stack.pop()[0]] -= 1
         if tag not in VOID:
             path = stack[-1][1]
-            own = [f for f in dict.fromkeys((*_names(tag, m["attrs"] or ""), "p:" + tag)) if (known is None or f in known) and f not in path]
+            own = [f for f in dict.fromkeys((*_names(tag, attributes), "p:" + tag)) if (known is None or f in known) and f not in path]
             stack.append((tag, (*path, *own) if own else path))
             standing[tag] += 1
     flush()
@@ -298,7 +341,10 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[str]]]:
         text = "".join(body)
         if chance(0.12):
             text += comments()
-        text = pick(f"<article>{text}</article>", f"<article>{text}</article>", f"<main>{text}</main>", f"<main><article>{text}</article></main>", f'<div class="{pick("content", "post", "entry-content", "article-body", "main")}">{text}</div>', f'<div id="content">{text}</div>')
+        if chance(0.4):  # nothing but plain elements, or names that say nothing, around the article
+            text = pick(f"<div>{text}</div>", f"<div><div>{text}</div></div>", f'<div id="wrap"><div>{text}</div></div>', f'<div class="{word()}">{text}</div>', f'<section id="{word()}">{text}</section>', f"<table><tr><td>{text}</td></tr></table>", text)
+        else:
+            text = pick(f"<article>{text}</article>", f"<article>{text}</article>", f"<main>{text}</main>", f"<main><article>{text}</article></main>", f'<div class="{pick("content", "post", "entry-content", "article-body", "main")}">{text}</div>', f'<div id="content">{text}</div>')
         before = "".join(f() for f in (menu, advert, notice, form) if chance(0.5))
         after = "".join(f() for f in (aside, comments, advert, notice, form) if chance(0.3)) + (footer() if chance(0.9) else "")
         head = f"<head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head>" if chance(0.9) else ""
