@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,13 @@ from athenor.functions.storage import materialize
 from athenor.params import DEFAULT, Params
 
 
-def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 10) -> DataFrame:
-    """(node, distance): undirected hops to the nearest seed, up to ``max_hops``; seeds(node)."""
+def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, distance): undirected hops to the nearest seed, until no node is new or up to ``max_hops``; seeds(node)."""
     both = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct(), "both")
     frontier = seeds.select("node").distinct()
     found = materialize(frontier.withColumn("distance", F.lit(0)), "hops")
     frontier = found.select("node")
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         reached = both.join(frontier, "node").select(F.col("near").alias("node")).distinct()
         new = materialize(reached.join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)), "hops")
         if new.isEmpty():

@@ -213,7 +213,8 @@ def sync_edges(spark, d):
 
 HOPS = CLUSTERS + """, v_both as (select src as node, dst as near from v_edge union select dst, src from v_edge),
 v_seednode as (select paper_id * 2 as node from v_paper where is_seed union all select work_id * 2 + 1 from v_work where work_id % 200 = 0)"""
-WALK = f"""with recursive {sql('', HOPS)[5:]}, v_walk(node, distance) as (select node, 0 from v_seednode union select near, distance + 1 from v_walk join v_both using (node) where distance < 4),
+#: SQL needs a bound on its walk; the frontier of these tables is empty after five hops, Spark's loop has no bound.
+WALK = f"""with recursive {sql('', HOPS)[5:]}, v_walk(node, distance) as (select node, 0 from v_seednode union select near, distance + 1 from v_walk join v_both using (node) where distance < 12),
     v_hop as (select node, min(distance) as distance from v_walk group by node)"""
 
 
@@ -225,17 +226,17 @@ def _seed_nodes(spark, d):
 
 @query("bfs_depth", f"{WALK} select node, distance from v_hop")
 def bfs_depth(spark, d):
-    return traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d), 4)
+    return traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d))
 
 
 def _with_depth(spark, d):
-    """Papers and their hops from the seeds, 5 where four do not reach."""
-    hops = traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d), 4).where("node % 2 = 0")
+    """Papers and their hops from the seeds, 10 where none leads there."""
+    hops = traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d)).where("node % 2 = 0")
     depth = hops.select((F.col("node") / 2).cast("bigint").alias("paper_id"), F.col("distance").alias("depth"))
-    return papers(spark, d).join(depth, "paper_id", "left").fillna(5, ["depth"])
+    return papers(spark, d).join(depth, "paper_id", "left").fillna(10, ["depth"])
 
 
-DEPTH = f"{WALK}, {TOPICAL}, v_depth as (select p.*, coalesce(distance, 5) as depth from v_paper p left join v_hop on node = paper_id * 2)"
+DEPTH = f"{WALK}, {TOPICAL}, v_depth as (select p.*, coalesce(distance, 10) as depth from v_paper p left join v_hop on node = paper_id * 2)"
 
 
 @query(
@@ -358,7 +359,7 @@ def relevance_parts(spark, d):
     words = [F.greatest(*(exprs.keyword_match(F.col("title"), [x]) for x in pair)) for pair in (("high", "steel"), ("urgent", "brass"))]
     out = nodes.withColumn("keyword", sum(words, F.lit(0.0)) / 2)
     near = graph.near_seeds(edges, seeds)
-    for part in (traversal.hop_distances(edges, seeds, 4), near, graph.coupling(edges, seeds), graph.cocitation(edges, seeds), graph.portal_support(edges, nodes)):
+    for part in (traversal.hop_distances(edges, seeds), near, graph.coupling(edges, seeds), graph.cocitation(edges, seeds), graph.portal_support(edges, nodes)):
         out = out.join(part, "node", "left")
     return out.withColumn("paths", F.coalesce("paths", F.lit(0)))
 

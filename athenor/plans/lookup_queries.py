@@ -278,20 +278,18 @@ def author_confidence(spark, d):
 @query(
     "without_self",
     sql(
-        """select a.c_custkey as a, b.c_custkey as b from v_first a join v_first b on a.c_nationkey = b.c_nationkey and a.c_custkey < b.c_custkey
-            where not (list_last(string_split(lower(a.c_name), ' ')) = list_last(string_split(lower(b.c_name), ' ')) and left(lower(a.c_name), 1) = left(lower(b.c_name), 1))""",
-        "v_first as (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer qualify r <= 20)",
+        """select distinct s.s_suppkey as a, t.s_suppkey as b from v_authorship x join v_authorship y using (paper_id) join supplier s on s.s_suppkey = x.coauthor_id join supplier t on t.s_suppkey = y.coauthor_id
+            where x.coauthor_id <= y.coauthor_id and not (list_last(string_split(lower(s.s_name), ' ')) = list_last(string_split(lower(t.s_name), ' ')) and left(lower(s.s_name), 1) = left(lower(t.s_name), 1))"""
     ),
 )
 def without_self(spark, d):
-    """Pairs of the twenty richest customers of each nation."""
-    from pyspark.sql import Window
-
+    """The suppliers that stand together in some order, each with itself too, which the names show."""
     from athenor.functions.storage import table
 
-    rank = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    best = table(spark, d, "customer").withColumn("r", F.row_number().over(rank)).where("r <= 20")
-    pairs = best.select("c_nationkey", F.col("c_custkey").alias("a"), F.col("c_name").alias("own")).join(best.select("c_nationkey", F.col("c_custkey").alias("b"), F.col("c_name").alias("other")), "c_nationkey").where("a < b")
+    listed = authorship(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("coauthor_id"), F.col("s_name").alias("name")), "coauthor_id")
+    left = listed.select("paper_id", F.col("coauthor_id").alias("a"), F.col("name").alias("own"))
+    right = listed.select("paper_id", F.col("coauthor_id").alias("b"), F.col("name").alias("other"))
+    pairs = left.join(right, "paper_id").where("a <= b").select("a", "b", "own", "other").distinct()
     return authors.without_self(pairs, "own", "other").select("a", "b")
 
 
