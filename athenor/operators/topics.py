@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.exprs import gap_score, tokens
-from athenor.functions.storage import bounded
+from athenor.functions.storage import bounded, materialize
 from athenor.params import DEFAULT, GENERIC_CONCEPTS, STOP_WORDS, Params
 
 
@@ -76,19 +80,60 @@ def _sizes(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("name").agg(F.countDistinct("paper_id").alias("n"))
 
 
+def _near_bits(pairs: DataFrame, numbers: DataFrame, n: int) -> DataFrame:
+    """(i, bits): for each concept number one bit for each of the ``n`` concepts, set for those beside it."""
+    a, b = (numbers.select(F.col("name").alias(x), F.col("i").alias(y)) for x, y in (("a", "i"), ("b", "j")))
+    known = pairs.join(a, "a").join(b, "b").select("i", "j")
+    listed = known.union(known.select("j", "i")).groupBy("i").agg(F.collect_set("j").alias("near"))  # n numbers at most
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.zeros((len(batch), n), bool)
+            for row, near in zip(bits, batch["near"], strict=True):
+                row[near] = True
+            yield pd.DataFrame({"i": batch["i"], "bits": [r.tobytes() for r in np.packbits(bits, axis=1)]})
+
+    return listed.mapInPandas(pack, "i int, bits binary")
+
+
+def _similar(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of ``wanted`` (name), whose concepts occur in ``pairs`` (a, b).
+
+    Each concept is a row of bits, one for each concept beside it, so the whole is a product of a matrix of at most MOST_NAMES rows and columns with
+    itself: every task counts the common bits of some rows with all later ones. Rows reach the tasks as a broadcast of MOST_NAMES^2 bits at most.
+    """
+    names = bounded(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), MOST_NAMES, "concepts")
+    numbers = materialize(names.coalesce(1).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i")), "numbers")  # over MOST_NAMES rows at most
+    rows = numbers.join(wanted.select("name"), "name", "left_semi")
+    listed = numbers.select("i", "name").orderBy("i").collect()
+    matrix = np.zeros((len(listed), -(-len(listed) // 8)), np.uint8)
+    for r in _near_bits(pairs, numbers, len(listed)).collect():
+        matrix[r.i] = np.frombuffer(r.bits, np.uint8)
+    spark = pairs.sparkSession
+    packed = spark.sparkContext.broadcast((matrix, np.sort(np.array([r.i for r in rows.select("i").collect()], np.int64)), [r.name for r in listed]))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix, some, names = packed.value
+        ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
+        sizes = ones[matrix].sum(1)
+        for batch in batches:
+            for i in batch["i"].tolist():
+                later = some[some > i]
+                if not len(later):
+                    continue
+                both = ones[matrix[later] & matrix[i]].sum(1)
+                beside = (matrix[later, i // 8] >> (7 - i % 8)) & 1
+                union = sizes[i] + sizes[later] - 2 * beside.astype(np.int64) - both
+                yield pd.DataFrame({"a": names[i], "b": [names[j] for j in later.tolist()], "similarity": np.where(union > 0, both / np.maximum(union, 1), 0.0)})
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("i").repartition(width, "i").mapInPandas(count, "a string, b string, similarity double")
+
+
 def concept_similarity(concepts: DataFrame) -> DataFrame:
     """(a, b, similarity): Jaccard of the sets of concepts that occur with each, without the two themselves."""
-    pairs = topic_pairs(concepts).select("a", "b")
-    near = pairs.union(pairs.select("b", "a")).toDF("x", "y")
-    grid = bounded(near.select("x").distinct(), MOST_NAMES, "concepts")
-    grid = grid.select(F.col("x").alias("a")).join(grid.select(F.col("x").alias("b")), F.col("a") < F.col("b"))
-    both = near.withColumnRenamed("x", "a").join(near.withColumnRenamed("x", "b"), "y").where("a < b and y <> a and y <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    size = near.groupBy("x").agg(F.count("*").alias("k"))
-    linked = pairs.withColumn("_t", F.lit(1))
-    out = grid.join(both, ["a", "b"], "left").join(linked, ["a", "b"], "left").fillna(0, ["both", "_t"])
-    out = out.join(size.toDF("a", "ka"), "a").join(size.toDF("b", "kb"), "b")
-    union = F.col("ka") + F.col("kb") - 2 * F.col("_t") - F.col("both")
-    return out.select("a", "b", F.when(union > 0, F.col("both") / union).otherwise(0.0).alias("similarity"))
+    pairs = materialize(topic_pairs(concepts).select("a", "b"), "pairs")
+    return _similar(pairs, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct())
 
 
 def concept_gaps(concepts: DataFrame, top: int = 50, p: Params = DEFAULT) -> DataFrame:
@@ -97,8 +142,9 @@ def concept_gaps(concepts: DataFrame, top: int = 50, p: Params = DEFAULT) -> Dat
     The grid of pairs is over the concepts of ``p.pair_papers`` papers or more, of which a vocabulary has few.
     """
     sizes = bounded(_sizes(concepts).where(F.col("n") >= p.pair_papers), MOST_NAMES, "frequent concepts")
+    pairs = materialize(topic_pairs(concepts), "pairs")
     grid = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b"))
-    joined = grid.join(topic_pairs(concepts), ["a", "b"], "left").fillna(0, ["papers"]).join(concept_similarity(concepts), ["a", "b"], "left").fillna(0.0, ["similarity"])
+    joined = grid.join(pairs, ["a", "b"], "left").fillna(0, ["papers"]).join(_similar(pairs.select("a", "b"), sizes), ["a", "b"], "left").fillna(0.0, ["similarity"])
     ratio = F.col("papers") / F.least("na", "nb")
     out = joined.withColumn("ratio", ratio).where(F.col("ratio") <= p.pair_ratio).withColumn("gap", gap_score("na", "nb", "similarity"))
     return out.orderBy(F.desc("gap"), "a", "b").limit(top).select("a", "b", F.col("papers").alias("both"), (F.col("na") - F.col("papers")).alias("a_only"), (F.col("nb") - F.col("papers")).alias("b_only"), "ratio", "similarity", "gap")

@@ -34,14 +34,17 @@ def _transitions(profiles: DataFrame, max_gap: int) -> DataFrame:
 
 
 def aligned(profiles: DataFrame, max_gap: int) -> DataFrame:
-    """Both years' renormalised weights for every concept of a transition: author_id, year_from, year_to, concept, a, b."""
+    """Both years' renormalised weights for every concept of a transition: author_id, year_from, year_to, concept, a, b.
+
+    A row stands in the transition to its author's next observed year and in the one from the year before.
+    """
     whole = F.sum("weight").over(Window.partitionBy("author_id", "year"))
     shares = profiles.select("author_id", "year", "concept", (F.col("weight") / whole).alias("share"))
-    steps = _transitions(profiles, max_gap)
+    order = Window.partitionBy("author_id").orderBy("year")
+    years = profiles.select("author_id", "year").distinct().withColumns({"_next": F.lead("year").over(order), "_last": F.lag("year").over(order)})
     zero = F.lit(0.0)
-    first = steps.join(shares.withColumnRenamed("year", "year_from"), ["author_id", "year_from"]).withColumns({"a": F.col("share"), "b": zero})
-    second = steps.join(shares.withColumnRenamed("year", "year_to"), ["author_id", "year_to"]).withColumns({"a": zero, "b": F.col("share")})
-    both = first.select("author_id", "year_from", "year_to", "concept", "a", "b").unionByName(second.select("author_id", "year_from", "year_to", "concept", "a", "b"))
+    steps = F.explode(F.array(F.struct(F.col("year").alias("year_from"), F.col("_next").alias("year_to"), F.col("share").alias("a"), zero.alias("b")), F.struct(F.col("_last").alias("year_from"), F.col("year").alias("year_to"), zero.alias("a"), F.col("share").alias("b"))))
+    both = shares.join(years, ["author_id", "year"]).select("author_id", "concept", steps.alias("s")).select("author_id", "concept", "s.*").where(F.col("year_to") - F.col("year_from") <= max_gap)
     return both.groupBy("author_id", "year_from", "year_to", "concept").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -211,21 +214,31 @@ def cluster_bridging(papers: DataFrame, concepts: DataFrame, author: str = "auth
     return found.select(author, F.greatest(F.col("n") - 1, F.lit(0)).cast("int").alias("clusters_bridged"))
 
 
-def at_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at place floor(share * n) from 0 of the ascending list, one row; not an interpolated percentile.
+def at_ranks(columns: dict[str, DataFrame], share: float) -> DataFrame:
+    """For each name and table of one column: the value (as a double) at place floor(share * n) from 0 of its ascending list; one row. Not an interpolated percentile.
 
-    Distinct values are dealt out by ranges; the sums of the ranges tell which one has the place, and only that one is counted through.
+    Distinct values of all lists are dealt out by ranges in one pass; the sums of the ranges tell which one has the place, and only that one is counted through.
     """
-    counted = values.groupBy(column).agg(F.count("*").alias("k"))
-    ranged = materialize(counted.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("part").agg(F.sum("k").alias("n"))  # one row for each partition
-    order = Window.orderBy("part")
-    ends = sums.select("part", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("n"))
-    place = F.floor(F.col("n") * share)
-    found = ends.where(F.col("upto") > place).groupBy().agg(F.min_by(F.struct("part", (F.col("upto")).alias("upto"), place.alias("place")), "part").alias("f")).select("f.*")
-    inside = ranged.join(F.broadcast(found), "part")  # one row
-    below = F.col("upto") - F.sum("k").over(Window.partitionBy("part")) + F.sum("k").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_below", below).where(F.col("_below") > F.col("place")).agg(F.min(column).alias(column))
+    stacked = None
+    for n, values in enumerate(columns.values()):
+        one = values.select(F.lit(n).alias("which"), F.col(values.columns[0]).cast("double").alias("value"))
+        stacked = one if stacked is None else stacked.union(one)
+    counted = stacked.groupBy("which", "value").agg(F.count("*").alias("k"))
+    ranged = materialize(counted.repartitionByRange("which", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("which", "part").agg(F.sum("k").alias("n"))  # one row for each list and partition
+    of_list = Window.partitionBy("which")
+    ends = sums.select("which", "part", F.sum("n").over(of_list.orderBy("part")).alias("upto"), F.floor(F.sum("n").over(of_list) * share).alias("place"))
+    found = ends.where("upto > place").groupBy("which").agg(F.min_by(F.struct("part", "upto", "place"), "part").alias("f")).select("which", "f.*")
+    inside = ranged.join(F.broadcast(found), ["which", "part"])  # one row for each list
+    of_part = Window.partitionBy("which", "part")
+    below = F.col("upto") - F.sum("k").over(of_part) + F.sum("k").over(of_part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("_below", below).where(F.col("_below") > F.col("place"))
+    return reached.agg(*(F.min(F.when(F.col("which") == n, F.col("value"))).alias(name) for n, name in enumerate(columns)))
+
+
+def at_rank(values: DataFrame, column: str, share: float) -> DataFrame:
+    """``at_ranks`` of one column, in its own type."""
+    return at_ranks({column: values.select(column)}, share).select(F.col(column).cast(values.schema[column].dataType).alias(column))
 
 
 def roles(authors: DataFrame, citation_p90: Column, centrality_p90: Column) -> DataFrame:

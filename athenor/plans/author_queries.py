@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from athenor.functions.storage import materialize
 from athenor.operators import authors, trajectory
 from athenor.plans.adapter import authorship, concepts, papers, references, sql
 from athenor.plans.registry import query
@@ -199,11 +200,10 @@ def roles_p90(spark, d):
     edges = references(spark, d)
     totals = p.groupBy("author_id").agg(F.sum("citation_count").alias("citation_count"))
     central = p.join(edges, p.paper_id == edges.src).groupBy("author_id").agg(F.countDistinct("dst").cast("double").alias("centrality"))
+    both = materialize(totals.join(central, "author_id", "left").fillna(0.0, ["centrality"]), "totals")
     bridged = trajectory.cluster_bridging(p, c).withColumn("clusters_bridged", F.when(F.col("clusters_bridged") >= 5, F.col("clusters_bridged") - 4).otherwise(0))
-    joined = totals.join(central, "author_id", "left").join(trajectory.garden_drift(p, c), "author_id", "left").join(bridged, "author_id", "left").fillna(0.0, ["centrality"])
-    cuts = trajectory.at_rank(totals, "citation_count", 0.9).withColumnRenamed("citation_count", "_cites").crossJoin(
-        trajectory.at_rank(totals.join(central, "author_id", "left").fillna(0.0, ["centrality"]).select("centrality"), "centrality", 0.9).withColumnRenamed("centrality", "_cent")
-    )  # one row
+    joined = both.join(trajectory.garden_drift(p, c), "author_id", "left").join(bridged, "author_id", "left")
+    cuts = trajectory.at_ranks({"_cites": both.select("citation_count"), "_cent": both.select("centrality")}, 0.9)  # one row
     rated = trajectory.roles(joined.crossJoin(F.broadcast(cuts)), F.col("_cites"), F.col("_cent"))
     return rated.select("author_id", "role", F.round("role_confidence", 6).alias("role_confidence"))
 
