@@ -126,6 +126,31 @@ def phases(papers: DataFrame, events: DataFrame, min_papers: int = 5) -> DataFra
     )
 
 
+def phase_details(found: DataFrame, papers: DataFrame, concepts: DataFrame, authorship: DataFrame, per_paper: int = 7, top: int = 5, works: int = 3) -> DataFrame:
+    """``found`` phases with what they were about: concepts by summed score, collaborators by papers, works and citations.
+
+    Only the first ``per_paper`` concepts of a paper count; of equal ones the name, or the least id, comes first. ``label`` is the leading
+    concept; an author's first phase is formative, the last one current.
+    """
+    span = found.select("author_id", "phase", "first_year", "last_year")
+    own = papers.join(span, "author_id").where(F.col("year").between(F.col("first_year"), F.col("last_year"))).select("author_id", "phase", "paper_id", "citation_count")
+    by = ["author_id", "phase"]
+
+    def first(counts: DataFrame, value: str, order: list, n: int, name: str) -> DataFrame:
+        ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n)
+        return ranked.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+    named = own.join(concepts.where(F.col("pos") <= per_paper), "paper_id").groupBy(*by, F.lower("name").alias("name")).agg(F.sum("score").alias("n"))
+    people = own.join(authorship.distinct(), "paper_id").groupBy(*by, "coauthor_id").agg(F.count("*").alias("n"))
+    totals = own.groupBy(*by).agg(F.sum(F.coalesce("citation_count", F.lit(0))).alias("citations"))
+    out = found.join(totals, by).join(first(named, "name", [F.desc("n"), "name"], top, "concepts"), by, "left")
+    out = out.join(first(people, "coauthor_id", [F.desc("n"), "coauthor_id"], top, "collaborators"), by, "left")
+    out = out.join(first(own, "paper_id", [F.desc_nulls_last("citation_count"), "paper_id"], works, "top_papers"), by, "left")
+    order = Window.partitionBy("author_id").orderBy("first_year")
+    marks = {"label": F.coalesce(F.get("concepts", 0), F.lit("unknown")), "is_formative": F.lag("phase").over(order).isNull(), "is_current": F.lead("phase").over(order).isNull()}
+    return out.withColumns(marks)
+
+
 def merge_short_phases(found: DataFrame, min_years: int = 3) -> DataFrame:
     """Phases under ``min_years`` go into the next one, the last into the one before; an author's phases are one small group."""
 

@@ -98,6 +98,26 @@ def phases(spark, d):
     return trajectory.phases(papers(spark, d), trajectory.drift_events(papers(spark, d), concepts(spark, d)))
 
 
+@query(
+    "phase_details",
+    sql(
+        """select p.author_id, p.phase, p.first_year, p.last_year, p.papers, citations, concepts, collaborators, top_papers, coalesce(concepts[1], 'unknown') as label,
+            lag(p.phase) over w is null as is_formative, lead(p.phase) over w is null as is_current from v_phase p
+            join (select author_id, phase, cast(sum(citation_count) as bigint) as citations from v_in group by all) t using (author_id, phase)
+            left join (select author_id, phase, list(name order by r) as concepts from (select *, row_number() over (partition by author_id, phase order by n desc, name) as r from
+                (select author_id, phase, lower(name) as name, sum(score) as n from v_in join v_concept using (paper_id) where pos <= 7 group by all) a) b where r <= 5 group by all) c using (author_id, phase)
+            left join (select author_id, phase, list(coauthor_id order by r) as collaborators from (select *, row_number() over (partition by author_id, phase order by n desc, coauthor_id) as r from
+                (select author_id, phase, coauthor_id, count(*) as n from v_in join v_authorship using (paper_id) group by all) a) b where r <= 5 group by all) d using (author_id, phase)
+            left join (select author_id, phase, list(paper_id order by r) as top_papers from (select *, row_number() over (partition by author_id, phase order by citation_count desc, paper_id) as r from v_in) b where r <= 3 group by all) e using (author_id, phase)
+            window w as (partition by p.author_id order by p.first_year)""",
+        PROFILE + "," + _aligned(2) + PHASES + ", v_in as (select p.author_id, phase, paper_id, citation_count from v_phase p join v_paper x on x.author_id = p.author_id and x.year between first_year and last_year)",
+    ),
+)
+def phase_details(spark, d):
+    p, c = papers(spark, d), concepts(spark, d)
+    return trajectory.phase_details(trajectory.phases(p, trajectory.drift_events(p, c)), p, c, authorship(spark, d))
+
+
 @query("merge_phases")
 def merge_phases(spark, d):
     found = trajectory.phases(papers(spark, d), trajectory.drift_events(papers(spark, d), concepts(spark, d)), 1)
