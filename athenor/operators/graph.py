@@ -138,11 +138,45 @@ def citation_type(same_author: Column, shared: Column, gap_years: Column, is_rev
 
 
 def reference_importance(citations: Column, shared: Column, gap_years: Column, position: Column) -> Column:
-    recency = F.when(gap_years <= 2, 0.3).when(gap_years <= 5, 0.2).otherwise(0.0)
-    place = F.when(position == "early", 0.2).when(position == "middle", 0.1).otherwise(0.0)
+    """Citations, concepts in common, recency (five years, or ten and more: foundations) and place (early, then late) of a reference."""
+    recency = F.when(gap_years <= 5, 0.3).when(gap_years >= 10, 0.2).otherwise(0.0)
+    place = F.when(position == "early", 0.2).when(position == "late", 0.1).otherwise(0.0)
     return 0.3 * F.log1p(citations) + 0.2 * shared + recency + place
 
 
+def citing_relevance(citations: Column, shared: Column, years_after: Column) -> Column:
+    """How much a citing paper says about the cited one: its citations, concepts in common, and how soon it came."""
+    soon = F.when(years_after <= 2, 0.3).when(years_after <= 5, 0.2).otherwise(0.1)
+    return 0.3 * F.log1p(F.coalesce(citations, F.lit(0))) + 0.3 * shared + soon
+
+
+def citation_walk(edges: DataFrame, depths: DataFrame, most_refs: int = 50, most_cites: int = 30, intro_only: bool = False, p: Params = DEFAULT) -> DataFrame:
+    """(paper, found_from, channel, depth, edge_type, weight): what each paper of ``depths`` (paper, depth) leads to, and how it was found.
+
+    Backward the first ``most_refs`` references in list order, of which the introduction's count double (or alone are followed); forward the first ``most_cites``
+    citing papers by id. edges(src, dst, ref_pos).
+    """
+    listed = edges.where(F.col("ref_pos") <= most_refs).withColumn("n_refs", F.count("*").over(Window.partitionBy("src")))
+    hinted = intro_hints(listed, p)
+    back = depths.join(hinted.where((F.col("edge_type") != "CITES") | F.lit(not intro_only)), F.col("paper") == F.col("src"))
+    back = back.select(F.col("dst").alias("paper"), F.col("src").alias("found_from"), F.lit("backward").alias("channel"), (F.col("depth") + 1).alias("depth"), "edge_type", "weight")
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
+    into = depths.join(edges.select("src", "dst").distinct(), F.col("paper") == F.col("dst")).withColumn("_r", rank).where(F.col("_r") <= most_cites)
+    return back.union(into.select("src", F.col("dst"), F.lit("forward"), F.col("depth") + 1, F.lit("CITES"), F.lit(1.0)))
+
+
+def derived_edges(steps: DataFrame, bridges: DataFrame, coauthors: DataFrame) -> DataFrame:
+    """(edge_type, src, dst, author_id, weight): an author's steps from year to year by drift, the clusters that an author bridges, and co-authors by papers.
+
+    steps(author_id, year_from, year_to, drift), bridges(author_id, year_from, year_to, cluster_a, cluster_b), coauthors(a, b, papers).
+    """
+    at = lambda year: F.concat_ws(":", F.col("author_id").cast("string"), F.col(year).cast("string"))
+    walked = steps.select(F.lit("TRAJECTORY_STEP").alias("edge_type"), at("year_from").alias("src"), at("year_to").alias("dst"), F.col("author_id").cast("string").alias("author_id"), F.col("drift").cast("double").alias("weight"))
+    across = bridges.groupBy("author_id", "cluster_a", "cluster_b").agg(F.count("*").cast("double").alias("weight"))
+    across = across.select(F.lit("AUTHOR_BRIDGE"), F.col("cluster_a").cast("string"), F.col("cluster_b").cast("string"), F.col("author_id").cast("string"), "weight")
+    return walked.union(across).union(coauthors.select(F.lit("COAUTHOR"), F.col("a").cast("string"), F.col("b").cast("string"), F.lit(None).cast("string"), F.col("papers").cast("double")))
+
+
 def hubs(nodes: DataFrame, known: Column | None = None, p: Params = DEFAULT) -> DataFrame:
     """Hub type of each node with its expansion limits and penalty. nodes(citation_count, relevance); ``known`` marks listed mega hubs."""
     kind = hub_type("citation_count", "relevance", known, p)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from athenor.functions.storage import table
 from athenor.iterative import communities, expansion
-from athenor.operators import author_search, capacity, containment
-from athenor.plans.adapter import papers, references, sql, works
+from athenor.operators import author_search, authors, capacity, containment, graph, landscape, trajectory
+from athenor.plans.adapter import authorship, concepts, papers, references, sql, works
+from athenor.plans.author_queries import PROFILE, _aligned
 from athenor.plans.graph_queries import _edges
 from athenor.plans.registry import query
 
@@ -38,8 +40,6 @@ def alternating_expansion(spark, d):
     nodes = _scored(spark, d).withColumns({"bridge": F.col("relevance") / 2, "score": F.col("relevance")})
     lead = nodes.where("author_id is not null").select("paper", (F.col("author_id") * 2).alias("author"), F.lit(0).alias("at"))
     lines = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 2).alias("paper"), (F.col("l_suppkey") * 2 + 1).alias("author")).agg(F.min("l_linenumber").alias("at"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("paper")
     people = lead.unionByName(lines).withColumns({"pos": F.row_number().over(w.orderBy("at", "author")), "n_authors": F.count("*").over(w)}).drop("at")
     found = expansion.alternating_expansion(_listed(spark, d), nodes.drop("is_seed", "author_id"), people, nodes.where("is_seed").select("paper"))
@@ -67,8 +67,6 @@ SUPPLIERS = """v_listed as (select paper, author, row_number() over (partition b
 @query("authors_by_any_id", sql("select paper, author, cast(dense_rank() over (partition by paper order by least_pos) as integer) as place from (select paper, author, min(pos) as least_pos from v_listed group by paper, author) t", SUPPLIERS))
 def authors_by_any_id(spark, d):
     """Suppliers as authors: some lines name them by number, returned ones by name."""
-    from pyspark.sql import Window
-
     suppliers = table(spark, d, "supplier")
     records = suppliers.select(F.col("s_suppkey").alias("author_id"), F.col("s_name").alias("openalex_id"), F.lit("").alias("s2_id"), F.lit(None).cast("string").alias("orcid"))
     lines = table(spark, d, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -106,3 +104,39 @@ def title_containment(spark, d):
     """First sentences of the benchmark as titles; the documents that contain them."""
     titles = table(spark, d, "benchmark").select(F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
     return containment.contained(titles, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(
+    "year_summaries",
+    sql(
+        """select author_id, year, count(*) as works, list_slice(list_filter(list(first_venue order by n), lambda x: x is not null), 1, 5) as venues, cast(sum(citation_count) as bigint) as citations, round(coalesce(avg(case when citation_count > 3000 then citation_count / 70000.0 end), 0), 6) as relevance
+            from (select *, case when n = min(n) over (partition by author_id, year, venue) then venue end as first_venue from (select *, row_number() over (partition by author_id, year order by paper_id) as n from v_paper qualify n <= 20) a) t group by author_id, year"""
+    ),
+)
+def year_summaries(spark, d):
+    relevance = F.when(F.col("citation_count") > 3_000, F.col("citation_count") / 70_000).otherwise(0.0)
+    return landscape.year_summaries(papers(spark, d).withColumn("relevance", relevance)).withColumn("relevance", F.round("relevance", 6))
+
+
+@query("landscape")
+def topical_landscape(spark, d):
+    """No SQL (the threshold's rule is picked by counts); held against the plain rules in tests/test_landscape.py."""
+    share = F.col("score") / F.sum("score").over(Window.partitionBy("paper_id"))
+    return landscape.landscape(papers(spark, d), concepts(spark, d).withColumn("score", share), methods=("promo", "small"), broad=("economy",)).withColumn("topical", F.round("topical", 6))
+
+
+@query(
+    "derived_edges",
+    sql(
+        """select 'COAUTHOR' as edge_type, a::varchar as src, b::varchar as dst, null::varchar as author_id, papers::double as weight from
+            (select x.coauthor_id as a, y.coauthor_id as b, count(*) as papers from v_authorship x join v_authorship y using (paper_id) where x.coauthor_id < y.coauthor_id group by all having count(*) >= 2) c
+            union all select 'TRAJECTORY_STEP', author_id || ':' || year_from, author_id || ':' || year_to, author_id::varchar, round(drift, 6) from v_drift where drift > 0.2
+            union all select 'AUTHOR_BRIDGE', cluster_a, cluster_b, author_id::varchar, count(*)::double from (select distinct j.author_id, year_from, year_to, x.cluster as cluster_a, y.cluster as cluster_b
+                from (select * from v_drift where drift >= 0.55 and drift > 0.2) j join v_primary x on x.author_id = j.author_id and x.year <= year_from join v_primary y on y.author_id = j.author_id and y.year >= year_to where x.cluster <> y.cluster) b group by all""",
+        PROFILE + "," + _aligned(2) + ", v_primary as (select distinct author_id, year, name as cluster from v_paper join v_concept using (paper_id) where pos = 1)",
+    ),
+)
+def derived_edges(spark, d):
+    p, c = papers(spark, d), concepts(spark, d)
+    events = trajectory.drift_events(p, c)
+    return graph.derived_edges(events.withColumn("drift", F.round("drift", 6)), trajectory.author_bridges(p, c, events), authors.coauthor_pairs(authorship(spark, d), 2))

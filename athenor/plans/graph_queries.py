@@ -161,8 +161,8 @@ def _typed(spark, d):
             when is_method or position = 'late' then 'methodological' else 'regular' end as ref_type,
             case when same_author then 'self_cite' when shared >= 3 and gap <= 3 then 'extension' when is_method or gap >= 5 then 'comparison'
             when shared between 1 and 2 then 'application' else 'regular' end as cite_type,
-            round(0.3 * ln(1 + citation_count) + 0.2 * shared + case when gap <= 2 then 0.3 when gap <= 5 then 0.2 else 0 end
-            + case position when 'early' then 0.2 when 'middle' then 0.1 else 0 end, 6) as importance from v_typed""",
+            round(0.3 * ln(1 + citation_count) + 0.2 * shared + case when gap <= 5 then 0.3 when gap >= 10 then 0.2 else 0 end
+            + case position when 'early' then 0.2 when 'late' then 0.1 else 0 end, 6) as importance from v_typed""",
         REFS,
     ),
 )
@@ -385,3 +385,24 @@ def materialization(spark, d):
     bridges = graph.bridge_diversity(_edges(spark, d), _membership(spark, d)).select("node", F.col("diversity").alias("bridge"))
     parts = relevance_parts(spark, d).join(bridges, "node", "left").withColumnRenamed("cites", "citation_count")
     return graph.materialization(parts).select("node", F.round("materialization_score", 6).alias("materialization_score"))
+
+
+@query(
+    "citation_walk",
+    f"""{WALK}, v_list as (select src, dst, ref_pos, count(*) over (partition by src) as n from (select src * 2 as src, dst * 2 + 1 as dst, ref_pos from v_ref) e where ref_pos <= 4),
+        v_hint as (select *, least(case when n >= 10 then greatest(floor(n * 0.25), 10) else floor(n * 0.25) end, 20) as k from v_list),
+        v_cites as (select *, row_number() over (partition by dst order by src) as r from (select distinct src, dst from v_edge) d)
+        select dst as paper, src as found_from, 'backward' as channel, distance + 1 as depth, case when ref_pos <= k then 'INTRO_HINT_CITES' else 'CITES' end as edge_type, case when ref_pos <= k then 2.0 else 1.0 end::double as weight
+        from v_hint join v_hop on node = src union all select src, dst, 'forward', distance + 1, 'CITES', 1.0 from v_cites join v_hop on node = dst where r <= 30""",
+)
+def citation_walk(spark, d):
+    depths = traversal.hop_distances(_edges(spark, d), _seed_nodes(spark, d)).select(F.col("node").alias("paper"), F.col("distance").alias("depth"))
+    return graph.citation_walk(_edges(spark, d), depths, most_refs=4)
+
+
+@query(
+    "citing_relevance",
+    sql("select src, dst, ref_pos, round(0.3 * ln(1 + citation_count) + 0.3 * shared + case when gap <= 2 then 0.3 when gap <= 5 then 0.2 else 0.1 end, 6) as relevance from v_typed", REFS),
+)
+def citing_relevance(spark, d):
+    return _typed(spark, d).select("src", "dst", "ref_pos", F.round(graph.citing_relevance(F.col("citation_count"), F.col("shared"), F.col("gap")), 6).alias("relevance"))

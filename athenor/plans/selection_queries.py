@@ -104,7 +104,7 @@ def trajectory_stats(spark, d):
             coalesce(list_slice(list(dst order by r) filter (r <= 10 and t <> 'self_cite'), 1, 5), []) as key_references from (
             select src, dst, t, row_number() over (partition by src order by w desc, dst, ref_pos) as r from (
                 select src, dst, ref_pos, case when same_author then 'self_cite' when (gap >= 10 or citation_count >= 100) and position = 'early' then 'foundational' when is_method or position = 'late' then 'methodological' else 'regular' end as t,
-                round(0.3 * ln(1 + citation_count) + 0.2 * shared + case when gap <= 2 then 0.3 when gap <= 5 then 0.2 else 0 end + case position when 'early' then 0.2 when 'middle' then 0.1 else 0 end, 6) as w from v_typed) x) y group by src""",
+                round(0.3 * ln(1 + citation_count) + 0.2 * shared + case when gap <= 5 then 0.3 when gap >= 10 then 0.2 else 0 end + case position when 'early' then 0.2 when 'late' then 0.1 else 0 end, 6) as w from v_typed) x) y group by src""",
         REFS,
     ),
 )
