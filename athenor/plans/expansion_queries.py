@@ -118,7 +118,7 @@ def year_summaries(spark, d):
     return landscape.year_summaries(papers(spark, d).withColumn("relevance", relevance)).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("landscape")
+@query("topical_landscape")
 def topical_landscape(spark, d):
     """No SQL (the threshold's rule is picked by counts); held against the plain rules in tests/test_landscape.py."""
     share = F.col("score") / F.sum("score").over(Window.partitionBy("paper_id"))

@@ -16,6 +16,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query, and the SQL of the same result where there is one."""
 
     def register(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
         QUERIES[name] = f
         if oracle:
             ORACLES[name] = oracle
