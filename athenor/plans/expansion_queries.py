@@ -29,7 +29,7 @@ def _listed(spark, d):
 def bucket_expansion(spark, d):
     """No SQL (order and budgets decide); held against the plain loop in tests/test_expansion.py."""
     nodes = _scored(spark, d)
-    seeds = nodes.where("is_seed").select("paper")
+    seeds = nodes.where("paper % 200 = 0").select("paper")  # papers whose id is divisible by 100
     found = expansion.bucket_expansion(_listed(spark, d), nodes.select("paper", "relevance"), seeds)
     return found.papers.withColumns({"stopped": F.lit(found.stopped), "calls": F.lit(found.calls)})
 
@@ -42,7 +42,7 @@ def alternating_expansion(spark, d):
     lines = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 2).alias("paper"), (F.col("l_suppkey") * 2 + 1).alias("author")).agg(F.min("l_linenumber").alias("at"))
     w = Window.partitionBy("paper")
     people = lead.unionByName(lines).withColumns({"pos": F.row_number().over(w.orderBy("at", "author")), "n_authors": F.count("*").over(w)}).drop("at")
-    found = expansion.alternating_expansion(_listed(spark, d), nodes.drop("is_seed", "author_id"), people, nodes.where("is_seed").select("paper"))
+    found = expansion.alternating_expansion(_listed(spark, d), nodes.drop("is_seed", "author_id"), people, nodes.where("paper % 200 = 0").select("paper"))
     return found.papers.join(found.nodes.select("paper", F.col("round").alias("entered")), "paper", "left").withColumns({"stopped": F.lit(found.stopped), "calls": F.lit(found.calls)})
 
 
