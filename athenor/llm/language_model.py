@@ -18,14 +18,16 @@ doc_id and text are not looked at, whatever their names.
 
 from __future__ import annotations
 
+import threading
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ CLASSES, MEMBERS, WIDTH, STATE = 32, 32, 12, 16
 OTHERS = MEMBERS - 1
 VOCABULARY = (CLASSES - 1) * MEMBERS
 END = 0
-HEAD, HEAD_BYTES, LONG_HEAD, LONG_BYTES, BLOCK_CHARS = 300_000, 64, 2_000, 4_096, 6 << 20
+HEAD, HEAD_BYTES, LONG_HEAD, LONG_BYTES, BLOCK_BYTES, HELD_BYTES = 300_000, 64, 2_000, 4_096, 12 << 20, 64 << 20
 WINDOW, PIECE, ROUNDS, SHARD_WORDS, RATE = 24, 960, 3, 2_000_000, 0.02
 LEAST_STREAMS, MOST_STREAMS, SCORE_STREAMS = 32, 512, 1_024
 FIXED = float(1 << 40)
@@ -48,30 +50,62 @@ def kind_of(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:]) % OTHERS
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """``kind_of`` of words by their last two bytes, as 256 times one and the other; words of one byte stand behind."""
+    pairs = (bytes([a, b]) for a in range(256) for b in range(256))
+    return np.fromiter(map(kind_of, chain(pairs, (bytes([a]) for a in range(256)))), np.int16, 257 * 256)
+
+
+def kinds_of(words: pa.BinaryArray) -> np.ndarray:
+    """``kind_of`` of each word."""
+    if not len(words):
+        return np.zeros(0, np.int16)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last = data[edges[1:] - 1].astype(np.int32)
+    pair = data[np.maximum(edges[1:] - 2, 0)].astype(np.int32) * 256 + last
+    return _kinds()[np.where(np.diff(edges) > 1, pair, 65_536 + last)]
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """``words_of`` of all texts in one row, and how many each text has."""
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+    flat, edges = split.flatten(), split.offsets.to_numpy()
+    real = pa.compute.greater(pa.compute.binary_length(flat), 0)  # white space at a text's ends leaves empty strings
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real).cast(pa.binary()), np.diff(before[edges - edges[0]])
+
+
 # ---- corpus counts -------------------------------------------------------------------------------------------------
 
 
 def word_counts(training: DataFrame, most: int = 500_000) -> DataFrame:
-    """(word, n) over all rows; tasks hand on their counts whenever they hold ``most`` words."""
+    """(word, n) over all rows; tasks add up their counts and hand them on whenever they hold more than ``most`` words or HELD_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-        for batch in (p for b in batches for p in parts(b)):
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > most:
-                    yield out()
-                    held.clear()
+        held, size, whole = [], 0, 0  # sums and new counts, their words, those in the last sum
+
+        def added() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for batch in (p for b in batches for p in parts(b, most=BLOCK_BYTES)):
+            found = words_in(batch.column(0))[0].value_counts()
+            held.append(pa.RecordBatch.from_arrays(found.flatten(), names=["word", "n"]))
+            size += len(found)
+            heavy = sum(b.nbytes for b in held) > HELD_BYTES
+            if size > whole + most or heavy:
+                table = added()
+                held, size, whole = table.to_batches(), len(table), len(table)
+                if size > most or heavy:
+                    yield from held
+                    held, size, whole = [], 0, 0
         if held:
-            yield out()
+            yield from added().to_batches()
 
     return whole_text(training).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -121,6 +155,22 @@ def start(share: np.ndarray, seed: int = 3) -> np.ndarray:
     return flat
 
 
+class Space(threading.local):
+    """Memory that one window after the other uses; fresh arrays of this size would cost page faults in every window."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(shape)
+
+
+space = Space()
+
+
 def _inputs(p: dict[str, np.ndarray]) -> list[np.ndarray]:
     """What each id adds to the reset gate, the update gate and the candidate; the gates' signs are turned for exp."""
     x = p["emb"] @ p["wx"] + p["b"]
@@ -128,32 +178,41 @@ def _inputs(p: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 
 class Recurrence:
-    """The states of one window (time, streams); at time t the first ``live[t]`` streams go on."""
+    """The states of one window (time, streams); at time t the first ``live[t]`` streams go on. Used up before the next one begins."""
 
     def __init__(self, p: dict[str, np.ndarray], inputs: list[np.ndarray], seen: np.ndarray, live: np.ndarray, h: np.ndarray) -> None:
         steps, streams = seen.shape
-        self.live = live
-        self.ar, self.az, self.n = (np.take(x, seen.ravel(), axis=0).reshape(steps, streams, STATE) for x in inputs)
-        self.inner, self.before, self.states = np.zeros_like(self.n), np.zeros_like(self.n), np.zeros_like(self.n)
-        reset, update, candidate = -p["wh"][0], -p["wh"][1], p["wh"][2]
+        self.live, self.start = live, h
+        at = seen.ravel()
+        self.ar, self.az, self.n = (np.take(x, at, axis=0, out=space(k, at.size, STATE), mode="clip").reshape(steps, streams, STATE) for k, x in zip("rzn", inputs, strict=True))
+        self.inner, self.states = space("inner", steps, streams, STATE), space("states", steps, streams, STATE)
+        self.clear(self.inner, self.states)
+        reset, update, candidate = -p["wh"][0], -p["wh"][1], p["wh"][2].copy()
+        one = np.float32(1)
         with np.errstate(over="ignore"):
             for t, k in enumerate(live.tolist()):
                 h = h[:k]
-                self.before[t, :k] = h
                 r, z, n, inner, new = self.ar[t, :k], self.az[t, :k], self.n[t, :k], self.inner[t, :k], self.states[t, :k]
                 for gate, weight in ((r, reset), (z, update)):
-                    gate += h @ weight
+                    np.matmul(h, weight, out=new)
+                    gate += new
                     np.exp(gate, out=gate)
-                    gate += 1
+                    gate += one
                     np.reciprocal(gate, out=gate)
                 np.matmul(h, candidate, out=inner)
-                n += r * inner
+                np.multiply(r, inner, out=new)
+                n += new
                 np.tanh(n, out=n)
                 np.subtract(h, n, out=new)
                 new *= z
                 new += n
                 h = new
-        self.last = h  # of the streams that go on to the end
+
+    def clear(self, *arrays: np.ndarray) -> None:
+        """Zero behind the ends of the streams."""
+        for t in range(int(np.searchsorted(-self.live, -self.ar.shape[1], side="right")), len(self.live)):
+            for x in arrays:
+                x[t, self.live[t] :] = 0
 
     def carried(self) -> np.ndarray:
         """The last state of every stream."""
@@ -164,28 +223,38 @@ class Recurrence:
         return out
 
     def back(self, p: dict[str, np.ndarray], d_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From the loss's gradient by each state: that by each step's inputs (time, streams, 3 * STATE), and that by ``wh``."""
-        r, z, n, inner, before = self.ar, self.az, self.n, self.inner, self.before
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+        """From the loss's gradient by each state: that by each step's reset gate, update gate, product and candidate (4, steps, STATE), and by ``wh``."""
+        r, z, n, inner = self.ar, self.az, self.n, self.inner
         steps, streams, _ = d_states.shape
-        gates, candidate = np.zeros((steps, streams, 3 * STATE), np.float32), np.zeros_like(n)
+        before = space("before", steps, streams, STATE)
+        before[0], before[1:] = self.start[:streams], self.states[:-1]
+        # all four are the state's gradient times a factor: by the reset gate, the update gate, the product inside, the candidate
+        by = space("by", 4, steps, streams, STATE)
+        np.subtract(before, n, out=by[1])
+        by[1] *= z
+        np.subtract(1, z, out=by[2])
+        by[1] *= by[2]
+        np.multiply(n, n, out=by[3])
+        np.subtract(1, by[3], out=by[3])
+        by[3] *= by[2]
+        np.subtract(1, r, out=by[0])
+        np.multiply(by[3], r, out=by[2])
+        by[0] *= by[2]
+        by[0] *= inner
+        self.clear(before, *by)
+        weights = np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
         dh = np.zeros((streams, STATE), np.float32)
         for t in range(steps - 1, -1, -1):
             k = int(self.live[t])
-            d = dh[:k] + d_states[t, :k]
-            dn, dz = d * to_n[t, :k], d * to_z[t, :k]
-            dr, own = dn * to_r[t, :k], dn * r[t, :k]
-            g = gates[t, :k]
-            g[:, :STATE], g[:, STATE : 2 * STATE], g[:, 2 * STATE :] = dr, dz, dn
-            candidate[t, :k] = own
+            d = dh[:k]
+            d += d_states[t, :k]
+            g = by[:, t, :k]
+            g *= d
             d *= z[t, :k]
-            d += dr @ p["wh"][0].T
-            d += dz @ p["wh"][1].T
-            d += own @ p["wh"][2].T
-            dh[:k] = d
-        flat = before.reshape(-1, STATE).T
-        by_gate = flat @ gates.reshape(-1, 3 * STATE)[:, : 2 * STATE]
-        return gates, np.stack([by_gate[:, :STATE], by_gate[:, STATE:], flat @ candidate.reshape(-1, STATE)])
+            for part in np.matmul(g[:3], weights, out=space("product", 3, k, STATE)):
+                d += part
+        rows = by.reshape(4, -1, STATE)
+        return rows, np.matmul(before.reshape(-1, STATE).T, rows[:3])
 
 
 def _exp_rows(x: np.ndarray, most: float) -> np.ndarray:
@@ -196,20 +265,21 @@ def _exp_rows(x: np.ndarray, most: float) -> np.ndarray:
 
 
 class Output:
-    """Class and member probabilities of targets behind states (n, STATE + 1)."""
+    """Class and member probabilities of targets behind states (n, STATE + 1). Used up before the next one begins."""
 
     def __init__(self, p: dict[str, np.ndarray], states: np.ndarray, target: np.ndarray) -> None:
+        n = len(target)
         group = (target // MEMBERS).astype(np.int16)
         self.order = np.argsort(group, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))]).tolist()
         self.runs = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        self.states, self.sorted = states, states[self.order]
-        self.rows, self.group, self.member = np.arange(len(target)), group, (target % MEMBERS)[self.order]
+        self.states, self.sorted = states, np.take(states, self.order, axis=0, out=space("sorted", n, STATE + 1), mode="clip")
+        self.rows, self.group, self.member = np.arange(n), group, (target % MEMBERS)[self.order]
         ones = np.ones(max(CLASSES, MEMBERS), np.float32)
         # states are within -1 and 1, so a column's absolute sum bounds its logits
-        self.classes = _exp_rows(states @ p["wc"], np.abs(p["wc"]).sum(0).max(initial=0))
+        self.classes = _exp_rows(np.matmul(states, p["wc"], out=space("classes", n, CLASSES)), np.abs(p["wc"]).sum(0).max(initial=0))
         self.class_sums = self.classes @ ones[:CLASSES]
-        members = np.empty((len(target), MEMBERS), np.float32)
+        members = space("members", n, MEMBERS)
         for c, a, b in self.runs:
             np.matmul(self.sorted[a:b], p["ww"][c], out=members[a:b])
         self.members = _exp_rows(members, np.abs(p["ww"]).sum(1).max(initial=0))
@@ -223,44 +293,63 @@ class Output:
 
     def back(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> np.ndarray:
         """Adds the mean loss's gradients to ``g``; gives that by the states."""
-        share = np.float32(1 / max(1, len(self.rows)))
+        n = len(self.rows)
+        share = np.float32(1 / max(1, n))
         for x, sums, want in ((self.classes, self.class_sums, self.group), (self.members, self.member_sums, self.member)):
             x *= (share / sums)[:, None]
             x[self.rows, want] -= share
         np.matmul(self.states.T, self.classes, out=g["wc"])
-        inner = np.empty((len(self.rows), STATE), np.float32)
+        inner = space("inner gradient", n, STATE)
         for c, a, b in self.runs:
             np.matmul(self.sorted[a:b].T, self.members[a:b], out=g["ww"][c])
             np.matmul(self.members[a:b], p["ww"][c, :STATE].T, out=inner[a:b])
-        out = self.classes @ p["wc"][:STATE].T
+        out = np.matmul(self.classes, p["wc"][:STATE].T, out=space("state gradient", n, STATE))
         out[self.order] += inner
         return out
 
 
 def _with_one(states: np.ndarray) -> np.ndarray:
-    out = np.ones((len(states), STATE + 1), np.float32)
+    out = space("with one", len(states), STATE + 1)
     out[:, :STATE] = states
+    out[:, STATE] = 1
     return out
 
 
+def _taken(x: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+    """The states (n, STATE) of the given steps of all streams; without steps, all."""
+    flat = x.reshape(-1, STATE)
+    return flat if at is None else flat[at]
+
+
+def _real(live: np.ndarray, streams: int) -> np.ndarray | None:
+    """Which of (time, streams) are in a sequence; None: all."""
+    return None if live[-1] == streams else np.flatnonzero(np.arange(streams) < live[:, None])
+
+
 def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Gradient of the mean loss of one window (time, streams), cut at its beginning; every stream's state behind it; the loss."""
     whole = np.zeros_like(flat)
     p, g = views(flat), views(whole)
     run = Recurrence(p, _inputs(p), seen, live, h)
-    real = np.arange(seen.shape[1]) < live[:, None]
-    output = Output(p, _with_one(run.states[real]), target[real])
+    real = _real(live, seen.shape[1])
+    output = Output(p, _with_one(_taken(run.states, real)), target.ravel() if real is None else target.ravel()[real])
     loss = -float(output.logs().mean())
-    d_states = np.zeros_like(run.states)
-    d_states[real] = output.back(p, g)
-    gates, g["wh"][:] = run.back(p, d_states)
-    flat_gates, ids = gates[real], seen[real]
-    order = np.argsort(ids.astype(np.int16), kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    sums = np.add.reduceat(flat_gates[order], first)
-    g["emb"][ids[first]] = sums @ p["wx"].T
-    g["wx"][:], g["b"][:] = p["emb"][ids[first]].T @ sums, sums.sum(0)
+    d_states = output.back(p, g)
+    if real is not None:
+        by_real, d_states = d_states, space("by all", seen.size, STATE)
+        d_states[:] = 0
+        d_states[real] = by_real
+    by, g["wh"][:] = run.back(p, d_states.reshape(run.states.shape))
+    ids, ones = seen.ravel(), np.ones(seen.size, np.float32)  # steps behind a stream's end add zeros
+    seen_emb = np.take(p["emb"], ids, axis=0, out=space("seen", seen.size, WIDTH), mode="clip").T
+    by_emb = np.zeros((WIDTH, seen.size), np.float32)
+    for at, part in zip(range(0, 3 * STATE, STATE), (by[0], by[1], by[3]), strict=True):
+        of = slice(at, at + STATE)
+        by_emb += p["wx"][:, of] @ part.T
+        np.matmul(seen_emb, part, out=g["wx"][:, of])
+        np.matmul(ones, part, out=g["b"][of])
+    for i, row in enumerate(by_emb):
+        g["emb"][:, i] = np.bincount(ids, row, minlength=CLASSES * MEMBERS)
     return whole, run.carried(), loss
 
 
@@ -321,9 +410,11 @@ def score_ids(flat: np.ndarray, documents: list[np.ndarray], streams: int = SCOR
             ids, live = _window(sequences, w, sizes)
             run = Recurrence(p, inputs, ids[:-1], live, h[: live[0]])
             h = run.carried()
-            times, places = np.nonzero(np.arange(ids.shape[1]) < live[:, None])
-            logs = Output(p, _with_one(run.states[times, places]), ids[1:][times, places]).logs()
-            sums[: live[0]] += np.bincount(places, logs, minlength=live[0])
+            real = _real(live, ids.shape[1])
+            target = ids[1:].ravel()
+            logs = Output(p, _with_one(_taken(run.states, real)), target if real is None else target[real]).logs()
+            places = np.tile(np.arange(live[0]), len(live))
+            sums[: live[0]] += np.bincount(places if real is None else places[real], logs, minlength=live[0])
         out[part] = sums / LN10
     return out
 
@@ -332,35 +423,29 @@ def score_ids(flat: np.ndarray, documents: list[np.ndarray], streams: int = SCOR
 
 
 class Words:
-    """The words of the head as tables: a word's place, its id for the network, and log10 of its count and one."""
+    """The words of the head as tables: a word's place, and log10 of its count and one."""
 
     def __init__(self, head: dict[bytes, int]) -> None:
-        self.place = dict(zip(head, range(len(head)), strict=True)).get
-        self.ids = np.array([i + MEMBERS if i < VOCABULARY else kind_of(w) for i, w in enumerate(head)], np.int16)
+        self.head = pa.array(list(head), pa.binary())
         self.share = np.log10(np.array(list(head.values()), np.float64) + 1)
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Place in the head (-1: elsewhere) and id of each word, and the words that are not in the head."""
-        place = np.fromiter(map(self.place, words, repeat(-1)), np.int32, len(words))
-        outside = np.flatnonzero(place < 0)
-        rest = [words[i] for i in outside.tolist()]
-        ids = self.ids[place] if len(self.ids) else np.zeros(len(place), np.int16)
-        ids[outside] = np.fromiter(map(kind_of, rest), np.int16, len(rest))
-        return place, ids, rest
+    def read(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the head (-1: elsewhere) and id for the network of each word."""
+        place = pa.compute.fill_null(pa.compute.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
+        return place, np.where((place >= 0) & (place < VOCABULARY), place + MEMBERS, kinds_of(words)).astype(np.int16)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
-    """Rows of all batches in blocks of about BLOCK_CHARS characters of a text column."""
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of all batches in blocks of about BLOCK_BYTES of a text column."""
     held, size = [], 0
-    for batch in (p for b in batches for p in parts(b, column)):
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.append(row)
-            size += len(row[column])
-            if size > BLOCK_CHARS:
-                yield held
-                held, size = [], 0
+    for batch in (p for b in batches for p in parts(b, column, BLOCK_BYTES)):
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size > BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
     if held:
-        yield held
+        yield pa.concat_batches(held)
 
 
 def _pieces(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
@@ -373,16 +458,14 @@ def _pieces(training: DataFrame, head: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in (p for b in batches for p in parts(b)):
-            data = [text.encode("utf-8", "replace").lower() for text in batch.column(1).to_pylist()]
-            split = [d.split() for d in data]
-            counts = np.array([len(w) for w in split])
+            split, counts = words_in(batch.column(1))
             stream = np.full(int(counts.sum()) + 2 * len(counts), END, np.int16)  # every document between two ends
-            stream[np.arange(counts.sum()) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = words.read(list(chain.from_iterable(split)))[1]
+            stream[np.arange(counts.sum()) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = words.read(split)[1]
             owners, places, turns, sizes, out, at = [], [], [], [], [], 0
-            for doc_id, d, n in zip(batch.column(0).to_pylist(), data, counts.tolist(), strict=True):
+            for doc_id, text, n in zip(batch.column(0).to_pylist(), pa.compute.ascii_lower(batch.column(1)).cast(pa.binary()), counts.tolist(), strict=True):
                 cuts = range(0, n + 1, PIECE)
                 owners += [doc_id] * len(cuts)
-                places += [zlib.crc32(d)] * len(cuts)
+                places += [zlib.crc32(text.as_buffer())] * len(cuts)
                 turns += range(len(cuts))
                 for cut in cuts:
                     out.append(stream[at + cut : at + min(cut + PIECE, n + 1) + 1])
@@ -452,26 +535,24 @@ def _score_rows(docs: DataFrame, counts: Counts, flat: np.ndarray) -> DataFrame:
         mass_of[1:MEMBERS] = masses
         names = [c.split()[0] for c in SCORED.split(", ")]
         for rows in _blocks(batches, 2):
-            at: dict[str, int] = {}
-            which = pa.array([at.setdefault(text, len(at)) for *_, text in rows])  # equal texts are scored once
-            split = [words_of(text) for text in at]
-            sizes = np.array([len(w) for w in split])
-            place, ids, rest = words.read(list(chain.from_iterable(split)))
-            doc = np.repeat(np.arange(len(split)), sizes)
+            texts = rows.column(2).dictionary_encode()  # equal texts are scored once
+            split, sizes = words_in(texts.dictionary)
+            place, ids = words.read(split)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             share = np.where(place >= 0, words.share[place], 0.0) if len(words.share) else np.zeros(len(place))
             other = (ids < MEMBERS) & (place >= 0)
 
-            def sums(weights: np.ndarray, doc=doc, n=len(split)) -> np.ndarray:
-                return np.bincount(doc, weights, minlength=n)
+            def sums(weights: np.ndarray, doc=doc, n=len(sizes)) -> np.ndarray:
+                return np.bincount(doc, weights, minlength=n).astype(np.float64)  # without any word bincount gives integers
 
-            outside = np.bincount(doc[place < 0], minlength=len(split))
+            outside = np.bincount(doc[place < 0], minlength=len(sizes))
             edges = np.concatenate([[0], np.cumsum(sizes)])
             network = score_ids(flat, [np.append(ids[a:b], np.int16(END)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
             each = [
                 pa.array(sizes + 1, pa.int64()), pa.array(sums(mass_of[ids])), pa.array(sizes - outside + (documents > 0), pa.int64()), pa.array(sums(share) + end), pa.array(sums(share * other)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outside)]).astype(np.int32)), pa.array(rest, pa.binary())), pa.array(network),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outside)]).astype(np.int32)), split.filter(pa.array(place < 0))), pa.array(network),
             ]
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(c.take(which) for c in each)]
+            cols = [rows.column(0), rows.column(1), *(c.take(texts.indices) for c in each)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     source = whole_text(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long")), "row", "doc_id")

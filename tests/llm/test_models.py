@@ -2,9 +2,11 @@
 
 import collections
 import math
+import resource
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from athenor.llm import html_crf, language_model, quality, toxicity
@@ -95,6 +97,46 @@ def test_rare_words_beyond_the_head_come_by_the_join(spark, monkeypatch):
     assert all(math.isclose(whole[i].base_score, few[i].base_score, rel_tol=1e-9) and whole[i].n_known == few[i].n_known for i in whole)
 
 
+def test_language_model_on_parts_without_any_word(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " \t\n")], "doc_id long, text string").coalesce(1)
+    got = language_model.language_model(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 1), (2, 1), (3, 1)] and all(r.score <= 0 for r in got)
+
+
+def test_words_and_kinds_of_whole_columns():
+    texts = [" Ab\x0bC\x0c ", "", "x", "a\x1cB\x85c\xa0d\u2003\u00c9 \u00e9", "\x00 \x00\x00", " \n", "aZ" * 40_000]
+    for column in (pa.array(texts), pa.array(["other words", *texts, "behind"]).slice(1, len(texts))):
+        words, sizes = language_model.words_in(column)
+        assert words.to_pylist() == [w for t in texts for w in language_model.words_of(t)] and sizes.tolist() == [len(language_model.words_of(t)) for t in texts]
+        for part in (words, words.slice(2)):
+            assert language_model.kinds_of(part).tolist() == [language_model.kind_of(w) for w in part.to_pylist()]
+    assert len(language_model.kinds_of(pa.array([], pa.binary()))) == 0
+
+
+def test_counts_handed_on_early_add_up(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(50))) for i in range(80)], "doc_id long, text string")
+    whole, early = ({bytes(r.word): r.n for r in language_model.word_counts(docs, most).collect()} for most in (500_000, 3))
+    assert whole == early == collections.Counter(w for r in docs.collect() for w in language_model.words_of(r.text))
+
+
+def test_windows_use_the_same_memory_again():
+    rng = np.random.default_rng(6)
+    flat = language_model.start(rng.random(language_model.CLASSES * language_model.MEMBERS))
+    pieces = [rng.integers(0, 900, 24 * 8 + 1) for _ in range(512)]
+
+    def faults(f):
+        f()  # has the memory from here on
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        f()
+        return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before
+
+    ids = np.ascontiguousarray(np.array(pieces).T)
+    live, h = np.full(language_model.WINDOW, len(pieces)), np.zeros((len(pieces), language_model.STATE), np.float32)
+    windows = range(0, 24 * 8, language_model.WINDOW)
+    # six arrays of 200 pages each are made for the recurrence of one such window alone
+    assert faults(lambda: [language_model.gradient(flat, ids[w : w + 24], ids[w + 1 : w + 25], live, h) for w in windows]) < 600 * len(windows)
+
+
 def test_network_is_a_distribution():
     rng = np.random.default_rng(0)
     ids = np.arange(language_model.CLASSES * language_model.MEMBERS)
