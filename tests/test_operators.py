@@ -197,3 +197,23 @@ def test_input_types_and_methods(spark):
     assert [r.k for r in got] == ["doi", "doi", "doi", "openalex", "arxiv", "pmid", "url", "title", "title"]
     titles = spark.createDataFrame([("A Software for x",), ("BLAST: searching",), (None,)], "s string")
     assert [r[0] for r in titles.select(matching.is_methodology(F.col("s"))).collect()] == [True, False, False]
+
+
+def test_shares_do_not_depend_on_the_order_of_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(a, y, f"c{k}", w / 7) for a in range(60) for y in (2000, 2001) for k, w in enumerate(rng.sample(range(1, 90), 8))]
+    want = None
+    for _ in range(3):
+        rng.shuffle(rows)
+        found = trajectory.aligned(spark.createDataFrame(rows, "author_id int, year int, concept string, weight double").repartition(3), 2)
+        got = sorted(map(tuple, found.collect()))
+        assert want in (None, got)
+        want = got
+    for a in range(60):
+        weights = sorted((w for b, y, _, w in rows if (b, y) == (a, 2000)), reverse=True)
+        whole = 0.0
+        for w in weights:
+            whole += w
+        assert sorted(r[4] for r in want if r[0] == a and r[4]) == sorted(w / whole for w in weights)
