@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenor.functions.exprs import gap_score, tokens
+from athenor.functions.ranks import running
 from athenor.functions.storage import bounded, materialize
 from athenor.params import DEFAULT, GENERIC_CONCEPTS, STOP_WORDS, Params
 
@@ -17,6 +18,9 @@ from athenor.params import DEFAULT, GENERIC_CONCEPTS, STOP_WORDS, Params
 #: Concept names that may all be paired with each other: some ten million pairs.
 MOST_NAMES = 5_000
 
+#: Authors and concepts of a block that one task compares with another; of these, TILE by TILE authors over COLUMNS concepts at a time.
+BLOCK, ENTRIES, TILE, COLUMNS = 8_192, 2_000_000, 1_024, 4_096
+
 
 def without_generic(concepts: DataFrame, name: str = "name", extra: tuple[str, ...] = ()) -> DataFrame:
     """Leaves out general and very short concept names."""
@@ -160,24 +164,107 @@ def class_gaps(concepts: DataFrame, first: Column, second: Column, most_joint: i
     return grid.where("method <> domain").join(both, ["method", "domain"], "left").fillna(0, ["joint"]).where(F.col("joint") <= most_joint).withColumn("score", score)
 
 
+def _blocks(sets: DataFrame) -> DataFrame:
+    """(block, a, k, m, c) of sets(block, i, k, c): arrays of a block's authors, their sizes, how many concepts follow for each, and these concepts."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        a, first, m = np.unique(rows["i"].to_numpy(np.int64), return_index=True, return_counts=True)
+        parts = {"a": a, "k": rows["k"].to_numpy(np.int64)[first], "m": m.astype(np.int64), "c": rows["c"].to_numpy(np.int32)}
+        return pd.DataFrame({"block": rows["block"].iloc[:1].tolist(), **{x: [v.tobytes()] for x, v in parts.items()}})
+
+    return sets.groupBy("block").applyInPandas(pack, "block int, a binary, k binary, m binary, c binary")
+
+
+def _first(at: np.ndarray, by: list[np.ndarray], top: int) -> np.ndarray:
+    """The first ``top`` of the rising places ``at`` by the falling values ``by``, then by place."""
+    chosen = []
+    for values in by:
+        if len(at) <= top:
+            break
+        v = values[at]
+        least = np.partition(v, len(v) - top)[len(v) - top]
+        chosen.append(at[v > least])
+        at, top = at[v == least], top - len(chosen[-1])
+    return np.concatenate([*chosen, at[:top]])
+
+
+def _first_pairs(left: tuple, right: tuple, met: np.ndarray, shared: int, overlap: float, top: int) -> np.ndarray:
+    """Rows (a, b, shared, overlap): the first ``top`` pairs a < b of two blocks by falling overlap and shared, then a and b, without those of ``met`` (a, b).
+
+    TILE authors of one block meet TILE of the other in a product of matrices over the concepts that both tiles have.
+    """
+
+    def tiles(a: np.ndarray, k: np.ndarray, m: np.ndarray, c: np.ndarray) -> list[tuple]:
+        ends = np.concatenate([[0], np.cumsum(m)])
+        return [(a[x : x + TILE], k[x : x + TILE], m[x : x + TILE], c[ends[x] : ends[min(x + TILE, len(a))]]) for x in range(0, len(a), TILE)]
+
+    def matrix(m: np.ndarray, c: np.ndarray, names: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(names, c), len(names) - 1)
+        here = names[at] == c
+        out = np.zeros((len(m), len(names)), np.float32)
+        out[np.repeat(np.arange(len(m)), m)[here], at[here]] = 1
+        return out
+
+    best = np.zeros((0, 4))
+    met = met[np.argsort(met[:, 0], kind="stable")]
+    for a, ka, ma, ca in tiles(*left):
+        known, near = np.unique(ca), met[np.searchsorted(met[:, 0], a[0]) : np.searchsorted(met[:, 0], a[-1], "right")]
+        for b, kb, mb, cb in tiles(*right):
+            if b[-1] <= a[0]:
+                continue
+            both, names = np.zeros((len(a), len(b)), np.float32), np.intersect1d(known, cb)
+            for x in range(0, len(names), COLUMNS):
+                both += matrix(ma, ca, names[x : x + COLUMNS]) @ matrix(mb, cb, names[x : x + COLUMNS]).T
+            part = both / np.maximum(ka[:, None], kb[None, :]).astype(np.float64)
+            good = (both >= shared) & (part > overlap)
+            if len(best) == top:  # only what can come before the last one so far
+                last, _, n, r = best[-1]
+                good &= (part > r) | ((part == r) & ((both >= n) if a[0] <= last else (both > n)))
+            if b[0] <= a[-1]:
+                good &= b[None, :] > a[:, None]
+            out = near[(near[:, 1] >= b[0]) & (near[:, 1] <= b[-1])]
+            good[np.searchsorted(a, out[:, 0]), np.searchsorted(b, out[:, 1])] = False
+            at = _first(np.flatnonzero(good), [part.ravel(), both.ravel()], top)
+            if len(at):
+                x, y = np.divmod(at, len(b))
+                rows = np.concatenate([best, np.stack([a[x], b[y], both.ravel()[at], part.ravel()[at]], axis=1)])
+                best = rows[np.lexsort((rows[:, 1], rows[:, 0], -rows[:, 2], -rows[:, 3]))][:top]
+    return best
+
+
 def author_gaps(author_concepts: DataFrame, coauthors: DataFrame, shared: int = 2, overlap: float = 0.3, top: int = 50) -> DataFrame:
     """Authors a < b that never wrote together but share concepts: author_concepts(author, concept), coauthors(a, b).
 
-    Authors with enough in common share one of the rarest concepts of both (all but as many as they may miss), so pairs come from
-    a join over those; then the whole sets are compared.
+    Every author may meet every other one, so all pairs are compared, but none is a row before it is among the first: authors are numbered in order and cut into
+    blocks, each pair of blocks is one group, and a group gives its first ``top`` pairs. The work is the square of the authors, the shuffle
+    the concepts once for each block.
     """
-    own = author_concepts.distinct()
-    frequency = own.groupBy("concept").agg(F.count("*").alias("m"))
-    order = Window.partitionBy("author").orderBy("m", "concept")
-    ranked = own.join(frequency, "concept").withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("author")))
-    need = F.greatest(F.lit(shared), F.floor(F.col("k") * overlap - 1e-9) + 1)
-    rare = ranked.where(F.col("r") <= F.col("k") - need + 1).select("concept", "author")
-    pairs = rare.toDF("concept", "a").join(rare.toDF("concept", "b"), "concept").where("a < b").select("a", "b").distinct()
-    free = pairs.join(coauthors.select("a", "b"), ["a", "b"], "left_anti")
-    common = free.join(own.toDF("a", "concept"), "a").join(own.toDF("b", "concept"), ["b", "concept"]).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
-    sizes = own.groupBy("author").agg(F.count("*").alias("k"))
-    out = common.join(sizes.toDF("a", "ka"), "a").join(sizes.toDF("b", "kb"), "b").withColumn("overlap", F.col("shared") / F.greatest("ka", "kb"))
-    return out.where(F.col("overlap") > overlap).orderBy(F.desc("overlap"), F.desc("shared"), "a", "b").limit(top).select("a", "b", "shared", "overlap")
+    own = materialize(author_concepts.distinct(), "own")
+    sizes = own.where("author is not null").groupBy("author").agg(F.count("*").alias("k"))
+    sizes = materialize(running(sizes, [F.col("author")], F.lit(1), "i").select("author", "k", "i"), "sizes")
+    width = min(BLOCK, max(TILE // 4, -(-sizes.count() // 12)))  # at least 78 pairs of blocks where there are authors enough
+    weight = F.greatest(F.col("k"), F.lit(-(-ENTRIES // width)))  # so many authors in a block at most, with about ENTRIES concepts at most
+    placed = running(sizes, [F.col("i")], weight, "upto").withColumn("block", F.floor(F.col("upto") / ENTRIES).cast("int"))
+    placed = materialize(placed.select("author", "k", "i", "block"), "placed")
+    names = running(own.select("concept").where("concept is not null").distinct(), [F.col("concept")], F.lit(1), "c").select("concept", "c")
+    blocks = materialize(_blocks(own.join(placed, "author").join(names, "concept").select("block", "i", "k", "c")), "blocks")
+    last = blocks.agg(F.max("block")).first()[0] or 0
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"))))
+    sides = blocks.select(pair.alias("t"), "block", "a", "k", "m", "c").select("t.*", "block", "a", "k", "m", "c")
+    ends = [placed.select(F.col("author").alias(x), F.col("i").alias(f"i{x}"), F.col("block").alias(y)) for x, y in (("a", "p"), ("b", "q"))]
+    met = coauthors.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("p", "q", "ia", "ib").distinct()
+
+    def compare(both: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        parts = [[np.frombuffer(r[x], np.int32 if x == "c" else np.int64) for x in ("a", "k", "m", "c")] for r in both.sort_values("block").to_dict("records")]
+        whole = len(parts) and (len(parts) == 2 or both["p"].iloc[0] == both["q"].iloc[0])
+        rows = _first_pairs(parts[0], parts[-1], met[["ia", "ib"]].to_numpy(np.int64).reshape(-1, 2), shared, overlap, top) if whole else np.zeros((0, 4))
+        return pd.DataFrame(rows, columns=["ia", "ib", "shared", "overlap"]).astype({x: np.int64 for x in ("ia", "ib", "shared")})
+
+    found = sides.groupBy("p", "q").cogroup(met.groupBy("p", "q")).applyInPandas(compare, "ia long, ib long, shared long, overlap double")
+    found = materialize(found.orderBy(F.desc("overlap"), F.desc("shared"), "ia", "ib").limit(top), "first")  # so few rows
+    named = F.broadcast(found).join(ends[0].drop("p"), "ia").join(ends[1].drop("q"), "ib")
+    return named.orderBy(F.desc("overlap"), F.desc("shared"), "a", "b").select("a", "b", "shared", "overlap")
 
 
 def pair_bridges(concepts: DataFrame, pairs: DataFrame, top: int = 20) -> DataFrame:

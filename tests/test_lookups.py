@@ -259,3 +259,34 @@ def test_circuit_breaker_and_observed_duplicates(spark, tmp_path):
     df = spark.createDataFrame([(1,), (1,), (None,)], "id int")
     df.observe(seen, insights.F.count("*").alias("rows")).count()
     assert seen.get["rows"] == 3 and garden.counted_duplicates(df, "id").dropDuplicates(["id"]).count() == 2
+
+
+def test_author_gaps_over_many_blocks_by_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(topics, "TILE", 8)
+    monkeypatch.setattr(topics, "COLUMNS", 3)
+    rng = random.Random(8)
+    own = {f"n{a:03}": set(rng.choices("abcdefghijkl", k=rng.choice((1, 4, 30)))) for a in range(90)}
+    met = {(a, b) for a in own for b in own if a < b and rng.random() < 0.3}
+    table = spark.createDataFrame([(a, c) for a, s in own.items() for c in s] + [("n000", None), (None, "a")], "author string, concept string")
+    sizes = {a: len(s) + (a == "n000") for a, s in own.items()}
+    pairs = [(a, b, len(own[a] & own[b]), len(own[a] & own[b]) / max(sizes[a], sizes[b])) for a in own for b in own if a < b and (a, b) not in met]
+    want = sorted((w for w in pairs if w[2] >= 2 and w[3] > 0.3), key=lambda w: (-w[3], -w[2], w[0], w[1]))
+    for top in (5, 60, 10_000):
+        assert [tuple(r) for r in topics.author_gaps(table, spark.createDataFrame(sorted(met), "a string, b string"), top=top).collect()] == want[:top]
+
+
+def test_author_gaps_make_no_row_of_a_pair(spark):
+    def most(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(most, inner)])
+
+    own = spark.range(700).crossJoin(spark.range(30).toDF("c")).toDF("author", "concept")
+    found = topics.author_gaps(own, spark.createDataFrame([(0, 1)], "a long, b long"), top=3)
+    query = found._jdf.queryExecution()
+    rows = query.executedPlan().executeCollectPublic()
+    assert len(rows) == 3 and [tuple(r) for r in found.collect()] == [(0, 2, 30, 1.0), (0, 3, 30, 1.0), (0, 4, 30, 1.0)]
+    assert most(query.executedPlan()) < 30_000  # of 244,650 pairs that share 30 concepts each
