@@ -106,3 +106,30 @@ def test_capacity_is_a_fixed_point_that_loses_nothing_protected(spark):
     assert len(wanted[0]) <= 30 and len(wanted[1]) <= 35 and {0, 1, 2, 7, 11, 12} <= wanted[0]
     with pytest.raises(ValueError, match="protected nodes"):
         capacity.within_capacity(*frames, Params(graph_nodes=5, graph_edges=35))
+
+
+def test_titles_are_looked_up_without_moving_the_pieces_of_texts(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    words = ["Größe", "a", "of", "deep", "learning", "𝔘nit", "graph", "networks", "aaaaaaaaaaaa", "İstanbul"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(1, 40))) if i % 9 else None) for i in range(120)]
+    titles = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)] + ["", None, "x", "not there at all"]
+    frames = spark.createDataFrame([(t,) for t in titles], "title string"), spark.createDataFrame(texts, "id int, text string").repartition(5)
+    low = dict(spark.createDataFrame([(t, ) for t in {*titles, *(x for _, x in texts)} if t], "t string").selectExpr("t", "lower(t)").collect())
+    want = sorted({(low[t], i) for t in titles if t for i, x in texts if x and low[t] in low[x]})
+    found = containment.contained(*frames)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(containment, "ASKED", 0)  # the shuffled way gives the same
+    assert sorted(map(tuple, containment.contained(*frames).collect())) == want
+
+    monkeypatch.setattr(containment, "CHARACTERS", 11)  # texts cut anywhere lose no window
+    known = np.unique([containment._hashes(containment._codes(p), len(p))[0] for p in ("deep", "learning", "a")])
+    marks = np.zeros(1 << containment.BITS, bool)
+    marks[known >> np.uint64(64 - containment.BITS)] = True
+    lines = [low[x] for _, x in texts if x]
+    got = {(i, known[p]) for at, piece in containment._places(lines, [1, 4, 8], known, marks) for i, p in zip(at.tolist(), piece.tolist(), strict=True)}
+    assert got == {(i, containment._hashes(containment._codes(p), len(p))[0]) for i, x in enumerate(lines) for p in ("deep", "learning", "a") if p in x}

@@ -290,3 +290,23 @@ def test_author_gaps_make_no_row_of_a_pair(spark):
     rows = query.executedPlan().executeCollectPublic()
     assert len(rows) == 3 and [tuple(r) for r in found.collect()] == [(0, 2, 30, 1.0), (0, 3, 30, 1.0), (0, 4, 30, 1.0)]
     assert most(query.executedPlan()) < 30_000  # of 244,650 pairs that share 30 concepts each
+
+
+def test_first_pairs_of_blocks_tile_by_tile(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(topics, "TILE", 7)
+    monkeypatch.setattr(topics, "COLUMNS", 3)
+    rng = random.Random(9)
+    own = {a: sorted(rng.sample(range(12), rng.choice((2, 5, 12)))) for a in range(50)}
+    met = np.array([(a, b) for a in own for b in own if a < b and rng.random() < 0.2])
+    block = lambda some: (np.array(some), np.array([len(own[a]) for a in some]), np.array([len(own[a]) for a in some]), np.array([c for a in some for c in own[a]], np.int32))
+    for left, right in ((range(50), range(50)), (range(23), range(23, 50))):
+        inside = {(a, b) for a in left for b in right if a < b}
+        pairs = [(a, b, len({*own[a]} & {*own[b]}), len({*own[a]} & {*own[b]}) / max(len(own[a]), len(own[b]))) for a, b in inside - set(map(tuple, met.tolist()))]
+        want = sorted((w for w in pairs if w[2] >= 2 and w[3] > 0.3), key=lambda w: (-w[3], -w[2], w[0], w[1]))
+        some = np.array([m for m in met.tolist() if tuple(m) in inside])
+        for top in (1, 4, 30, 5_000):
+            assert list(map(tuple, topics._first_pairs(block(list(left)), block(list(right)), some, 2, 0.3, top).tolist())) == want[:top]
