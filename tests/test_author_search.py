@@ -133,3 +133,19 @@ def test_titles_are_looked_up_without_moving_the_pieces_of_texts(spark, monkeypa
     lines = [low[x] for _, x in texts if x]
     got = {(i, known[p]) for at, piece in containment._places(lines, [1, 4, 8], known, marks) for i, p in zip(at.tolist(), piece.tolist(), strict=True)}
     assert got == {(i, containment._hashes(containment._codes(p), len(p))[0]) for i, x in enumerate(lines) for p in ("deep", "learning", "a") if p in x}
+
+
+def test_what_is_protected_stays_beyond_the_capacity_if_not_strict(spark):
+    rng = random.Random(7)
+    nodes = [(n, round(rng.random(), 3), rng.randrange(3) / 4, n % 3 == 0, n == 7, n == 11) for n in range(60)]
+    edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(9), rng.random() < 0.02) for _ in range(700)]
+    frames = spark.createDataFrame(nodes, "node int, score double, age_hours double, is_seed boolean, is_pinned boolean, is_portal boolean").repartition(3), spark.createDataFrame(edges, "src int, dst int, weight int, is_pinned boolean")
+    safe = {n for n, _, _, *flags in nodes if any(flags)}
+    kept, strong = capacity.within_capacity(*frames, Params(graph_nodes=5, graph_edges=3), strict=False)
+    assert {r.node for r in kept.collect()} == safe
+    assert {(r.src, r.dst) for r in strong.collect()} == {(s, d) for s, d, *_ in edges if s != d and s in safe and d in safe}
+    for p in (Params(graph_nodes=40, graph_edges=3), Params(graph_nodes=5, graph_edges=10_000)):
+        kept, strong = capacity.within_capacity(*frames, p, strict=False)
+        held = [e for e in strong.collect() if e.is_protected]
+        wide = Params(graph_nodes=max(p.graph_nodes, len(safe)), graph_edges=max(p.graph_edges, len(held)))
+        assert ({r.node for r in kept.collect()}, {(r.src, r.dst) for r in strong.collect()}) == plain_capacity(nodes, edges, wide)
