@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from athenor.functions.ranks import running
+from athenor.functions.storage import materialize
 from athenor.params import DEFAULT, Params
 
+#: Papers with up to so many concepts more than they must share meet over groups of JOINT concepts.
+LONGER, JOINT = 10, 3
+
+#: Papers of the same concepts that one task pairs with seeds, about.
+ALIKE = 50_000
+
 #: Words that make a concept a method or an organism.
 METHOD_FACETS = ("method", "algorithm", "technique", "analysis", "model", "simulation")
 ORGANISM_FACETS = ("human", "mouse", "bacteria", "virus", "plant", "yeast", "cell")
@@ -51,26 +59,50 @@ def combine_seeds(lists: DataFrame, most: int = 20) -> DataFrame:
     return lists.withColumn("key", key).withColumn("_r", F.row_number().over(rank)).where("_r = 1").orderBy("list", "position").limit(most).drop("_r")
 
 
-def _sharing(concepts: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
-    """(seed, paper_id) that have ``least`` concepts in common.
+def _kinds(concepts: DataFrame, seeds: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seed, own), (own, kind, slot), (paper_id, kind, slot): a join of the three gives each seed the papers that have ``least`` concepts in common with it.
 
-    A paper that shares so many has one of the seed's k - least + 1 rarest ones, so only those are joined; the rest is counted for what they find.
+    Papers with the same concepts are of one kind, and only kinds are compared; a kind's papers are dealt to slots of about ALIKE. With all concepts in one order,
+    rarest first, two kinds with so many in common have JOINT of them (or ``least``) among the first k - least + JOINT of each. Kinds with at most LONGER concepts more than ``least`` meet over every group of JOINT of these, 286 at most; where one of the two has more concepts
+    they meet over single ones, the first k - least + 1 of each. What meets is counted on the whole sets.
     """
-    own = concepts.select("paper_id", "name").distinct()
-    frequency = own.groupBy("name").agg(F.count("*").alias("n"))
-    of_seeds = own.join(seeds.select("paper_id"), "paper_id", "left_semi").withColumnRenamed("paper_id", "seed")
-    order = Window.partitionBy("seed").orderBy("n", "name")
-    ranked = of_seeds.join(frequency, "name").withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("seed")))
-    rare = ranked.where(F.col("r") <= F.col("k") - least + 1).select("seed", "name")
-    found = rare.join(own, "name").where("seed <> paper_id").select("seed", "paper_id").distinct()
-    both = found.join(of_seeds, "seed").join(own, ["paper_id", "name"])
-    return both.groupBy("seed", "paper_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("seed", "paper_id")
+    own = materialize(concepts.select("paper_id", "name").where("name is not null").distinct(), "own")
+    numbers = running(own.groupBy("name").agg(F.count("*").alias("n")), [F.col("n"), F.col("name")], F.lit(1), "number").select("name", "number")
+    sets = own.join(numbers, "name").groupBy("paper_id").agg(F.array_sort(F.collect_list("number")).alias("set")).where(F.size("set") >= least)
+    sets = materialize(sets, "sets")
+    slots = (1 + F.floor(F.count("*") / ALIKE)).cast("int")  # a kind of many papers is dealt out
+    kinds = materialize(sets.groupBy("set").agg(slots.alias("slots")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    members = materialize(sets.join(kinds, "set").select("paper_id", "kind", F.pmod(F.xxhash64("paper_id"), F.col("slots")).cast("int").alias("slot")), "members")
+    of_seeds = materialize(members.join(seeds.select("paper_id").distinct(), "paper_id", "left_semi").select(F.col("paper_id").alias("seed"), F.col("kind").alias("own")), "seeds")
+    asking = materialize(kinds.join(of_seeds.select(F.col("own").alias("kind")).distinct(), "kind", "left_semi").select(F.col("kind").alias("own"), "set"), "asking")
+    joint, short = max(min(JOINT, least), 1), F.size("set") <= least + LONGER
+    first = lambda n: F.slice("set", F.lit(1), F.size("set") - least + n)
+    groups = F.transform(first(joint), lambda x: F.array(x))
+    for _ in range(joint - 1):
+        groups = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(first(joint), lambda x: x > F.element_at(g, -1)), lambda x: F.concat(g, F.array(x)))))
+    hashes = F.transform(groups, lambda g: F.xxhash64(g))  # equal groups have equal ones; what else meets is not counted in the end
+
+    def met(keys: Column, one: Column, other: Column) -> DataFrame:
+        return asking.where(one).select("own", F.explode(keys).alias("at")).join(kinds.where(other).select("kind", F.explode(keys).alias("at")), "at").select("own", "kind")
+
+    meet = met(hashes, short, short)
+    if not kinds.where(~short).isEmpty():
+        meet = meet.union(met(first(1), short, ~short)).union(met(first(1), ~short, F.lit(True)))
+    both = meet.distinct().join(asking.withColumnRenamed("set", "theirs"), "own").join(kinds, "kind").where(F.size(F.array_intersect("theirs", "set")) >= least)
+    dealt = both.select("own", "kind", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    return of_seeds, materialize(dealt, "dealt"), members
+
+
+def _sharing(concepts: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
+    """(seed, paper_id) that have ``least`` concepts in common."""
+    of_seeds, dealt, members = _kinds(concepts, seeds, least)
+    return of_seeds.join(dealt, "own").join(members, ["kind", "slot"]).where("seed <> paper_id").select("seed", "paper_id")
 
 
 def inferred_edges(seeds: DataFrame, papers: DataFrame, authors: DataFrame, concepts: DataFrame, least: int = 3) -> DataFrame:
     """(src, dst, kind) between seeds and papers that share an author, or else ``least`` concepts; the later paper cites.
 
-    Authors are joined as they are, concepts over the seeds' rarest ones. papers(paper_id, year), authors(paper_id, author),
+    Authors are joined as they are, concepts over groups of rare ones. papers(paper_id, year), authors(paper_id, author),
     concepts(paper_id, name).
     """
 
@@ -78,12 +110,15 @@ def inferred_edges(seeds: DataFrame, papers: DataFrame, authors: DataFrame, conc
         own = rows.select("paper_id", key).distinct()
         return own.join(seeds, "paper_id", "left_semi").withColumnRenamed("paper_id", "seed").join(own, key).where("seed <> paper_id").groupBy("seed", "paper_id").agg(F.count("*").alias("n"))
 
-    by_author = shared(authors, "author").select("seed", "paper_id", F.lit(True).alias("same"))
-    by_concept = _sharing(concepts, seeds, least).select("seed", "paper_id", F.lit(False).alias("same"))
-    pairs = by_author.unionAll(by_concept.join(by_author, ["seed", "paper_id"], "left_anti"))
-    dated = pairs.join(papers.select("paper_id", "year"), "paper_id").join(papers.select(F.col("paper_id").alias("seed"), F.col("year").alias("seed_year")), "seed")
+    by_author = materialize(shared(authors, "author").select("seed", "paper_id", F.lit(True).alias("same")), "authors")
+    dated = lambda pairs: pairs.join(papers.select("paper_id", "year"), "paper_id")
+    years = papers.select(F.col("paper_id").alias("seed"), F.col("year").alias("seed_year"))
+    of_seeds, dealt, members = _kinds(concepts, seeds, least)
+    by_concept = of_seeds.join(years, "seed").join(dealt, "own").join(dated(members), ["kind", "slot"]).where("seed <> paper_id").join(by_author, ["seed", "paper_id"], "left_anti")
+    by_concept = by_concept.select("seed", "paper_id", F.lit(False).alias("same"), "year", "seed_year")
+    pairs = dated(by_author).join(years, "seed").select("seed", "paper_id", "same", "year", "seed_year").unionAll(by_concept)
     older = (F.col("year") < F.col("seed_year")) | (~F.col("same") & (F.col("year") == F.col("seed_year")))
-    kept = dated.where(older | (F.col("year") > F.col("seed_year")))
+    kept = pairs.where(older | (F.col("year") > F.col("seed_year")))
     return kept.select(F.when(older, F.col("seed")).otherwise(F.col("paper_id")).alias("src"), F.when(older, F.col("paper_id")).otherwise(F.col("seed")).alias("dst"), F.when(older, "reference").otherwise("citation").alias("kind"))
 
 

@@ -310,3 +310,29 @@ def test_first_pairs_of_blocks_tile_by_tile(monkeypatch):
         some = np.array([m for m in met.tolist() if tuple(m) in inside])
         for top in (1, 4, 30, 5_000):
             assert list(map(tuple, topics._first_pairs(block(list(left)), block(list(right)), some, 2, 0.3, top).tolist())) == want[:top]
+
+
+def test_shared_concepts_of_long_and_short_sets_by_brute_force(spark):
+    import random
+
+    rng = random.Random(16)
+    own = {p: set(rng.sample(range(60), rng.choice((3, 5, 6, 9, 20, 45)))) for p in range(150)}
+    table = spark.createDataFrame([(p, f"c{c}") for p, s in own.items() for c in s] + [(0, None), (7, None)], "paper_id int, name string").repartition(3)
+    seeds = spark.createDataFrame([(p,) for p in range(0, 150, 7)], "paper_id int")
+    for least in (1, 2, 4, 5):
+        assert sorted(rows(selection._sharing(table, seeds, least))) == [(s, p) for s in range(0, 150, 7) for p in own if p != s and len(own[s] & own[p]) >= least]
+
+
+def test_common_concepts_alone_bring_no_papers_together(spark):
+    own = spark.range(3_000).selectExpr("id as paper_id", "explode(transform(sequence(0, 5), k -> pmod(xxhash64(id, k), 30))) as name")
+    found = selection._sharing(own, spark.range(0, 3_000, 10).toDF("paper_id"), 5)
+    query = found._jdf.queryExecution()
+    query.executedPlan().executeCollectPublic()
+
+    def most(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        made = plan.metrics().get("numOutputRows")
+        return max([made.get().value() if made.isDefined() else 0, *map(most, inner)])
+
+    assert most(query.executedPlan()) < 60_000  # of 900,000 pairs of a seed and a paper
