@@ -217,3 +217,32 @@ def test_shares_do_not_depend_on_the_order_of_rows(spark):
         for w in weights:
             whole += w
         assert sorted(r[4] for r in want if r[0] == a and r[4]) == sorted(w / whole for w in weights)
+
+
+def test_short_phases_are_merged_without_a_python_group(spark):
+    import random
+
+    rng = random.Random(13)
+    found = []
+    for a in [None, *range(80)]:
+        year, n = 1990, rng.randint(1, 7)
+        for k in range(n):
+            last = year + rng.choice((0, 0, 1, 2, 4))
+            found.append((a, k, year, last, rng.randint(1, 9)))
+            year = last + rng.randint(1, 2)
+    want = []
+    for a in [None, *range(80)]:
+        out, carried = [], None
+        for _, _, first, last, n in sorted(r for r in found if r[0] == a):
+            now = (carried[0], last, carried[2] + n) if carried else (first, last, n)
+            carried = now if now[1] - now[0] + 1 < 3 else None
+            if not carried:
+                out.append(now)
+        if carried:
+            out = [*out[:-1], (out[-1][0], carried[1], out[-1][2] + carried[2])] if out else [carried]
+        want += [(a, k, *x) for k, x in enumerate(out)]
+    rng.shuffle(found)
+    got = trajectory.merge_short_phases(spark.createDataFrame(found, "author_id long, phase int, first_year int, last_year int, papers long").repartition(3))
+    assert [f"{x.name} {x.dataType.simpleString()}" for x in got.schema] == ["author_id bigint", "phase int", "first_year int", "last_year int", "papers bigint"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
